@@ -55,17 +55,3 @@ def keep_first(values: Column, wanted: Callable[[Column], Column]) -> Column:
     """First array element that satisfies the test, or null."""
     return F.get(F.filter(values, wanted), F.lit(0))
 
-
-def json_field(raw: Column, path: str, kind: str) -> Column:
-    """One field of a JSON text, null when the text or the type does not fit."""
-    return F.try_variant_get(F.try_parse_json(raw), path, kind)
-
-
-def json_kind(raw: Column, path: str) -> Column:
-    """Type name of a JSON field (STRING, ARRAY<...>, OBJECT<...>, ...), null when absent."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), path, "variant"))
-
-
-def json_string(raw: Column, path: str) -> Column:
-    """A JSON field only if it is a string."""
-    return F.when(json_kind(raw, path) == "STRING", json_field(raw, path, "string"))

@@ -12,8 +12,13 @@ from guardlake.functions.spans import COUNTS, merge_counts, redacted
 
 
 def parsed(raw: Column) -> Column:
-    """JSON text as a variant; null when it does not parse."""
-    return F.try_parse_json(raw)
+    """JSON text as a variant; null when it does not parse.
+
+    The parser stops after the first value. Both wrappings parse only if nothing but white space follows.
+    """
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
+    in_array = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
 
 
 def field(value: Column, path: str, kind: str = "variant") -> Column:
