@@ -86,45 +86,62 @@ def list_text(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
 
-def map_string_leaves(raw: Column, rewrite: Callable[[Column], Column]) -> Column:
+def map_string_leaves(
+    raw: Column, rewrite: Callable[[Column], Column], is_json: Column | None = None
+) -> Column:
     """Apply ``rewrite`` to every string value of a JSON text; keys stay as they are.
 
+    Where ``is_json`` is false the whole text is one string.
+
     ``rewrite`` maps a string to ``struct<text, matched>``. With escaped quotes and backslashes written
     as \\u escapes, quotes only delimit strings, so splitting at quotes separates strings from structure
     at any depth and in linear time. The result is ``struct<text, matched>`` for the whole payload, with
     insignificant white space removed.
     """
+    is_json = F.lit(True) if is_json is None else is_json
     plain = F.replace(
         F.replace(raw, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022")
     )
+    nothing = F.lit(None).cast(COUNTS)
+
+    def pieces(parts: Column) -> Column:
+        """Structure, keys and values in order, values unescaped."""
 
-    def walk(parts: Column) -> Column:
-        def leaf(body: Column, i: Column) -> Column:
-            outside = F.struct(
-                F.regexp_replace(body, r"\s+", "").alias("text"),
-                F.lit(None).cast(COUNTS).alias("matched"),
-            )
+        def piece(body: Column, i: Column) -> Column:
             string = F.when(
                 F.contains(body, F.lit("\\")),
                 F.get(F.from_json(F.concat(F.lit('["'), body, F.lit('"]')), "array<string>"), F.lit(0)),
             ).otherwise(body)
             is_key = F.get(parts, i + 1).rlike(r"^\s*:")
-            value = let(
-                rewrite(string),
-                lambda r: F.struct(json_text(r["text"]).alias("text"), r["matched"]),
-            )
-            key = F.struct(json_text(string).alias("text"), F.lit(None).cast(COUNTS).alias("matched"))
-            return F.when(i % 2 == 0, outside).when(is_key, key).otherwise(value)
-
-        return let(
-            F.transform(parts, leaf),
-            lambda leaves: F.struct(
-                F.array_join(F.transform(leaves, lambda x: x["text"]), "").alias("text"),
-                sum_counts(F.transform(leaves, lambda x: x["matched"])).alias("matched"),
+            kind = F.when(i % 2 == 0, "outside").when(is_key, "key").otherwise("value")
+            return F.struct(kind.alias("kind"), F.when(i % 2 == 0, body).otherwise(string).alias("body"))
+
+        return F.transform(parts, piece)
+
+    def written(p: Column) -> Column:
+        outside = F.regexp_replace(p["body"], r"\s+", "")
+        kept = F.struct(
+            F.when(p["kind"] == "outside", outside).otherwise(json_text(p["body"])).alias("text"),
+            nothing.alias("matched"),
+        )
+        scrubbed = let(
+            rewrite(p["body"]),
+            lambda r: F.struct(
+                F.when(p["kind"] == "raw", r["text"]).otherwise(json_text(r["text"])).alias("text"),
+                r["matched"].alias("matched"),
             ),
         )
-
-    return let(F.split(plain, '"', -1), walk)
+        return F.when(p["kind"].isin("value", "raw"), scrubbed).otherwise(kept)
+
+    whole = F.array(F.struct(F.lit("raw").alias("kind"), raw.alias("body")))
+    chosen = F.when(is_json, let(F.split(plain, '"', -1), pieces)).otherwise(whole)
+    return let(
+        F.transform(chosen, written),
+        lambda leaves: F.struct(
+            F.array_join(F.transform(leaves, lambda x: x["text"]), "").alias("text"),
+            sum_counts(F.transform(leaves, lambda x: x["matched"])).alias("matched"),
+        ),
+    )
 
 
 def sum_counts(maps: Column) -> Column:
@@ -142,4 +159,5 @@ def redacted_json(raw: Column, rules, direction: str = "inbound", allow: Sequenc
     def scrub(text: Column) -> Column:
         return redacted(text, rules, direction, allow)
 
-    return F.when(parsed(raw).isNotNull(), map_string_leaves(raw, scrub)).otherwise(scrub(raw))
+    # Text that does not parse is treated as one string, so both ways share one scrub.
+    return let(raw, lambda r: map_string_leaves(r, scrub, parsed(r).isNotNull()))

@@ -90,7 +90,7 @@ def parse_verdict(reply: Column) -> Column:
 
     def read(v: Column) -> Column:
         labels = F.filter(
-            F.transform(payload.list_field(v, "$.categories"), payload.string_field),
+            F.transform(payload.list_field(v, "$.categories"), lambda c: payload.string_field(c)),
             lambda c: c.isNotNull(),
         )
         risk = payload.kind_of(v, "$.risk") == "BOOLEAN"

@@ -25,6 +25,7 @@ def pattern_spans(
     rule: str,
     rank: int,
     accept: Callable[[Column], Column] | None = None,
+    may_be_empty: bool = True,
 ) -> Column:
     """Spans of one Java pattern.
 
@@ -35,6 +36,8 @@ def pattern_spans(
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def aligned(g: Column) -> Column:
+        if not may_be_empty:
+            return values
         # No gap is reported before an empty match at the very start of the text.
         return let(
             values,
@@ -64,7 +67,8 @@ def pattern_spans(
 
         return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
 
-    return F.when(text.rlike(pattern), let(gaps, fold)).otherwise(no_spans())
+    spans = let(gaps, fold) if may_be_empty else fold(gaps)
+    return F.when(text.rlike(pattern), spans).otherwise(no_spans())
 
 
 def allowlisted(value: Column, patterns: Sequence[str]) -> Column:
@@ -86,7 +90,12 @@ def find_spans(text: Column, rules, allow: Sequence[str] = ()) -> Column:
             return keep & ~allowlisted(value, allow) if allow else keep
 
         spans = pattern_spans(
-            text, rule.java, rule.name, rank, accept if (rule.validate or allow) else None
+            text,
+            rule.java,
+            rule.name,
+            rank,
+            accept if (rule.validate or allow) else None,
+            may_be_empty=rule.source != "default",
         )
         found.append(F.when(rule.guard(text), spans).otherwise(no_spans()) if rule.guard else spans)
     spans = F.concat(*found) if found else no_spans()

@@ -37,14 +37,15 @@ def verhoeff_tables() -> tuple[list[int], list[int]]:
 
 def verhoeff_valid(value: Column) -> Column:
     """Exactly 12 digits that pass the Verhoeff check; other characters are ignored."""
-    product, permuted = verhoeff_tables()
-    product_c = F.array(*[F.lit(x) for x in product])
-    permuted_c = F.array(*[F.lit(x) for x in permuted])
+    product, permuted = ("".join(map(str, table)) for table in verhoeff_tables())
+
+    def digit_at(digits, place: Column) -> Column:
+        return F.substring(F.lit(digits) if isinstance(digits, str) else digits, place, F.lit(1)).cast("int")
 
     def check(digits: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            digit = F.substring(digits, F.lit(12) - i, F.lit(1)).cast("int")
-            return F.get(product_c, acc * 10 + F.get(permuted_c, (i % 8) * 10 + digit))
+            place = (i % 8) * 10 + digit_at(digits, F.lit(12) - i)
+            return digit_at(product, acc * 10 + digit_at(permuted, place + 1) + 1)
 
         total = F.aggregate(F.sequence(F.lit(0), F.lit(11)), F.lit(0), step)
         return F.when(F.length(digits) == 12, total == 0).otherwise(False)

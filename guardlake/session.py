@@ -15,6 +15,13 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Keyed state of the stateful streaming operators.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
 
 def build_session(name: str = "guardlake", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
