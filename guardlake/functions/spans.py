@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,86 +19,68 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def pattern_spans(
-    text: Column,
-    pattern: str,
-    rule: str,
-    rank: int,
-    accept: Callable[[Column], Column] | None = None,
-    may_be_empty: bool = True,
-) -> Column:
-    """Spans of one Java pattern.
+def allowlisted(value: Column, patterns: Sequence[str]) -> Column:
+    """True when any allowlist pattern matches somewhere in the value."""
+    return any_of(value.rlike(p) for p in patterns)
 
-    The matches and the gaps between them alternate, so running lengths give the offsets. A match that
-    the test refuses, or an empty one, still moves the position on but yields no span.
-    """
-    gaps = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def aligned(g: Column) -> Column:
-        if not may_be_empty:
-            return values
-        # No gap is reported before an empty match at the very start of the text.
-        return let(
-            values,
-            lambda v: F.when(F.size(g) > F.size(v), v).otherwise(F.slice(v, F.lit(2), F.size(v))),
-        )
+def rule_hits(text: Column, rule, rank: int) -> Column:
+    """Matches of one rule and the gaps around them; null when the rule does not fire at all.
 
-    def fold(g: Column) -> Column:
-        pieces = F.zip_with(
-            g, aligned(g), lambda gap, v: F.struct(F.length(gap).alias("gap"), v.alias("value"))
-        )
-        zero = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
+    A rule's cheap guard runs before its pattern, so most rows pay for a few byte searches only.
+    """
+    values = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
+    refused = F.array().cast("array<boolean>")
+    if rule.validate:
+        refused = F.transform(values, lambda v: ~rule.validate(v))
+    hits = F.struct(
+        F.lit(rule.name).alias("rule"),
+        F.lit(rank).alias("rank"),
+        F.split(text, rule.java, -1).alias("gaps"),
+        values.alias("values"),
+        refused.alias("refused"),
+    )
+    fires = text.rlike(rule.java)
+    return F.when(rule.guard(text) & fires if rule.guard else fires, hits)
 
-        def step(acc: Column, piece: Column) -> Column:
-            start = acc["at"] + piece["gap"]
-            end = start + F.coalesce(F.length(piece["value"]), F.lit(0))
-            good = end > start
-            if accept is not None:
-                good = good & accept(piece["value"])
-            span = F.struct(
-                start.alias("start"),
-                end.alias("end"),
-                F.lit(rule).alias("rule"),
-                F.lit(rank).alias("rank"),
-            )
-            spans = F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-            return F.struct(end.alias("at"), spans.alias("spans"))
 
-        return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
+def spans_of(hits: Column, allow: Sequence[str] = ()) -> Column:
+    """Spans out of the hits of one rule.
 
-    spans = let(gaps, fold) if may_be_empty else fold(gaps)
-    return F.when(text.rlike(pattern), spans).otherwise(no_spans())
+    Gaps and matches alternate, so running lengths give the offsets. A match that was refused, or an empty
+    one, still moves the position on but yields no span.
+    """
+    # No gap is reported before an empty match at the very start of the text.
+    values = F.when(F.size(hits["gaps"]) > F.size(hits["values"]), hits["values"]).otherwise(
+        F.slice(hits["values"], F.lit(2), F.size(hits["values"]))
+    )
+    pairs = F.zip_with(
+        hits["gaps"], values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value"))
+    )
+    pieces = F.zip_with(
+        pairs, hits["refused"], lambda p, r: F.struct(p["gap"], p["value"], r.alias("refused"))
+    )
+    zero = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
 
+    def step(acc: Column, piece: Column) -> Column:
+        start = acc["at"] + piece["gap"]
+        end = start + F.coalesce(F.length(piece["value"]), F.lit(0))
+        good = (end > start) & ~F.coalesce(piece["refused"], F.lit(False))
+        if allow:
+            good = good & ~allowlisted(piece["value"], allow)
+        span = F.struct(start.alias("start"), end.alias("end"), hits["rule"], hits["rank"])
+        spans = F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
 
-def allowlisted(value: Column, patterns: Sequence[str]) -> Column:
-    """True when any allowlist pattern matches somewhere in the value."""
-    return any_of(value.rlike(p) for p in patterns)
+    return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
 
 
 def find_spans(text: Column, rules, allow: Sequence[str] = ()) -> Column:
-    """All spans of all rules, unsorted and possibly overlapping.
-
-    ``rules`` are ``guardlake.rules.Rule`` objects in registry order. A rule's cheap guard runs before
-    its pattern, so most rows pay for a few byte searches only.
-    """
-    found = []
-    for rank, rule in enumerate(rules):
-
-        def accept(value: Column, rule=rule) -> Column:
-            keep = rule.validate(value) if rule.validate else F.lit(True)
-            return keep & ~allowlisted(value, allow) if allow else keep
-
-        spans = pattern_spans(
-            text,
-            rule.java,
-            rule.name,
-            rank,
-            accept if (rule.validate or allow) else None,
-            may_be_empty=rule.source != "default",
-        )
-        found.append(F.when(rule.guard(text), spans).otherwise(no_spans()) if rule.guard else spans)
-    spans = F.concat(*found) if found else no_spans()
+    """All spans of all rules (``guardlake.rules.Rule``, in registry order), possibly overlapping."""
+    if not rules:
+        return no_spans()
+    hits = F.array_compact(F.array(*[rule_hits(text, rule, rank) for rank, rule in enumerate(rules)]))
+    spans = F.flatten(F.transform(hits, lambda h: spans_of(h, allow))).cast(SPANS)
     return F.when(text.isNull(), no_spans()).otherwise(spans)
 
 

@@ -27,6 +27,13 @@ def resolve_overlaps(df: DataFrame, col: str = "spans", out: str = "kept") -> Da
     return df.withColumn(out, spans.resolve_overlaps(F.col(col)))
 
 
+def _with_kept(df: DataFrame, col: str, rules: RuleSet | None) -> DataFrame:
+    """Add the settled spans as a column of their own, so that later uses share one evaluation."""
+    rules = rules or RuleSet()
+    found = spans.find_spans(F.col(col), rules.active, rules.allow_patterns)
+    return df.withColumn("_kept", spans.resolve_overlaps(found))
+
+
 def redact(
     df: DataFrame,
     col: str,
@@ -36,27 +43,24 @@ def redact(
     counts: str = "matched",
 ) -> DataFrame:
     """Add the redacted text and the matches per rule."""
-    work = resolve_overlaps(find_spans(df, col, rules, "_found"), "_found", "_kept")
-    return (
-        work.withColumn(out, spans.render(F.col(col), F.col("_kept"), direction))
-        .withColumn(counts, spans.match_counts(F.col("_kept")))
-        .drop("_found", "_kept")
-    )
+    kept = F.col("_kept")
+    added = {
+        out: spans.render(F.col(col), kept, direction),
+        counts: spans.match_counts(kept),
+    }
+    return _with_kept(df, col, rules).withColumns(added).drop("_kept")
 
 
 def detect_pii(df: DataFrame, col: str, rules: RuleSet | None = None) -> DataFrame:
     """Add ``matched`` and ``pii_detected``; no text is produced."""
-    work = resolve_overlaps(find_spans(df, col, rules, "_found"), "_found", "_kept")
-    return (
-        work.withColumn("matched", spans.match_counts(F.col("_kept")))
-        .withColumn("pii_detected", F.size("_kept") > 0)
-        .drop("_found", "_kept")
-    )
+    kept = F.col("_kept")
+    added = {"matched": spans.match_counts(kept), "pii_detected": F.size(kept) > 0}
+    return _with_kept(df, col, rules).withColumns(added).drop("_kept")
 
 
 def exploded_spans(df: DataFrame, keep: list[str], col: str, rules: RuleSet | None = None) -> DataFrame:
     """One row per kept span with its value."""
-    work = resolve_overlaps(find_spans(df, col, rules, "_found"), "_found", "_kept")
+    work = _with_kept(df, col, rules)
     # The outer form keeps Spark from testing the span list once more below the projection.
     rows = work.select(*keep, F.col(col).alias("_text"), F.explode_outer("_kept").alias("_span"))
     value = F.substring(
@@ -69,7 +73,7 @@ def exploded_spans(df: DataFrame, keep: list[str], col: str, rules: RuleSet | No
 
 def counts_by(df: DataFrame, keys: list[str], col: str, rules: RuleSet | None = None) -> DataFrame:
     """Matches per key and rule. Rows combine before the shuffle, so a hot key costs no more."""
-    work = resolve_overlaps(find_spans(df, col, rules, "_found"), "_found", "_kept")
+    work = _with_kept(df, col, rules)
     names = work.select(
         *keys, F.explode_outer(F.transform("_kept", lambda s: s["rule"])).alias("rule")
     )
