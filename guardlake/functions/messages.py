@@ -62,6 +62,10 @@ def visible_delta(provider: Column, event: Column) -> Column:
     )
 
 
+def is_event_stream(body: Column) -> Column:
+    return found(body, r"(^|\n)\s*(event:|data:)")
+
+
 def assistant_output(provider: Column, body: Column) -> Column:
     """Reply text of a response body, streamed or not, or a note on why there is none."""
 
@@ -94,10 +98,9 @@ def assistant_output(provider: Column, body: Column) -> Column:
         return F.when(v.isNull(), fixed.BAD_RESPONSE_SNAPSHOT).otherwise(known)
 
     def read(s: Column) -> Column:
-        is_stream = found(s, r"(^|\n)\s*(event:|data:)")
         return (
             F.when(s == "", fixed.EMPTY_RESPONSE)
-            .when(is_stream, let(s, streamed))
+            .when(is_event_stream(s), let(s, streamed))
             .otherwise(let(payload.parsed(s), buffered))
         )
 

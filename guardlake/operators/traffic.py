@@ -9,6 +9,7 @@ from guardlake.fixed import traffic as fixed
 from guardlake.functions import messages, payload, routing, spans
 from guardlake.functions.text import redact_url_credentials, sanitize_pii_types, snapshot
 from guardlake.rules import RuleSet
+from guardlake.streaming.bodies import redacted_stream_body
 
 DECISION_COLUMNS = [
     "ts", "surface", "direction", "decision", "pii_types", "rule_matched", "latency_ms",
@@ -28,10 +29,14 @@ def build_traffic(
     inbound = payload.redacted_json(
         messages.drop_empty_blocks(F.coalesce("request", F.lit(""))), rules.active, "inbound", allow
     )
-    outbound = payload.redacted_json(
-        F.coalesce("response", F.lit("")), rules.active, "outbound", allow
+    response = F.coalesce("response", F.lit(""))
+    is_stream = messages.is_event_stream(response)
+    streamed = redacted_stream_body(F.col("provider"), F.when(is_stream, response), rules)
+    buffered = payload.redacted_json(
+        F.when(~is_stream, response), rules.active, "outbound", allow
     )
-    work = exchanges.withColumns({"_in": inbound, "_out": outbound})
+    work = exchanges.withColumns({"_in": inbound, "_sse": streamed, "_body": buffered})
+    work = work.withColumn("_out", F.when(is_stream, F.col("_sse")).otherwise(F.col("_body")))
     request, response = F.col("_in.text"), F.col("_out.text")
     seen = spans.has_matches(F.col("_in.matched")) | spans.has_matches(F.col("_out.matched"))
     return work.select(

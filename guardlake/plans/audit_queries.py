@@ -233,8 +233,15 @@ def read_transcripts(spark, sf_dir):
 
 @query
 def read_files(spark, sf_dir):
-    found = readers.read_files(spark, f"{sf_dir}/documents.parquet").where(F.col("size") > 0)
-    return found.select("name", (F.octet_length("content") == F.col("size")).alias("complete"))
+    """Pages written as files, one per page, and read back as files."""
+    path = shared_dir(spark, "pages")
+    pages = inputs.load(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value"))
+    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    back = readers.read_files(spark, path)
+    page = F.regexp_extract("file_id", r"page_id=(\d+)/", 1).cast("bigint")
+    return back.select(
+        page.alias("page_id"), "size", (F.octet_length("content") == F.col("size")).alias("complete")
+    )
 
 
 @query

@@ -1,0 +1,42 @@
+"""Redaction of whole event-stream bodies that sit in one column."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from guardlake.fixed.traffic import STREAM_HOLDBACK
+from guardlake.rules import RuleSet
+from guardlake.streaming.matcher import Matcher
+from guardlake.streaming.sse import StreamRedactor, new_state
+
+SCRUBBED = "struct<text:string,matched:map<string,int>>"
+
+
+def redacted_stream_body(
+    provider: Column, body: Column, rules: RuleSet, holdback: int = STREAM_HOLDBACK
+) -> Column:
+    """``struct<text, matched>`` of a recorded event stream; null for a null body.
+
+    Values split over events are only visible to a scan that follows the stream, so this one runs in
+    Python, over Arrow batches.
+    """
+    matcher = Matcher.of(rules)
+
+    def scrub(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        matcher.compile()
+        for providers, bodies in batches:
+            rows = []
+            for name, text in zip(providers, bodies):
+                if text is None:
+                    rows.append((None, None))
+                    continue
+                counts: dict[str, int] = {}
+                redactor = StreamRedactor(name, holdback, matcher, new_state(), counts)
+                rows.append((redactor.push(text) + redactor.finish(), counts))
+            yield pd.DataFrame(rows, columns=["text", "matched"])
+
+    return F.pandas_udf(scrub, SCRUBBED)(provider, body)

@@ -60,7 +60,7 @@ CODE = (
     f"{pick(samples.CODE_LINES, 'doc_id')} as content from documents)"
 )
 DECISIONS = (
-    "decisions as (select event_id, ts, epoch_ms(ts) as ms, "
+    "decisions as (select event_id, ts, (epoch_us(ts) // 1000) as ms, "
     f"{pick(samples.SURFACE_NAMES, 'user_id')} as surface, "
     "case when event_type = 'view' then 'incoming' else 'outgoing' end as direction, "
     "case event_type when 'error' then 'blocked' when 'purchase' then 'redacted' else 'allowed' end as decision, "
