@@ -61,19 +61,51 @@ def _branches(body: str) -> list[str]:
     return parts + [body[start:]]
 
 
-def _opens_with_word(src: str, i: int = 0) -> bool:
-    """True when whatever matches at ``i`` must begin with an ASCII word character."""
-    if i >= len(src):
-        return False
-    end = _atom_end(src, i)
-    if _OPTIONAL.match(src, end):
-        return False
-    atom = src[i:end]
-    if atom.startswith("(?:"):
-        return all(_opens_with_word(b) for b in _branches(atom[3:-1]))
-    if atom.startswith("(") and not atom.startswith("(?"):
-        return all(_opens_with_word(b) for b in _branches(atom[1:-1]))
-    return bool(re.fullmatch(WORD, atom) or atom in ("\\d", "\\w") or _WORD_ONLY_CLASS.fullmatch(atom))
+def _rest_of_branch(src: str, i: int) -> str:
+    """From ``i`` to the end of the group that holds it."""
+    start = i
+    while i < len(src) and src[i] != ")":
+        i = _atom_end(src, i)
+    return src[start:i]
+
+
+def _first_chars(src: str) -> str | None:
+    """Characters a match can begin with, as the inside of a bracket; None when unknown or empty."""
+    chars, i = [], 0
+    while i < len(src):
+        end = _atom_end(src, i)
+        atom = src[i:end]
+        if atom.startswith("(?:") or (atom.startswith("(") and not atom.startswith("(?")):
+            body = atom[3:-1] if atom.startswith("(?:") else atom[1:-1]
+            inner = [_first_chars(b) for b in _branches(body)]
+            if None in inner:
+                return None
+            chars += inner
+        elif atom in ("\\d", "\\w"):
+            chars.append("0-9" if atom == "\\d" else "A-Za-z0-9_")
+        elif re.fullmatch(r"\[(?!\^)(?:[^\\\]\[&]|\\[dw])+\]", atom):
+            inside = atom[1:-1].replace("\\d", "0-9").replace("\\w", "A-Za-z0-9_")
+            # A dash at either end would turn into a range next to its neighbours.
+            chars.append(re.sub(r"^-|-$", r"\\-", inside))
+        elif re.fullmatch(WORD, atom):
+            chars.append(atom)
+        elif re.fullmatch(r"\\[+.*?()\[\]{}|/$^]", atom):
+            chars.append("\\" + atom[1])
+        elif atom in (" ", "@", ":", "#", "<", ">", "=", "-", "'", '"', "/", "`"):
+            chars.append("\\-" if atom == "-" else atom)
+        else:
+            return None
+        if not _OPTIONAL.match(src, end):
+            return "".join(dict.fromkeys(chars))
+        quantifier = re.match(r"(?:[?*]|\{0,?\d*\})\??", src[end:])
+        i = end + len(quantifier.group())
+    return None
+
+
+def _opens_with_word(src: str) -> str | None:
+    """First characters if all of them are word characters: then a boundary before them is a start."""
+    first = _first_chars(_branches(src)[0])
+    return first if first and re.fullmatch(r"[A-Za-z0-9_-]+", first) and "\\-" not in first else None
 
 
 @lru_cache(maxsize=None)
@@ -104,8 +136,10 @@ def java_regex(source: str, flags: str = "") -> str:
                 raise ValueError("pattern ends with a backslash")
             e = source[i + 1]
             if e == "b":
-                if _opens_with_word(source, i + 2):
-                    out.append(WORD_START)
+                first = _opens_with_word(_rest_of_branch(source, i + 2))
+                if first:
+                    # The look-ahead is redundant but cheap; it spares most positions the look-behind.
+                    out.append(f"(?=[{first}]){WORD_START}")
                 else:
                     out.append(WORD_END if was_word else BOUNDARY)
             elif e == "B":
@@ -150,7 +184,11 @@ def java_regex(source: str, flags: str = "") -> str:
                 out.append(c)
                 i += 1
     prefix = ("i" if "i" in flags else "") + ("u" if "u" in flags and "i" in flags else "")
-    return (f"(?{prefix})" if prefix else "") + "".join(out)
+    # Most positions of a text fail on the first character, so test it before anything else.
+    starts = [_first_chars(b) for b in _branches(source)]
+    ahead = "" if None in starts or "\\b" in source[:2] else f"(?=[{''.join(starts)}])"
+    body = "".join(out)
+    return (f"(?{prefix})" if prefix else "") + (f"{ahead}(?:{body})" if len(starts) > 1 and ahead else ahead + body)
 
 
 def _plain_escape(e: str) -> str:

@@ -13,6 +13,10 @@ from guardlake.functions.expr import any_of, let
 SPAN = "struct<start:int,end:int,rule:string,rank:int>"
 SPANS = f"array<{SPAN}>"
 COUNTS = "map<string,int>"
+HITS = (
+    "array<struct<rule:string,rank:int,gaps:array<string>,values:array<string>,"
+    "refused:array<boolean>>>"
+)
 
 
 def no_spans() -> Column:
@@ -25,23 +29,22 @@ def allowlisted(value: Column, patterns: Sequence[str]) -> Column:
 
 
 def rule_hits(text: Column, rule, rank: int) -> Column:
-    """Matches of one rule and the gaps around them; null when the rule does not fire at all.
+    """Matches of one rule and the gaps around them; null when there is none."""
+
+    def hits(values: Column) -> Column:
+        refused = F.array().cast("array<boolean>")
+        if rule.validate:
+            refused = F.transform(values, lambda v: ~rule.validate(v))
+        found = F.struct(
+            F.lit(rule.name).alias("rule"),
+            F.lit(rank).alias("rank"),
+            F.split(text, rule.java, -1).alias("gaps"),
+            values.alias("values"),
+            refused.alias("refused"),
+        )
+        return F.when(F.size(values) > 0, found)
 
-    A rule's cheap guard runs before its pattern, so most rows pay for a few byte searches only.
-    """
-    values = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
-    refused = F.array().cast("array<boolean>")
-    if rule.validate:
-        refused = F.transform(values, lambda v: ~rule.validate(v))
-    hits = F.struct(
-        F.lit(rule.name).alias("rule"),
-        F.lit(rank).alias("rank"),
-        F.split(text, rule.java, -1).alias("gaps"),
-        values.alias("values"),
-        refused.alias("refused"),
-    )
-    fires = text.rlike(rule.java)
-    return F.when(rule.guard(text) & fires if rule.guard else fires, hits)
+    return let(F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)), hits)
 
 
 def spans_of(hits: Column, allow: Sequence[str] = ()) -> Column:
@@ -76,11 +79,27 @@ def spans_of(hits: Column, allow: Sequence[str] = ()) -> Column:
 
 
 def find_spans(text: Column, rules, allow: Sequence[str] = ()) -> Column:
-    """All spans of all rules (``guardlake.rules.Rule``, in registry order), possibly overlapping."""
+    """All spans of all rules (``guardlake.rules.Rule``, in registry order), possibly overlapping.
+
+    Rules with the same cheap guard sit behind one test, so most rows pay for a few searches only.
+    """
     if not rules:
         return no_spans()
-    hits = F.array_compact(F.array(*[rule_hits(text, rule, rank) for rank, rule in enumerate(rules)]))
-    spans = F.flatten(F.transform(hits, lambda h: spans_of(h, allow))).cast(SPANS)
+    groups: dict = {}
+    for rank, rule in enumerate(rules):
+        groups.setdefault(rule.guard, []).append((rank, rule))
+    guarded = []
+    for guard, members in groups.items():
+        hits = F.array(*[rule_hits(text, rule, rank) for rank, rule in members])
+        if guard:
+            passes = guard(text)
+            if len(members) > 1:
+                # One pass tells that none of them matches, which is the usual case.
+                passes = passes & text.rlike("|".join(f"(?:{rule.java})" for _, rule in members))
+            hits = F.when(passes, hits).otherwise(F.array().cast(HITS))
+        guarded.append(hits)
+    fired = F.array_compact(F.concat(*guarded))
+    spans = F.flatten(F.transform(fired, lambda h: spans_of(h, allow))).cast(SPANS)
     return F.when(text.isNull(), no_spans()).otherwise(spans)
 
 
