@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake.plans import samples
+from guardlake.session import spread
+
+# Tables whose texts are scanned, with the columns that tell their rows apart.
+TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One given table. Its time stamps carry no zone and mean UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if table in TEXT_TABLES:
+        return spread(df, *TEXT_TABLES[table])
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 

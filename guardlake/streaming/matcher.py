@@ -60,8 +60,25 @@ def _public_ipv6(value: str) -> bool:
 
 
 _CHECKS = {"CREDIT_CARD": _luhn, "AADHAAR": _verhoeff, "IPV4": _public_ipv4, "IPV6": _public_ipv6}
-_NEEDLES = {"PRIVATE_KEY": "-----BEGIN ", "JWT": "eyJ", "CONN_STRING": "://", "BEARER_TOKEN": "Bearer",
-            "EMAIL": "@", "PHONE_IN": "+91", "IPV6": ":"}
+# Cheap tests that hold for every text with a match.
+_DIGITS = re.compile("[0-9][ .-]?[0-9]")
+_KEY_HEADS = re.compile("[sprk]k[-_]|AKIA|AIza|github_pat_|gh[pousr]_|npm_|hf_|xox|hooks")
+_GUARDS = {
+    "PRIVATE_KEY": "-----BEGIN ",
+    "JWT": "eyJ",
+    "CONN_STRING": "://",
+    "API_KEY": _KEY_HEADS,
+    "BEARER_TOKEN": "Bearer",
+    "EMAIL": "@",
+    "PHONE_US": _DIGITS,
+    "PHONE_IN": "+91",
+    "CREDIT_CARD": _DIGITS,
+    "SSN": _DIGITS,
+    "PAN_IN": _DIGITS,
+    "AADHAAR": _DIGITS,
+    "IPV4": _DIGITS,
+    "IPV6": ":",
+}
 
 
 @dataclass
@@ -79,36 +96,56 @@ class Matcher:
         )
 
     def compile(self) -> Matcher:
-        self._rules = [
-            (name, python_regex(p, f), _CHECKS.get(name) if default else None,
-             _NEEDLES.get(name) if default else None)
-            for name, p, f, default in self.rules
-        ]
+        groups: dict = {}
+        for rank, (name, pattern, flags, default) in enumerate(self.rules):
+            check = _CHECKS.get(name) if default else None
+            guard = _GUARDS.get(name) if default else None
+            groups.setdefault(guard, []).append((rank, name, python_regex(pattern, flags), check))
+        self._groups = list(groups.items())
         self._allow = [python_regex(p, f) for p, f in self.allow]
         return self
 
-    def spans(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(start, -end, rank, rule) of every good match, in settling order."""
+    def spans(self, text: str, begin: int = 0) -> list[tuple[int, int, int, str]]:
+        """(start, -end, rank, rule) of every good match from ``begin`` on, in settling order.
+
+        What stands before ``begin`` still counts for word boundaries.
+        """
         found = []
-        for rank, (name, pattern, check, needle) in enumerate(self._rules):
-            if needle and needle not in text:
+        for guard, members in self._groups:
+            if guard and not (guard in text if isinstance(guard, str) else guard.search(text)):
                 continue
-            for m in pattern.finditer(text):
-                value = m.group()
-                if not value or (check and not check(value)):
-                    continue
-                if any(a.search(value) for a in self._allow):
-                    continue
-                found.append((m.start(), -m.end(), rank, name))
+            for rank, name, pattern, check in members:
+                for m in pattern.finditer(text, begin):
+                    value = m.group()
+                    if not value or (check and not check(value)):
+                        continue
+                    if any(a.search(value) for a in self._allow):
+                        continue
+                    found.append((m.start(), -m.end(), rank, name))
         return sorted(found)
 
     def redact(self, text: str, direction: str, counts: dict[str, int]) -> str:
-        out, at = [], 0
-        for start, back, _, name in self.spans(text):
-            if start < at:
-                continue
-            token = OUTBOUND_TOKEN if direction == "outbound" else INBOUND_PREFIX + name + INBOUND_SUFFIX
-            out += [text[at:start], token]
-            counts[name] = counts.get(name, 0) + 1
-            at = -back
-        return "".join(out) + text[at:]
+        return rewrite(text, self.spans(text), direction, counts)
+
+
+def rewrite(
+    text: str,
+    spans: list[tuple[int, int, int, str]],
+    direction: str,
+    counts: dict[str, int],
+    begin: int = 0,
+    end: int | None = None,
+) -> str:
+    """``text[begin:end]`` with its spans replaced, overlaps settled on the way. None may cross ``end``."""
+    end = len(text) if end is None else end
+    out, at = [], begin
+    for start, back, _, name in spans:
+        if start >= end:
+            break
+        if start < at:
+            continue
+        token = OUTBOUND_TOKEN if direction == "outbound" else INBOUND_PREFIX + name + INBOUND_SUFFIX
+        out += [text[at:start], token]
+        counts[name] = counts.get(name, 0) + 1
+        at = -back
+    return "".join(out) + text[at:end]
