@@ -100,7 +100,8 @@ def build_turns(
     )
 
     def side(col: str, at: str):
-        wanted = (F.coalesce(F.col(col), F.lit("")) != "") & (F.col(at) < cap)
+        # The separator before a message may still fall into the cut.
+        wanted = (F.coalesce(F.col(col), F.lit("")) != "") & (F.col(at) < cap + gap)
         return F.collect_list(F.when(wanted, F.struct("pos", F.col(col).alias("text"))))
 
     def joined(col: str, separator: str):
@@ -223,6 +224,27 @@ def confirmed_leaks(logged: DataFrame) -> DataFrame:
 # --- replies onto flagged prompts -------------------------------------------------------------------
 
 
+def _islands(intervals: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    """Number the groups of overlapping closed intervals per key: keys..., start, island.
+
+    A group begins where no interval is open, which running sums tell without collecting a key.
+    """
+    edges = intervals.select(
+        *keys,
+        F.explode(
+            F.array(
+                F.struct(F.col(low).alias("start"), F.lit(1).alias("step")),
+                F.struct(F.col(high).alias("start"), F.lit(-1).alias("step")),
+            )
+        ).alias("_e"),
+    ).select(*keys, "_e.*")
+    points = edges.groupBy(*keys, "start").agg(F.sum("step").alias("step"))
+    opened = running_sums(points, keys, "start", {"open": F.col("step")})
+    begins = (F.col("open") == 0).cast("int")
+    counted = running_sums(opened, keys, "start", {"earlier": begins})
+    return counted.select(*keys, "start", (F.col("earlier") + begins).alias("island"))
+
+
 def attach_responses(flags: DataFrame, turns: DataFrame, ring: int = traffic_values.SECURITY_VIEW_ROWS):
     """Give each turn's reply to the newest open flag of its surface that the turn contains.
 
@@ -266,14 +288,11 @@ def attach_responses(flags: DataFrame, turns: DataFrame, ring: int = traffic_val
         .where(F.size("_fits") > 0)
         .select(*keys, "turn_id", "after_seq", "_fits")
     )
-    in_order = Window.partitionBy(*keys).orderBy("after_seq", "turn_id")
-    newest_before = F.max(F.get("_fits", F.lit(0))).over(
-        in_order.rowsBetween(Window.unboundedPreceding, -1)
-    )
-    cut = (F.element_at("_fits", -1) > newest_before) | newest_before.isNull()
-    stretches = candidates.withColumn("_cut", cut.cast("int")).withColumn(
-        "_stretch", F.sum("_cut").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    stretches = candidates.withColumns(
+        {"_lo": F.element_at("_fits", -1), "_hi": F.get("_fits", F.lit(0))}
     )
+    islands = _islands(stretches, keys, "_lo", "_hi").withColumnRenamed("start", "_lo")
+    stretches = stretches.join(islands, [*keys, "_lo"])
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stretch, taken = None, set()
@@ -295,7 +314,7 @@ def attach_responses(flags: DataFrame, turns: DataFrame, ring: int = traffic_val
     schema = f"log_id {kinds['log_id']}, surface string, turn_id {kinds['turn_id']}, seq bigint"
     pairs = (
         stretches.select(
-            *keys, "turn_id", "after_seq", F.col("_fits").alias("fits"), F.col("_stretch").alias("stretch")
+            *keys, "turn_id", "after_seq", F.col("_fits").alias("fits"), F.col("island").alias("stretch")
         )
         .repartition(*keys, "stretch")
         .sortWithinPartitions(*keys, "stretch", "after_seq", "turn_id")
