@@ -28,6 +28,10 @@ def _spread(df: DataFrame, verdict) -> DataFrame:
     return df.withColumn("_verdict", verdict).select("*", "_verdict.*").drop("_verdict")
 
 
-def command_log(guarded: DataFrame) -> DataFrame:
-    """Rows worth logging: denials and questions, never plain allows."""
-    return guarded.where(F.col("permission") != "allow")
+def command_log(df: DataFrame, col: str) -> DataFrame:
+    """Guarded commands worth logging: denials and questions, never plain allows."""
+    verdict = F.array(commands.guard_command(F.col(col)))
+    # A filter on the verdict would be pushed below it and classify every command twice.
+    acted = F.explode_outer(F.filter(verdict, lambda v: v["permission"] != "allow")).alias("_verdict")
+    rows = df.select("*", acted).where(F.col("_verdict.permission").isNotNull())
+    return rows.select(*df.columns, "_verdict.*")

@@ -98,44 +98,38 @@ def redact_files(df: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     def scrub(text: Column) -> Column:
         return spans.redacted(text, rules.active, "inbound", rules.allow_patterns)
 
+    text = F.when(F.col("kind") == "text", F.decode("content", "UTF-8"))
     plain = (
-        classified.where(F.col("kind") == "text")
-        .withColumn("text", F.decode("content", "UTF-8"))
+        classified.where(F.col("kind") != "ooxml")
+        .withColumn("text", text)
         .withColumn("_r", scrub(F.col("text")))
         .select(
             "file_id", "scannable", "reason", "text", F.col("_r.text").alias("redacted"),
-            F.col("_r.matched").alias("matched"), F.lit(None).cast("bigint").alias("paragraphs"),
+            F.when(F.col("text").isNotNull(), F.col("_r.matched")).alias("matched"),
+            F.lit(None).cast("bigint").alias("paragraphs"),
         )
     )
     office_files = classified.where(F.col("kind") == "ooxml")
     paragraphs = office_paragraphs(office_parts(office_files, ["file_id"]), ["file_id"])
-    counted = paragraphs.withColumn("_r", scrub(F.col("text"))).select(
-        "file_id", F.explode_outer(F.map_entries("_r.matched")).alias("_m"),
-        (F.size("_r.matched") > 0).alias("_hit"), "part_at", "at",
-    )
-    per_rule = counted.groupBy("file_id", F.col("_m.key").alias("rule")).agg(
-        F.sum("_m.value").cast("int").alias("n")
-    )
-    changed = counted.groupBy("file_id").agg(
-        F.count_distinct(F.when(F.col("_hit"), F.struct("part_at", "at"))).alias("paragraphs")
+    # One row per paragraph and rule; place 0 stands for the paragraph itself.
+    per_rule = (
+        paragraphs.withColumn("_r", scrub(F.col("text")))
+        .select("file_id", F.posexplode_outer(F.map_entries("_r.matched")).alias("place", "m"))
+        .groupBy("file_id", F.col("m.key").alias("rule"))
+        .agg(F.sum("m.value").cast("int").alias("n"), F.count_if(F.col("place") == 0).alias("changed"))
     )
+    counted = F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("rule", "n")))
     summed = per_rule.groupBy("file_id").agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("rule", "n"))))
-        ).alias("matched")
-    ).join(changed, "file_id")
+        F.map_from_entries(F.array_sort(counted)).alias("matched"),
+        F.sum("changed").alias("paragraphs"),
+    )
     office = office_files.select("file_id", "scannable", "reason").join(summed, "file_id", "left").select(
         "file_id", "scannable", "reason",
         F.when(F.col("paragraphs").isNotNull(), "").alias("text"),
         F.when(F.col("paragraphs").isNotNull(), "").alias("redacted"),
         "matched", "paragraphs",
     )
-    blocked = classified.where(~F.col("scannable")).select(
-        "file_id", "scannable", "reason", F.lit(None).cast("string").alias("text"),
-        F.lit(None).cast("string").alias("redacted"),
-        F.lit(None).cast(spans.COUNTS).alias("matched"), F.lit(None).cast("bigint").alias("paragraphs"),
-    )
-    everything = plain.unionByName(office).unionByName(blocked)
+    everything = plain.unionByName(office)
     decision = files.decide_upload(
         F.col("scannable"), F.col("reason"), F.col("text"), F.lit(True), F.col("redacted"),
         spans.has_matches(F.col("matched")),

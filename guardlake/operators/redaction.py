@@ -276,26 +276,28 @@ def extract_mentions(prompts: DataFrame, files: DataFrame, id_col: str, prompt_c
         id_col, F.posexplode_outer(transcripts.mention_tokens(F.col(prompt_col))).alias("at", "path")
     ).where(F.col("path").isNotNull())
     first = tokens.groupBy(id_col, "path").agg(F.min("at").alias("at"))
-    known = first.join(files.select("path", "content"), "path")
+    known = first.join(files.select("path"), "path", "left_semi")
     place = F.row_number().over(Window.partitionBy(id_col).orderBy("at"))
     return (
         known.withColumn("nth", place)
         .where(F.col("nth") <= turn_values.MENTIONS_PER_PROMPT)
-        .select(id_col, "nth", "path", "content")
+        .select(id_col, "nth", "path")
     )
 
 
 def scan_targets(
     prompts: DataFrame,
     mentions: DataFrame,
+    files: DataFrame,
     pending: DataFrame,
     id_col: str,
     rules: RuleSet | None = None,
 ) -> DataFrame:
     """Per send: is any part of it sensitive, which part is first, and which rules matched there.
 
-    ``prompts`` (id, prompt), ``mentions`` (id, nth, path, content) and ``pending`` (id, pos, text) are
-    checked in this order; binary and blank parts are skipped, and so is a pending copy of the prompt.
+    ``prompts`` (id, prompt), ``mentions`` (id, nth, path) into ``files`` (path, content), and ``pending``
+    (id, pos, text) are checked in this order. Binary and blank parts are skipped, and so is a pending copy
+    of the prompt. A file is scanned once, however many sends mention it.
     """
     own = prompts.select(
         id_col,
@@ -304,10 +306,6 @@ def scan_targets(
         F.lit(turn_values.PROMPT_LABEL).alias("label"),
         F.col("prompt").alias("text"),
     )
-    named = mentions.where(~F.contains("content", F.lit("\x00"))).select(
-        id_col, F.lit(1).alias("part"), F.col("nth").cast("bigint"), F.col("path").alias("label"),
-        F.col("content").alias("text"),
-    )
     same = js_trim(F.col("prompt")) == F.col("text")
     queued = (
         pending.join(prompts.select(id_col, "prompt"), id_col)
@@ -317,14 +315,23 @@ def scan_targets(
             F.lit(turn_values.PENDING_LABEL).alias("label"), "text",
         )
     )
-    parts = own.unionByName(named).unionByName(queued).where(js_trim(F.col("text")) != "")
-    checked = detect_pii(parts, "text", rules)
+    typed = own.unionByName(queued).where(js_trim(F.col("text")) != "")
+    checked = detect_pii(typed, "text", rules).drop("text")
+    used = files.join(mentions.select("path").distinct(), "path", "left_semi").where(
+        (js_trim(F.col("content")) != "") & ~F.contains("content", F.lit("\x00"))
+    )
+    scanned = detect_pii(used, "content", rules).select("path", "matched", "pii_detected")
+    named = mentions.join(scanned, "path").select(
+        id_col, F.lit(1).alias("part"), F.col("nth").cast("bigint"), F.col("path").alias("label"),
+        "matched", "pii_detected",
+    )
     hit = F.when(
         F.col("pii_detected"),
         F.struct("part", "nth", "label", F.array_sort(F.map_keys("matched")).alias("types")),
     )
     return (
-        checked.groupBy(id_col)
+        checked.unionByName(named)
+        .groupBy(id_col)
         .agg(F.count(F.lit(1)).alias("targets"), F.min(hit).alias("_hit"))
         .select(
             id_col,

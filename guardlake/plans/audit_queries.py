@@ -162,9 +162,7 @@ def security_log(spark, sf_dir):
         F.lit("cursor-hook").alias("surface"), F.col("analysis.verdict").alias("verdict"),
         F.col("prompt").alias("raw_prompt"), "guidance",
     )
-    denied = commands.command_log(
-        commands.guard_commands(inputs.commands(spark, sf_dir), "command")
-    ).select(F.lit("claude-code").alias("surface"), "permission", F.col("category").alias("command_category"), "command")
+    denied = commands.command_log(inputs.commands(spark, sf_dir), "command").select(F.lit("claude-code").alias("surface"), "permission", F.col("category").alias("command_category"), "command")
     found = codescan.finding_audit(guard_queries._findings(spark, sf_dir), ["conv_id", "file_path"]).select(
         F.lit("claude-code").alias("surface"), "conv_id", "file_path", "n_findings"
     )

@@ -188,9 +188,7 @@ def _security(spark, sf_dir):
     guard = flagged.select(
         F.lit("prompt-guard").alias("kind"), F.col("analysis.categories").alias("categories"), "guidance"
     )
-    denied = command_ops.command_log(
-        command_ops.guard_commands(inputs.commands(spark, sf_dir), "command")
-    ).select(F.lit("command-guard").alias("kind"))
+    denied = command_ops.command_log(inputs.commands(spark, sf_dir), "command").select(F.lit("command-guard").alias("kind"))
     return guard.unionByName(denied, allowMissingColumns=True)
 
 
@@ -247,7 +245,7 @@ def command_verdicts(spark, sf_dir):
 def guarded_commands(spark, sf_dir):
     c = inputs.commands(spark, sf_dir)
     unread = c.withColumn("command", F.when(F.col("doc_id") % 23 != 0, F.col("command")))
-    log = command_ops.command_log(command_ops.guard_commands(unread, "command"))
+    log = command_ops.command_log(unread, "command")
     return log.select("doc_id", "permission", "category", "user_message")
 
 

@@ -302,7 +302,7 @@ def _mention_inputs(spark, sf_dir):
 @query
 def mentioned_files(spark, sf_dir):
     _, prompts, files = _mention_inputs(spark, sf_dir)
-    out = redaction.extract_mentions(prompts, files, "send_id", "prompt")
+    out = redaction.extract_mentions(prompts, files, "send_id", "prompt").join(files, "path")
     return out.select("send_id", "nth", "path", F.length("content").alias("n_chars"))
 
 
@@ -316,7 +316,7 @@ def scanned_sends(spark, sf_dir):
         F.lit(0).alias("pos"),
         F.concat(F.lit("mail a@b.org "), "text").alias("text"),
     )
-    return redaction.scan_targets(prompts, mentions, pending, "send_id")
+    return redaction.scan_targets(prompts, mentions, files, pending, "send_id")
 
 
 # --- files ------------------------------------------------------------------------------------------
