@@ -13,14 +13,14 @@ from guardlake.fixed import turns as fixed
 from guardlake.functions import payload, spans, transcripts
 from guardlake.functions.expr import js_trim
 from guardlake.functions.text import short_hash
-from guardlake.operators.sequence import running_sums
+from guardlake.operators.sequence import BLOCK, running_sums
 from guardlake.rules import RuleSet
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Transcript lines (path, pos, value) as kind, typed text, attachments and reply.
 
-    Lines that are no JSON are skipped, as a half-written last line would be.
+    Lines that are no JSON, as a half-written last line would be, and other messages get a null kind.
     """
     work = lines.withColumn("_v", payload.parsed(F.col("value"))).where(
         F.trim("value") != ""
@@ -40,17 +40,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         .when(is_user, "user")
         .when(F.col("role") == "assistant", "assistant")
     )
-    return (
-        work.withColumn("kind", kind)
-        .where(F.col("kind").isNotNull())
-        .select(
-            "path",
-            "pos",
-            "kind",
-            F.when(F.col("kind") == "user", transcripts.typed_message(F.col("_text"))).alias("typed"),
-            F.when(F.col("kind") == "user", transcripts.attachments(F.col("_text"))).alias("attached"),
-            F.when(F.col("kind") == "assistant", F.col("_text")).alias("reply"),
-        )
+    return work.withColumn("kind", kind).select(
+        "path",
+        "pos",
+        "kind",
+        F.when(F.col("kind") == "user", transcripts.typed_message(F.col("_text"))).alias("typed"),
+        F.when(F.col("kind") == "user", transcripts.attachments(F.col("_text"))).alias("attached"),
+        F.when(F.col("kind") == "assistant", F.col("_text")).alias("reply"),
     )
 
 
@@ -77,77 +73,93 @@ def build_turns(
     """Completed turns: path, turn, prompt, response, scan_extra, unchecked.
 
     The messages up to each end marker form a turn; an unfinished tail is dropped. A side is cut at
-    ``cap`` characters, so only messages that begin before the cut travel to the group.
+    ``cap`` characters. Texts are joined per block of lines first and per turn then, and at both levels only
+    what begins before the cut travels on, so that no turn is too long for its task.
     """
     messages = parse_lines(lines)
     if approved is not None:
         messages = flag_unchecked(messages, approved)
     else:
         messages = messages.withColumn("unchecked", F.lit(False))
-    ends = (F.col("kind") == "end").cast("int")
-    numbered = running_sums(messages, ["path"], "pos", {"turn": ends})
-    gap = len(fixed.TURN_SEPARATOR)
+    ends = F.when(F.col("kind") == "end", 1).otherwise(0)
+    numbered = running_sums(messages, ["path"], "pos", {"turn": ends}, totals_of=_end_markers(lines))
+    # Below the window this filter would have every line parsed twice.
+    numbered = numbered.where(F.col("kind").isNotNull())
+    sides = {
+        "typed": fixed.TURN_SEPARATOR,
+        "reply": "",
+        "attached": fixed.TURN_SEPARATOR,
+    }
+    blocks = _joined(
+        numbered.withColumn("block", F.floor(F.col("pos") / BLOCK)).withColumn("ended", F.col("kind") == "end"),
+        ["path", "turn", "block"], "pos", sides, cap,
+    )
+    whole = _joined(blocks, ["path", "turn"], "block", sides, cap)
+    return whole.where("ended").select(
+        "path",
+        "turn",
+        F.col("typed").alias("prompt"),
+        F.col("reply").alias("response"),
+        F.col("attached").alias("scan_extra"),
+        "unchecked",
+    )
 
-    def size(col: str, extra: int):
-        filled = F.coalesce(F.col(col), F.lit("")) != ""
-        return F.when(filled, F.length(col) + extra).otherwise(0)
 
-    placed = running_sums(
-        numbered,
-        ["path", "turn"],
-        "pos",
-        {"_typed_at": size("typed", gap), "_extra_at": size("attached", gap), "_reply_at": size("reply", 0)},
-    )
+def _end_markers(lines: DataFrame) -> DataFrame:
+    """1 for end markers, 0 for other lines; only lines that hold the marker's text are parsed."""
+    is_end = payload.string_field(payload.parsed(F.col("value")), "$.type") == fixed.TURN_END
+    named = F.contains("value", F.lit(fixed.TURN_END))
+    turn = F.when(named, F.coalesce(is_end, F.lit(False)).cast("int")).otherwise(0)
+    return lines.select("path", "pos", turn.alias("turn"))
 
-    def side(col: str, at: str):
-        # The separator before a message may still fall into the cut.
-        wanted = (F.coalesce(F.col(col), F.lit("")) != "") & (F.col(at) < cap + gap)
-        return F.collect_list(F.when(wanted, F.struct("pos", F.col(col).alias("text"))))
-
-    def joined(col: str, separator: str):
-        texts = F.transform(F.array_sort(F.col(col)), lambda m: m["text"])
-        return F.substring(F.array_join(texts, separator), 1, cap)
-
-    return (
-        placed.groupBy("path", "turn")
-        .agg(
-            F.bool_or(F.col("kind") == "end").alias("_ended"),
-            F.bool_or("unchecked").alias("unchecked"),
-            side("typed", "_typed_at").alias("_typed"),
-            side("reply", "_reply_at").alias("_reply"),
-            side("attached", "_extra_at").alias("_extra"),
-        )
-        .where("_ended")
-        .select(
-            "path",
-            "turn",
-            joined("_typed", fixed.TURN_SEPARATOR).alias("prompt"),
-            joined("_reply", "").alias("response"),
-            joined("_extra", fixed.TURN_SEPARATOR).alias("scan_extra"),
-            F.coalesce("unchecked", F.lit(False)).alias("unchecked"),
-        )
+
+def _joined(
+    rows: DataFrame, keys: list[str], order: str, sides: dict[str, str], cap: int
+) -> DataFrame:
+    """Texts of each side joined in order and cut; the window and the grouping share one shuffle."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def filled(col: str) -> Column:
+        return F.coalesce(F.col(col), F.lit("")) != ""
+
+    def start(col: str, separator: str) -> Column:
+        size = F.when(filled(col), F.length(col) + len(separator)).otherwise(0)
+        return F.coalesce(F.sum(size).over(before), F.lit(0))
+
+    def texts(col: str, separator: str) -> Column:
+        # The separator before a text may still fall into the cut.
+        wanted = filled(col) & (F.col(f"_{col}_at") < cap + len(separator))
+        listed = F.collect_list(F.when(wanted, F.struct(order, F.col(col).alias("text"))))
+        joined = F.array_join(F.transform(F.array_sort(listed), lambda t: t["text"]), separator)
+        return F.substring(joined, 1, cap).alias(col)
+
+    placed = rows.withColumns({f"_{col}_at": start(col, sep) for col, sep in sides.items()})
+    return placed.groupBy(*keys).agg(
+        F.bool_or("ended").alias("ended"),
+        F.coalesce(F.bool_or("unchecked"), F.lit(False)).alias("unchecked"),
+        *[texts(col, sep) for col, sep in sides.items()],
     )
 
 
 def pending_messages(lines: DataFrame) -> DataFrame:
     """User queries after the last end marker: path, pos, nth, text."""
-    parsed = lines.where(F.trim("value") != "").select(
-        "path", "pos", payload.parsed(F.col("value")).alias("_v")
-    )
-    parsed = parsed.select(
+    parsed = payload.parsed(F.col("value"))
+    rows = lines.select("path", "pos", parsed.alias("_v")).select(
         "path",
         "pos",
-        (payload.string_field(F.col("_v"), "$.type") == fixed.TURN_END).alias("_end"),
         (payload.string_field(F.col("_v"), "$.role") == "user").alias("_user"),
         transcripts.message_text(payload.field(F.col("_v"), "$.message.content")).alias("_text"),
     )
-    last = parsed.where("_end").groupBy("path").agg(F.max("pos").alias("_last"))
-    after = parsed.where("_user").join(last, "path", "left").where(
-        F.col("_last").isNull() | (F.col("pos") > F.col("_last"))
+    queries = F.when(F.col("_user"), transcripts.user_queries(F.col("_text")))
+    spoken = rows.select("path", "pos", F.posexplode_outer(queries).alias("nth", "text")).where(
+        F.col("text").isNotNull()
     )
-    return after.select(
-        "path", "pos", F.posexplode_outer(transcripts.user_queries(F.col("_text"))).alias("nth", "text")
-    ).where(F.col("text").isNotNull())
+    last = _end_markers(lines).groupBy("path").agg(
+        F.max(F.when(F.col("turn") == 1, F.col("pos"))).alias("_last")
+    )
+    return spoken.join(last, "path", "left").where(
+        F.col("_last").isNull() | (F.col("pos") > F.col("_last"))
+    ).drop("_last")
 
 
 def turn_hash(prompt: Column, response: Column) -> Column:
