@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from guardlake.fixed import commands as fixed
 from guardlake.functions import commands
+from guardlake.operators.barrier import sealed
 
 
 def command_categories(spark: SparkSession) -> DataFrame:
@@ -30,8 +31,4 @@ def _spread(df: DataFrame, verdict) -> DataFrame:
 
 def command_log(df: DataFrame, col: str) -> DataFrame:
     """Guarded commands worth logging: denials and questions, never plain allows."""
-    verdict = F.array(commands.guard_command(F.col(col)))
-    # A filter on the verdict would be pushed below it and classify every command twice.
-    acted = F.explode_outer(F.filter(verdict, lambda v: v["permission"] != "allow")).alias("_verdict")
-    rows = df.select("*", acted).where(F.col("_verdict.permission").isNotNull())
-    return rows.select(*df.columns, "_verdict.*")
+    return sealed(guard_commands(df, col)).where(F.col("permission") != "allow")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from guardlake.fixed import prompts as fixed
 from guardlake.functions import risk
 from guardlake.functions.expr import js_trim
+from guardlake.operators.barrier import sealed
 
 
 def guidance_templates(spark: SparkSession) -> DataFrame:
@@ -62,6 +63,12 @@ def guard_prompts(prompts: DataFrame, col: str, verdict_col: str | None = None)
     )
 
 
+def flagged_prompts(prompts: DataFrame, col: str, verdict_col: str | None = None) -> DataFrame:
+    """Guarded prompts worth logging: whatever is not plainly allowed."""
+    guarded = sealed(guard_prompts(prompts, col, verdict_col))
+    return guarded.where(F.col("analysis.verdict") != "allow")
+
+
 def risk_summary(security: DataFrame) -> DataFrame:
     """``metric, n``: flagged prompts, prompts with guidance, and prompts per category.
 

@@ -13,6 +13,7 @@ from guardlake.fixed import turns as fixed
 from guardlake.functions import payload, spans, transcripts
 from guardlake.functions.expr import js_trim
 from guardlake.functions.text import short_hash
+from guardlake.operators.barrier import sealed
 from guardlake.operators.sequence import BLOCK, running_sums
 from guardlake.rules import RuleSet
 
@@ -230,7 +231,7 @@ def log_turns(turns: DataFrame, rules: RuleSet | None = None) -> DataFrame:
 
 def confirmed_leaks(logged: DataFrame) -> DataFrame:
     """Turns with PII that took a path no gate could see."""
-    return logged.where((F.col("unchecked") | F.col("has_attachment")) & F.col("pii_detected"))
+    return sealed(logged).where((F.col("unchecked") | F.col("has_attachment")) & F.col("pii_detected"))
 
 
 # --- replies onto flagged prompts -------------------------------------------------------------------

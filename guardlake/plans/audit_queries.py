@@ -158,7 +158,7 @@ def rate_limited_users(spark, sf_dir):
 
 @query
 def security_log(spark, sf_dir):
-    flagged = guard_queries._analyzed(spark, sf_dir).where(F.col("analysis.verdict") != "allow").select(
+    flagged = guard_queries.flagged(spark, sf_dir).select(
         F.lit("cursor-hook").alias("surface"), F.col("analysis.verdict").alias("verdict"),
         F.col("prompt").alias("raw_prompt"), "guidance",
     )

@@ -78,10 +78,17 @@ def attached_verdicts(spark, sf_dir):
     return out.select("conv_id", "turn", "verdict.risk", "verdict.confidence")
 
 
-def _analyzed(spark, sf_dir):
+def _judged(spark, sf_dir):
     users = inputs.prompts(spark, sf_dir)
-    judged = prompts.attach_verdicts(users, "prompt", _verdict_table(spark, sf_dir))
-    return prompts.guard_prompts(judged, "prompt", "verdict")
+    return prompts.attach_verdicts(users, "prompt", _verdict_table(spark, sf_dir))
+
+
+def _analyzed(spark, sf_dir):
+    return prompts.guard_prompts(_judged(spark, sf_dir), "prompt", "verdict")
+
+
+def flagged(spark, sf_dir):
+    return prompts.flagged_prompts(_judged(spark, sf_dir), "prompt", "verdict")
 
 
 @query
@@ -184,8 +191,7 @@ def injected_guidance(spark, sf_dir):
 
 
 def _security(spark, sf_dir):
-    flagged = _analyzed(spark, sf_dir).where(F.col("analysis.verdict") != "allow")
-    guard = flagged.select(
+    guard = flagged(spark, sf_dir).select(
         F.lit("prompt-guard").alias("kind"), F.col("analysis.categories").alias("categories"), "guidance"
     )
     denied = command_ops.command_log(inputs.commands(spark, sf_dir), "command").select(F.lit("command-guard").alias("kind"))

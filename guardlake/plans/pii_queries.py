@@ -16,6 +16,7 @@ from guardlake.functions.expr import all_matches
 from guardlake.functions.text import redact_url_credentials, residual_pii, snapshot
 from guardlake.operators import files as file_ops
 from guardlake.operators import redaction
+from guardlake.operators.barrier import sealed
 from guardlake.plans import inputs, samples
 from guardlake.rules import RuleSet
 
@@ -383,8 +384,8 @@ def _archives(spark, sf_dir):
 def office_paragraphs(spark, sf_dir):
     parts = file_ops.office_parts(_archives(spark, sf_dir), ["file_id"])
     texts = file_ops.office_paragraphs(parts, ["file_id"])
-    r = redaction.redact(texts.where(F.col("text") != ""), "text")
-    return r.where(F.size("matched") > 0).select(
+    r = redaction.redact(texts, "text")
+    return sealed(r).where(F.size("matched") > 0).select(
         "file_id", F.col("redacted").alias("text"), counts_text("matched").alias("matched")
     )
 
