@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,44 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+def _blocks(items: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(block number, block width)`` for blocks about as many as they are wide.
+
+    Appending to an array copies it, and finding a character walks the text. Both are done per block, so a
+    text with very many matches costs n * sqrt(n) instead of n * n.
+    """
+    width = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(items).cast("double")))).cast("int")
+
+    def run(w: Column) -> Column:
+        last = F.greatest(F.floor((F.size(items) - 1) / w).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: body(b, w))
+
+    return let(width, run)
+
+
+def fold_spans(items: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Fold items, in order, with a state of a position and the spans so far."""
+
+    def folded(all_items: Column) -> Column:
+        def append(acc: Column, block: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), no_spans().alias("spans"))
+            return let(
+                F.aggregate(block, start, step),
+                lambda r: F.struct(
+                    r["at"].alias("at"),
+                    F.concat(acc["blocks"], F.array(r["spans"])).alias("blocks"),
+                ),
+            )
+
+        blocks = _blocks(all_items, lambda b, w: F.slice(all_items, b * w + 1, w))
+        zero = F.struct(
+            F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("blocks")
+        )
+        return F.aggregate(blocks, zero, append, lambda acc: F.flatten(acc["blocks"]))
+
+    return let(items, folded)
+
+
 def allowlisted(value: Column, patterns: Sequence[str]) -> Column:
     """True when any allowlist pattern matches somewhere in the value."""
     return any_of(value.rlike(p) for p in patterns)
@@ -63,7 +101,6 @@ def spans_of(hits: Column, allow: Sequence[str] = ()) -> Column:
     pieces = F.zip_with(
         pairs, hits["refused"], lambda p, r: F.struct(p["gap"], p["value"], r.alias("refused"))
     )
-    zero = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
 
     def step(acc: Column, piece: Column) -> Column:
         start = acc["at"] + piece["gap"]
@@ -75,7 +112,7 @@ def spans_of(hits: Column, allow: Sequence[str] = ()) -> Column:
         spans = F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
+    return fold_spans(pieces, step)
 
 
 def find_spans(text: Column, rules, allow: Sequence[str] = ()) -> Column:
@@ -117,7 +154,6 @@ def _resolve(spans: Column) -> Column:
             ),
         )
     )
-    zero = F.struct(F.lit(0).alias("at"), no_spans().alias("kept"))
 
     def step(acc: Column, s: Column) -> Column:
         span = F.struct(
@@ -126,11 +162,10 @@ def _resolve(spans: Column) -> Column:
         free = s["start"] >= acc["at"]
         return F.struct(
             F.when(free, -s["back"]).otherwise(acc["at"]).alias("at"),
-            F.when(free, F.concat(acc["kept"], F.array(span))).otherwise(acc["kept"]).alias("kept"),
+            F.when(free, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
         )
 
-    folded = F.aggregate(by_place, zero, step, lambda acc: acc["kept"])
-    return F.when(F.size(spans) < 2, spans).otherwise(folded)
+    return F.when(F.size(spans) < 2, spans).otherwise(let(by_place, lambda b: fold_spans(b, step)))
 
 
 def token_for(rule: Column, direction: str) -> Column:
@@ -142,14 +177,31 @@ def token_for(rule: Column, direction: str) -> Column:
 def render(text: Column, kept: Column, direction: str = "inbound") -> Column:
     """The text with every kept span replaced by its token."""
 
-    def gap_and_token(span: Column, i: Column) -> Column:
-        last_end = F.when(i == 0, 0).otherwise(F.get(kept, i - 1)["end"])
-        gap = F.substring(text, last_end + 1, span["start"] - last_end)
-        return F.concat(gap, token_for(span["rule"], direction))
+    def end_before(i: Column) -> Column:
+        return F.when(i == 0, 0).otherwise(F.get(kept, i - 1)["end"])
+
+    def block(b: Column, w: Column) -> Column:
+        def pieces(part: Column) -> Column:
+            def piece(span: Column, i: Column) -> Column:
+                last = F.when(i == 0, part["from"]).otherwise(F.get(part["spans"], i - 1)["end"])
+                gap = F.substring(part["text"], last - part["from"] + 1, span["start"] - last)
+                return F.concat(gap, token_for(span["rule"], direction))
+
+            return F.array_join(F.transform(part["spans"], piece), "")
+
+        def cut(part: Column) -> Column:
+            end = F.element_at(part["spans"], -1)["end"]
+            inside = F.substring(text, part["from"] + 1, end - part["from"])
+            return F.struct(part["from"], part["spans"], inside.alias("text"))
+
+        part = F.struct(
+            end_before(b * w).alias("from"), F.slice(kept, b * w + 1, w).alias("spans")
+        )
+        return let(let(part, cut), pieces)
 
     last = F.get(kept, F.size(kept) - 1)["end"]
     tail = F.substring(text, last + 1, F.length(text))
-    whole = F.concat(F.array_join(F.transform(kept, gap_and_token), ""), tail)
+    whole = F.concat(F.array_join(_blocks(kept, block), ""), tail)
     return F.when(F.size(kept) == 0, text).otherwise(whole)
 
 

@@ -61,14 +61,16 @@ def detect_pii(df: DataFrame, col: str, rules: RuleSet | None = None) -> DataFra
 def exploded_spans(df: DataFrame, keep: list[str], col: str, rules: RuleSet | None = None) -> DataFrame:
     """One row per kept span with its value."""
     work = _with_kept(df, col, rules)
-    # The outer form keeps Spark from testing the span list once more below the projection.
-    rows = work.select(*keep, F.col(col).alias("_text"), F.explode_outer("_kept").alias("_span"))
-    value = F.substring(
-        F.col("_text"), F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start")
-    )
-    return rows.where(F.col("_span.rule").isNotNull()).select(
-        *keep, "_span.rule", "_span.start", "_span.end", value.alias("value")
+    valued = F.transform(
+        "_kept",
+        lambda s: F.struct(
+            s["rule"], s["start"], s["end"],
+            F.substring(F.col(col), s["start"] + 1, s["end"] - s["start"]).alias("value"),
+        ),
     )
+    # The outer form keeps Spark from testing the span list once more below the projection.
+    rows = work.select(*keep, F.explode_outer(valued).alias("_span"))
+    return rows.where(F.col("_span.rule").isNotNull()).select(*keep, "_span.*")
 
 
 def counts_by(df: DataFrame, keys: list[str], col: str, rules: RuleSet | None = None) -> DataFrame:
