@@ -26,16 +26,21 @@ def build_traffic(
     """
     rules = rules or RuleSet()
     allow = rules.allow_patterns
-    inbound = payload.redacted_json(
-        messages.drop_empty_blocks(F.coalesce("request", F.lit(""))), rules.active, "inbound", allow
+    # Step by step: the analyzer resolves nested lambdas one level per pass and stops at a hundred.
+    given = exchanges.withColumns(
+        {
+            "_request": messages.drop_empty_blocks(F.coalesce("request", F.lit(""))),
+            "_response": F.coalesce("response", F.lit("")),
+        }
     )
-    response = F.coalesce("response", F.lit(""))
+    inbound = payload.redacted_json(F.col("_request"), rules.active, "inbound", allow)
+    response = F.col("_response")
     is_stream = messages.is_event_stream(response)
     streamed = redacted_stream_body(F.col("provider"), F.when(is_stream, response), rules)
     buffered = payload.redacted_json(
         F.when(~is_stream, response), rules.active, "outbound", allow
     )
-    work = exchanges.withColumns({"_in": inbound, "_sse": streamed, "_body": buffered})
+    work = given.withColumns({"_in": inbound, "_sse": streamed, "_body": buffered})
     work = work.withColumn("_out", F.when(is_stream, F.col("_sse")).otherwise(F.col("_body")))
     request, response = F.col("_in.text"), F.col("_out.text")
     seen = spans.has_matches(F.col("_in.matched")) | spans.has_matches(F.col("_out.matched"))

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Deeply nested payload types take one analyzer pass per level.
+    "spark.sql.analyzer.maxIterations": "300",
 }
 
 # Keyed state of the stateful streaming operators.
