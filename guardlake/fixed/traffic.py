@@ -114,5 +114,8 @@ AUDIT_VIEW_DEFAULT, AUDIT_VIEW_ROWS = 500, 5000
 ATTEMPTS_PER_WINDOW = 5
 ATTEMPT_WINDOW_MILLIS = 60_000
 
+# Reason given when a scrub could not be verified.
+UNVERIFIED_REASON = "gateway-unreachable"
+
 STREAM_HOLDBACK = 96
 STREAM_UNFRAMED_CHARS = 64 * 1024

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from guardlake.fixed import files as fixed
+from guardlake.fixed.traffic import UNVERIFIED_REASON
 from guardlake.functions.expr import let
 
 
@@ -88,7 +89,7 @@ def decide_upload(
             ~F.coalesce(scannable, F.lit(False)), answer("block", "upload-unscannable", reason)
         )
         .when(text.isNull(), answer("block", "upload-unreadable"))
-        .when(~verified, answer("block", "gateway-unreachable"))
+        .when(~verified, answer("block", UNVERIFIED_REASON))
         .when(changed, answer("replace", "pii-redacted", out=redacted))
         .otherwise(answer("allow", "no-pii"))
     )

@@ -210,7 +210,7 @@ def decide_send(ok: Column, redacted_text: Column, original: Column) -> Column:
     stopped = F.struct(
         F.lit("block").alias("action"),
         F.lit(None).cast("string").alias("text"),
-        F.lit("gateway-unreachable").alias("reason"),
+        F.lit(fixed.UNVERIFIED_REASON).alias("reason"),
     )
     return F.when(F.coalesce(ok, F.lit(False)), sent).otherwise(stopped)
 

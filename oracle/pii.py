@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from guardlake.fixed import files as file_values
 from guardlake.fixed.pii import PII_PATTERNS
+from guardlake.fixed.traffic import UNVERIFIED_REASON
 from guardlake.plans import pii_queries, samples
 from oracle.parts import (
     CHECKS, DEFAULT, PROMPTS, SEEDED, good_spans, kept_spans, lit, luhn, pick, public_ipv4,
@@ -234,7 +235,7 @@ ORACLE["classified_files"] = (
 ORACLE["upload_decisions"] = f"""
 with recursive {SEEDED}, {_FILES}, {_WITH_EXT}, {_classified('size')}, {redacted('seeded', 'doc_id')},
 d as (select c.*, r.red, case when why not in ('text', 'ooxml') then 'upload-unscannable' when file_id % 13 = 0 then 'upload-unreadable'
-  when file_id % 17 = 0 then 'gateway-unreachable' when r.matched <> '' then 'pii-redacted' else 'no-pii' end as r2
+  when file_id % 17 = 0 then {lit(UNVERIFIED_REASON)} when r.matched <> '' then 'pii-redacted' else 'no-pii' end as r2
   from classes c join red r on r.key = c.file_id)
 select file_id, case r2 when 'pii-redacted' then 'replace' when 'no-pii' then 'allow' else 'block' end as action, r2 as reason,
   case when r2 = 'upload-unscannable' then why end as detail, case when r2 = 'pii-redacted' then red end as text from d

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from guardlake.fixed import traffic as traffic_values
 from guardlake.fixed import turns as turn_values
+from guardlake.fixed.traffic import UNVERIFIED_REASON
 from guardlake.plans import samples
 from guardlake.plans.traffic_queries import OVERRIDES
 from oracle.parts import DECISIONS, SEEDED, has, lit, pick, re2, redacted, trim
@@ -146,7 +147,7 @@ with {DECISIONS} select event_id, surface, case when event_id % 10 = 0 then 'raw
 """
 ORACLE["send_decisions"] = f"""
 with recursive {SEEDED}, {redacted('seeded', 'doc_id')} select key as doc_id, case when key % 5 = 0 then 'block' else 'submit' end as action,
-  case when key % 5 = 0 then null when key % 3 = 0 then text else red end as text, case when key % 5 = 0 then 'gateway-unreachable' end as reason from red
+  case when key % 5 = 0 then null when key % 3 = 0 then text else red end as text, case when key % 5 = 0 then {lit(UNVERIFIED_REASON)} end as reason from red
 """
 
 # --- turns ------------------------------------------------------------------------------------------
