@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.llm import common, simhash
+from guardlake.llm import common, packing, simhash
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +14,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.tokenized(common.load(spark, sf_dir, "documents"), path, end_id=2, capacity=1024)
+    return packing.pack(pieces, capacity=1024)
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op9_packing": op9_packing}
 ORACLE: dict[str, str] = {}
