@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.llm import common, packing, simhash
+from guardlake.llm import common, packing, simhash, toxicity
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +14,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.load(spark, sf_dir, "documents")
+    model = toxicity.train(docs, common.load(spark, sf_dir, "labels"))
+    scored = toxicity.score(common.spread(docs.select("doc_id", "text")), model)
+    return scored.select(
+        "doc_id",
+        common.held_out(F.col("doc_id"), 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.tokenized(common.load(spark, sf_dir, "documents"), path, end_id=2, capacity=1024)
     return packing.pack(pieces, capacity=1024)
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op9_packing": op9_packing}
+QUERIES = {"op2_simhash": op2_simhash, "op5_toxicity": op5_toxicity, "op9_packing": op9_packing}
 ORACLE: dict[str, str] = {}
