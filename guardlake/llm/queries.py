@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.llm import common, packing, simhash, toxicity
+from guardlake.llm import common, linededup, packing, simhash, toxicity
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +26,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.load(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.deduplicate(docs).select("doc_id", F.length("text").alias("n_chars"), "text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.tokenized(common.load(spark, sf_dir, "documents"), path, end_id=2, capacity=1024)
     return packing.pack(pieces, capacity=1024)
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op5_toxicity": op5_toxicity, "op9_packing": op9_packing}
+QUERIES = {"op2_simhash": op2_simhash, "op5_toxicity": op5_toxicity, "op8_linededup": op8_linededup, "op9_packing": op9_packing}
 ORACLE: dict[str, str] = {}
