@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.llm import common, linededup, packing, simhash, toxicity
+from guardlake.llm import common, linededup, packing, pieces, simhash, toxicity, winnowing
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edits(common.load(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents")
     model = toxicity.train(docs, common.load(spark, sf_dir, "labels"))
@@ -26,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(common.load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.deduplicate(docs).select("doc_id", F.length("text").alias("n_chars"), "text")
@@ -37,5 +45,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=1024)
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op5_toxicity": op5_toxicity, "op8_linededup": op8_linededup, "op9_packing": op9_packing}
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op4_winnowing": op4_winnowing,
+    "op5_toxicity": op5_toxicity,
+    "op7_pieces": op7_pieces,
+    "op8_linededup": op8_linededup,
+    "op9_packing": op9_packing,
+}
 ORACLE: dict[str, str] = {}

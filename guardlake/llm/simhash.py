@@ -184,10 +184,10 @@ def links(prints: DataFrame, radius: int = 2, bands: int = BANDS, tree_rows: int
     return dealt.mapInPandas(_link_buckets(radius), "a long, b long")
 
 
-def _classified(prints: DataFrame, radius: int) -> DataFrame:
+def _classified(prints: DataFrame, radius: int, bands: int) -> DataFrame:
     """(fp, key) rows in; (fp, component_id) out, one row per fingerprint."""
     classes = common.written(prints.groupBy("fp").agg(F.min("key").alias("key")), "classes")
-    parts = common.components(links(classes.select("fp"), radius))
+    parts = common.components(links(classes.select("fp"), radius, bands))
     named = classes.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
         "fp", "key", F.coalesce("component", "fp").alias("part")
     )
@@ -207,10 +207,12 @@ def near_duplicates(
     common.bounded_batches(docs.sparkSession)
     rows = common.spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     prints = common.written(rows.select("key", fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
-    return prints.join(_classified(prints, radius), "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return prints.join(_classified(prints, radius, BANDS), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, radius: int = 2) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, radius: int = 6, bands: int = 8
+) -> DataFrame:
     """Keep one document of each component: the one with the smallest key; columns as given.
 
     Of several rows with that very key one is kept, the same in every run. Texts without any word are linked with
@@ -229,7 +231,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     rows = common.spread(named.select(F.col(key).alias("key"), k, null, row, F.col(text).alias("text")))
     prints = common.written(rows.select("key", k, null, row, fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
     kept = (
-        prints.join(_classified(prints, radius), "fp")
+        prints.join(_classified(prints, radius, bands), "fp")
         .where(F.col("key").eqNullSafe(F.col("component_id")))
         .groupBy(k, null)
         .agg(F.min(row).alias(row))
