@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.llm import common, linededup, packing, pieces, simhash, toxicity, winnowing
+from guardlake.llm import common, linededup, packing, pieces, ppm, simhash, toxicity, winnowing
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=1024)
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(common.load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_winnowing": op4_winnowing,
@@ -52,5 +56,6 @@ QUERIES = {
     "op7_pieces": op7_pieces,
     "op8_linededup": op8_linededup,
     "op9_packing": op9_packing,
+    "op10_ppm": op10_ppm,
 }
 ORACLE: dict[str, str] = {}
