@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +23,7 @@ SAFE = r"[\t\n\r -~\xa1-ɏ]*"
 LOOSE = r" [\s]|[\t\n\r] "
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 # What a worker remembers, in entries, before it starts afresh.
-WORDS, PIECES = 300_000, 800_000
+WORDS, PIECES = 100_000, 250_000
 
 
 class Remembered(dict):
@@ -89,6 +90,12 @@ class Encoder:
         return self._pieces(first) + b"".join(map(self.of_word.__getitem__, words))
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, kept with what it remembers from task to task."""
+    return Encoder(path)
+
+
 class Rule(NamedTuple):
     """Documents of one length with ranks from ``first`` on go to bins from ``bin`` on, ``each`` per bin, at ``offset``."""
 
@@ -174,7 +181,7 @@ def tokenized(
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
             for name, value in zip(batch["key"], batch["text"]):

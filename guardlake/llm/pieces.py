@@ -20,7 +20,7 @@ from guardlake.llm import common
 SPACE_MARK = "▁"
 MALFORMED = "�".encode()
 # Words whose pieces a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class CharMap:

@@ -18,7 +18,7 @@ WORDS = re.compile(r"\w+")
 # Words this long or longer also count by their beginnings of these lengths, which inflected and joined forms share.
 STEMS = range(3, 10)
 # Words whose terms a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def of_word(word: str) -> list[int]:
