@@ -6,7 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.llm import common, linededup, packing, pieces, ppm, simhash, toxicity, winnowing
+from guardlake.llm import common, embeddings, licenses, linededup, packing, pieces, ppm, simhash, toxicity, warc, winnowing
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.responses(common.load(spark, sf_dir, "pages")).select("page_id", "record")
+    found = warc.derive(common.spread(pages))
+    kept = ["page_id", "record_type", "record_id", "refers_to", "target_uri", "block", "block_digest"]
+    return found.select(*kept, F.sha2("derived", 256).alias("record_sha256"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.spread(common.load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_edits(common.load(spark, sf_dir, "documents"))
 
@@ -30,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(common.load(spark, sf_dir, "embeddings"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(common.load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -50,9 +65,12 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op4_winnowing": op4_winnowing,
     "op5_toxicity": op5_toxicity,
+    "op6_embeddings": op6_embeddings,
     "op7_pieces": op7_pieces,
     "op8_linededup": op8_linededup,
     "op9_packing": op9_packing,
