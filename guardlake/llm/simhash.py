@@ -16,11 +16,12 @@ from guardlake.llm import common
 BANDS = 4
 # Fingerprints in one tree. Larger buckets become several trees, and each of their rows asks every tree.
 TREE_ROWS = 4096
+ALL = (1 << 64) - 1
 BUCKET = ["choice", "bits", "tree", "other"]
 
 
 class BKTree:
-    """Fingerprints by Hamming distance: each child hangs on the edge numbered by its distance to its parent."""
+    """Fingerprints, as numbers from 0 on, by Hamming distance: each child hangs on the edge numbered by its distance to its parent."""
 
     def __init__(self) -> None:
         self.values: list[int] = []
@@ -124,11 +125,14 @@ def _keys(fp: Column, radius: int, bands: int) -> Column:
     structs = []
     for number, chosen in enumerate(combinations(range(bands), bands - radius)):
         mask = sum(((1 << edges[b + 1]) - 1) ^ ((1 << edges[b]) - 1) for b in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        structs.append(F.struct(F.lit(number).alias("choice"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
+        structs.append(F.struct(F.lit(number).alias("choice"), fp.bitwiseAND(F.lit(_signed(mask))).alias("bits")))
     return F.array(*structs)
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def _link_buckets(radius: int):
     """Walk rows sorted by bucket, tree rows first; yield the star edges of each bucket."""
 
@@ -136,13 +140,14 @@ def _link_buckets(radius: int):
         key, tree, forest, found = None, BKTree(), Forest(), []
 
         def flush() -> None:
-            found.extend(forest.stars())
+            found.extend((_signed(a), _signed(b)) for a, b in forest.stars())
 
         for batch in batches:
             for *bucket, ask, fp in batch[[*BUCKET, "ask", "fp"]].itertuples(index=False, name=None):
                 if bucket != key:
                     flush()
                     key, tree, forest = bucket, BKTree(), Forest()
+                fp &= ALL
                 if ask or bucket[-1] == bucket[-2]:
                     for near in tree.within(fp, radius):
                         forest.join(fp, tree.values[near])
