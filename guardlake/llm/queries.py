@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake.llm import common, embeddings, licenses, linededup, packing, pieces, ppm, simhash, toxicity, warc, winnowing
+from guardlake.llm.oracle import ORACLE as ORACLE
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +77,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_ppm": op10_ppm,
 }
-ORACLE: dict[str, str] = {}
+

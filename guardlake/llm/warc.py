@@ -35,6 +35,9 @@ NAMED = [
 ]
 
 
+ADDED = {"record_type", "record_id", "refers_to", "target_uri", "block", "block_digest", "derived"}
+
+
 def sealed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are worked out once, however often they are used."""
     held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("sealed")
@@ -76,25 +79,26 @@ def field(head: Column, name: str) -> Column:
 
 def responses(pages: DataFrame, url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Add ``record``: each page as a WARC response record, with block and payload digests. Null pages are empty."""
+    target = F.coalesce(F.col(url), F.lit(""))
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    df = sealed(pages, payload=payload)
+    df = pages.select(F.struct(*pages.columns).alias("page"), target.alias("target"), payload.alias("payload"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.octet_length("payload").cast("string"),
         F.lit(END),
     )
     df = sealed(df, block=F.concat(http.cast("binary"), F.col("payload")))
-    target = F.coalesce(F.col(url), F.lit(""))
     header = lines(
         ("WARC-Type", F.lit("response")),
-        ("WARC-Record-ID", uuid_of(F.concat(target, F.lit("#"), F.sha1("payload")))),
+        ("WARC-Record-ID", uuid_of(F.concat("target", F.lit("#"), F.sha1("payload")))),
         ("WARC-Date", F.lit(date)),
-        ("WARC-Target-URI", target),
+        ("WARC-Target-URI", F.col("target")),
         ("WARC-Payload-Digest", digest(F.col("payload"))),
         ("WARC-Block-Digest", digest(F.col("block"))),
         ("Content-Type", F.lit("application/http; msgtype=response")),
     )
-    return df.select(*pages.columns, record(header, F.col("block")).alias("record"))
+    kept = [F.col(f"page.`{c}`").alias(c) for c in pages.columns if c.lower() != "record"]
+    return df.select(*kept, record(header, F.col("block")).alias("record"))
 
 
 def _numbered(text: Column) -> Column:
@@ -135,7 +139,7 @@ def derive(records: DataFrame, column: str = "record") -> DataFrame:
     """Two rows for every WARC response record: a ``conversion`` to plain text and a ``metadata`` record.
 
     Added columns: record_type, record_id, refers_to, target_uri, block, block_digest and the whole ``derived`` record
-    in bytes; the others stay, ``column`` itself goes. Both records refer to the response by id, address and date.
+    in bytes. The others stay, but for ``column`` and such with the name of an added one. Both records refer to the response by id, address and date.
     The conversion carries the response's payload digest on as its source; the metadata block repeats the source's
     record headers and HTTP headers, tells if its digests hold, and names the conversion, the title and all links.
 
@@ -143,7 +147,7 @@ def derive(records: DataFrame, column: str = "record") -> DataFrame:
     payload; one without an id refers to nothing. Repeated records give repeated rows. Text in UTF-8 has malformed
     bytes replaced; ISO-8859-1 and windows-1252 are read as ISO-8859-1, all else as UTF-8.
     """
-    others = [c for c in records.columns if c != column]
+    others = [c for c in records.columns if c.lower() not in {column.lower(), *ADDED}]
     df = records.select(F.struct(*others).alias("other") if others else F.struct(F.lit(1)).alias("other"), F.col(column).alias("raw"))
     df = sealed(df, head=F.substring_index(F.col("raw").cast("string"), END, 1)).where(field(F.col("head"), "WARC-Type") == "response")
     size = F.coalesce(F.try_to_number(field(F.col("head"), "Content-Length"), F.lit("9999999999")).cast("int"), F.octet_length("raw"))
