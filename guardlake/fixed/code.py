@@ -80,8 +80,4 @@ SECRET_PLACEHOLDER = (
     r"""['"](?:xxx+|your[_-]?\w+|placeholder|changeme|example|test|dummy|redacted)['"])"""
 )
 
-# Longest file the callers hand to the scanner, in characters.
-CODE_SCAN_CHARS = 256 * 1024
-# Findings kept per conversation until its turn ends.
-FINDINGS_PER_CONVERSATION = 200
 PENDING_HEADER = "Regenerate the code you just wrote to fix these security issues, then stop:\n"

@@ -77,7 +77,6 @@ SURFACES = [
 DEFAULT_MODES = ["redact", "block", "off"]
 DIRECTIONS = ["outgoing", "incoming"]
 DECISIONS = ["allowed", "blocked", "redacted"]
-SURFACE_CHARS = 60
 
 # Sites, most specific first; the last one also answers for unknown hosts.
 SITES = [
@@ -105,10 +104,7 @@ HOUR_MILLIS = 3_600_000
 DAY_MILLIS = 86_400_000
 
 # Row limits of the log views.
-TRAFFIC_VIEW_ROWS = 100
 SECURITY_VIEW_ROWS = 200
-EVENT_VIEW_DEFAULT, EVENT_VIEW_ROWS = 1000, 10_000
-AUDIT_VIEW_DEFAULT, AUDIT_VIEW_ROWS = 500, 5000
 
 # Admission limit: attempts admitted per key within the window.
 ATTEMPTS_PER_WINDOW = 5

@@ -10,13 +10,10 @@ CONTEXT_TAGS = [
     r"<attached_files>[\s\S]*?<\/attached_files>",
     r"<system_reminder>[\s\S]*?<\/system_reminder>",
 ]
-TURN_SIDE_CHARS = 200 * 1024
 HASH_CHARS = 32
-HASHES_KEPT = 500
 
 MENTION = r"@([^\s@]+)"
 MENTION_TRAILING = r"""[),.;:!?'"\]]+$"""
-MENTIONS_PER_PROMPT = 20
 
 PROMPT_LABEL = "your prompt"
 PENDING_LABEL = "an earlier message still pending in this chat"

@@ -27,8 +27,16 @@ def file_extension(name: Column) -> Column:
     return let(base, pick)
 
 
-def classify_file(name: Column, mime: Column, size: Column) -> Column:
-    """``struct<scannable, kind, reason>``; a binary extension beats any declared type."""
+def classify_file(
+    name: Column, mime: Column, size: Column, text_most: int | None = None, office_most: int | None = None
+) -> Column:
+    """``struct<scannable, kind, reason>``; a binary extension beats any declared type.
+
+    Files above ``text_most`` or ``office_most`` bytes, if given, are not scannable.
+    """
+
+    def above(bytes_: Column, most: int | None) -> Column:
+        return F.lit(False) if most is None else bytes_ > most
 
     def verdict(scannable: bool, kind: str, reason) -> Column:
         return F.struct(
@@ -51,10 +59,10 @@ def classify_file(name: Column, mime: Column, size: Column) -> Column:
         unknown = F.when(nameless, "unknown-type").otherwise("unsupported-type")
         return (
             F.when(ext.isin(fixed.BINARY_EXTENSIONS), verdict(False, "none", "binary-extension"))
-            .when(office & (bytes_ > fixed.OFFICE_MAX_BYTES), verdict(False, "none", "too-large"))
+            .when(office & above(bytes_, office_most), verdict(False, "none", "too-large"))
             .when(office, verdict(True, "ooxml", "ooxml"))
             .when(~text, verdict(False, "none", unknown))
-            .when(bytes_ > fixed.TEXT_MAX_BYTES, verdict(False, "none", "too-large"))
+            .when(above(bytes_, text_most), verdict(False, "none", "too-large"))
             .otherwise(verdict(True, "text", "text"))
         )
 
@@ -95,6 +103,25 @@ def decide_upload(
     )
 
 
+def decide_office(readable: Column, has_text: Column, pii: Column) -> Column:
+    """``struct<action, reason, detail, text>`` of an office file, which is scanned but not rewritten."""
+
+    def answer(action: str, why: str, detail: str | None = None) -> Column:
+        return F.struct(
+            F.lit(action).alias("action"),
+            F.lit(why).alias("reason"),
+            F.lit(detail).cast("string").alias("detail"),
+            F.lit(None).cast("string").alias("text"),
+        )
+
+    return (
+        F.when(~F.coalesce(readable, F.lit(False)), answer("block", "upload-unreadable", fixed.OFFICE_UNREADABLE))
+        .when(~has_text, answer("allow", "no-text"))
+        .when(F.coalesce(pii, F.lit(False)), answer("block", "pii-not-rewritten"))
+        .otherwise(answer("allow", "no-pii"))
+    )
+
+
 def matches_endpoint(url: Column, host: Column, path: Column) -> Column:
     """URL host equals the endpoint host or is below it, and the path holds the endpoint path."""
     url_host = F.lower(F.try_parse_url(url, F.lit("HOST")))

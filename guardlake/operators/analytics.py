@@ -82,14 +82,15 @@ def per_surface(events: DataFrame) -> DataFrame:
     )
 
 
-def clamp(limit: int | None, default: int, most: int) -> int:
-    return max(1, min(default if limit is None else limit, most))
+def newest(rows: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """Rows from the newest on, ties by the key downwards; the first ``limit`` if given."""
+    ordered = rows.orderBy(F.col("ts").desc(), F.col(key).desc())
+    return ordered if limit is None else ordered.limit(max(0, limit))
 
 
 def query_events(events: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest events first; ties by event id."""
-    rows = clamp(limit, fixed.EVENT_VIEW_DEFAULT, fixed.EVENT_VIEW_ROWS)
-    return events.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(rows)
+    return newest(events, "event_id", limit)
 
 
 def query_audit(
@@ -109,17 +110,12 @@ def query_audit(
         work = work.where(F.col("ts") >= start)
     if end is not None:
         work = work.where(F.col("ts") <= end)
-    rows = clamp(limit, fixed.AUDIT_VIEW_DEFAULT, fixed.AUDIT_VIEW_ROWS)
-    return work.orderBy(F.col("ts").desc(), F.col("audit_id").desc()).limit(rows)
+    return newest(work, "audit_id", limit)
 
 
-def recent(
-    log: DataFrame, n: int, only_pii: bool = False, most: int = fixed.TRAFFIC_VIEW_ROWS
-) -> DataFrame:
-    """Latest rows of a log that shows ``most`` rows at the most; the filter comes before the limit."""
-    newest = log.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(most)
-    shown = newest.where("pii_detected") if only_pii else newest
-    return shown.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(max(0, min(n, most)))
+def recent(log: DataFrame, n: int, only_pii: bool = False) -> DataFrame:
+    """The latest ``n`` rows of a log, of those with matches if asked for."""
+    return newest(log.where("pii_detected") if only_pii else log, "id", n)
 
 
 def surface_health(surfaces: DataFrame, now: Column) -> DataFrame:

@@ -12,8 +12,8 @@ from guardlake.functions.text import snapshot
 FINDING_KEY = ["category", "line", "message"]
 
 
-def scan_lines(df: DataFrame, col: str, keep: list[str], cap: int = fixed.CODE_SCAN_CHARS) -> DataFrame:
-    """One row per finding. ``cap`` is the callers' content limit; 0 scans everything."""
+def scan_lines(df: DataFrame, col: str, keep: list[str], cap: int = 0) -> DataFrame:
+    """One row per finding, over the whole content. A caller may limit it to its first ``cap`` characters."""
     listed = df.select(*keep, F.explode_outer(code.scan_code(snapshot(F.col(col), cap))).alias("_f"))
     return listed.where(F.col("_f.category").isNotNull()).select(*keep, "_f.*")
 
@@ -24,13 +24,14 @@ def merge_findings(first: DataFrame, second: DataFrame, keys: list[str]) -> Data
     return both.groupBy(*keys, *FINDING_KEY).agg(F.min("tier").alias("tier"))
 
 
-def accumulate_findings(findings: DataFrame, order: str, cap: int = fixed.FINDINGS_PER_CONVERSATION):
-    """Per conversation the first ``cap`` distinct findings, in order of arrival."""
+def accumulate_findings(findings: DataFrame, order: str, cap: int | None = None):
+    """Per conversation the distinct findings, numbered in order of arrival; the first ``cap`` if given."""
     distinct = findings.groupBy("conv_id", *FINDING_KEY).agg(
         F.min(order).alias("first_seen"), F.max_by("tier", order).alias("tier")
     )
     place = Window.partitionBy("conv_id").orderBy("first_seen", *FINDING_KEY)
-    return distinct.withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= cap)
+    numbered = distinct.withColumn("nth", F.row_number().over(place))
+    return numbered if cap is None else numbered.where(F.col("nth") <= cap)
 
 
 def pending_message(accumulated: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def pending_message(accumulated: DataFrame) -> DataFrame:
 def finding_audit(findings: DataFrame, keys: list[str]) -> DataFrame:
     """One audit row per scanned file with findings; the code itself is not carried along.
 
-    A file has one finding per line and category at most, and its size is capped by the scan.
+    A file has one finding per line and category at most.
     """
     one = F.struct("line", "category", "tier", "message")
     return findings.groupBy(*keys).agg(

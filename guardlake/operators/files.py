@@ -18,8 +18,13 @@ from guardlake.rules import RuleSet
 _PART = re.compile(fixed.OFFICE_TEXT_PART, re.IGNORECASE)
 
 
-def office_parts(df: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
-    """Text-bearing XML parts of office archives: keep..., part_at, part, xml. Archives that do not open give none."""
+def office_archives(df: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
+    """What office archives hold: keep..., readable, part_at, part, xml.
+
+    Every archive has one row with a null part, which tells if all of its text could be read, and if so a row per
+    text-bearing XML part. Archives come from strangers and can fail in any way: damaged data, wrong checksums,
+    encryption, unknown compression, a missing end. Whatever it is, only that archive is not readable.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = ", ".join(f"`{k}` {kinds[k]}" for k in keep)
 
@@ -27,17 +32,25 @@ def office_parts(df: DataFrame, keep: list[str], content: str = "content") -> Da
         for batch in batches:
             rows = []
             for record in batch.itertuples(index=False):
-                own = list(record[:-1])
+                own, texts, readable = list(record[:-1]), [], True
                 try:
                     with zipfile.ZipFile(io.BytesIO(record[-1])) as archive:
                         parts = [n for n in archive.namelist() if _PART.match(n)]
                         texts = [archive.read(n).decode("utf-8", "replace") for n in parts]
-                except (zipfile.BadZipFile, TypeError, OSError):
-                    continue
-                rows += [[*own, i, n, t] for i, (n, t) in enumerate(zip(parts, texts))]
-            yield pd.DataFrame(rows, columns=[*keep, "part_at", "part", "xml"])
+                except Exception:
+                    texts, readable = [], False
+                rows.append([*own, readable, -1, None, None])
+                rows += [[*own, True, i, n, t] for i, (n, t) in enumerate(zip(parts, texts))] if readable else []
+            yield pd.DataFrame(rows, columns=[*keep, "readable", "part_at", "part", "xml"])
 
-    return df.select(*keep, content).mapInPandas(read, f"{names}, part_at int, part string, xml string")
+    schema = f"{names}, readable boolean, part_at int, part string, xml string"
+    return df.select(*keep, content).mapInPandas(read, schema)
+
+
+def office_parts(df: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
+    """Text-bearing XML parts of office archives: keep..., part_at, part, xml. Unreadable archives give none."""
+    found = office_archives(df, keep, content)
+    return found.where(F.col("part").isNotNull()).select(*keep, "part_at", "part", "xml")
 
 
 def _unescaped(xml: Column) -> Column:
@@ -78,22 +91,24 @@ def office_paragraphs(parts: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def classify_files(df: DataFrame) -> DataFrame:
-    """Add scannable, kind and reason from name, mime and size."""
-    return df.withColumn(
-        "_c", files.classify_file(F.col("name"), F.col("mime"), F.col("size"))
-    ).select("*", "_c.*").drop("_c")
+def classify_files(df: DataFrame, text_most: int | None = None, office_most: int | None = None) -> DataFrame:
+    """Add scannable, kind and reason from name, mime and size; larger files than allowed are not scannable."""
+    verdict = files.classify_file(F.col("name"), F.col("mime"), F.col("size"), text_most, office_most)
+    return df.withColumn("_c", verdict).select("*", "_c.*").drop("_c")
 
 
-def redact_files(df: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+def redact_files(
+    df: DataFrame, rules: RuleSet | None = None, text_most: int | None = None, office_most: int | None = None
+) -> DataFrame:
     """Decide every file: file_id, action, reason, detail, text, paragraphs, matched.
 
     Expects file_id, name, mime, size and content (bytes). Text files are scanned whole and come back
-    redacted. Office files are scanned by paragraph; ``paragraphs`` counts the changed ones. All others
-    are blocked.
+    redacted. Office files are scanned by paragraph, and as they are not rewritten, one with matches is blocked;
+    ``paragraphs`` counts those with matches. An archive that cannot be read is blocked, one that was read and
+    holds no text passes. All others are blocked.
     """
     rules = rules or RuleSet()
-    classified = classify_files(df)
+    classified = classify_files(df, text_most, office_most)
 
     def scrub(text: Column) -> Column:
         return spans.redacted(text, rules.active, "inbound", rules.allow_patterns)
@@ -110,7 +125,8 @@ def redact_files(df: DataFrame, rules: RuleSet | None = None) -> DataFrame:
         )
     )
     office_files = classified.where(F.col("kind") == "ooxml")
-    paragraphs = office_paragraphs(office_parts(office_files, ["file_id"]), ["file_id"])
+    archives = office_archives(office_files, ["file_id"])
+    paragraphs = office_paragraphs(archives.where(F.col("part").isNotNull()), ["file_id"])
     # One row per paragraph and rule; place 0 stands for the paragraph itself.
     per_rule = (
         paragraphs.withColumn("_r", scrub(F.col("text")))
@@ -123,21 +139,16 @@ def redact_files(df: DataFrame, rules: RuleSet | None = None) -> DataFrame:
         F.map_from_entries(F.array_sort(counted)).alias("matched"),
         F.sum("changed").alias("paragraphs"),
     )
-    office = office_files.select("file_id", "scannable", "reason").join(summed, "file_id", "left").select(
-        "file_id", "scannable", "reason",
-        F.when(F.col("paragraphs").isNotNull(), "").alias("text"),
-        F.when(F.col("paragraphs").isNotNull(), "").alias("redacted"),
-        "matched", "paragraphs",
+    opened = archives.where(F.col("part").isNull()).select("file_id", "readable")
+    office = opened.join(summed, "file_id", "left").withColumn(
+        "_d", files.decide_office(F.col("readable"), F.col("paragraphs").isNotNull(), spans.has_matches(F.col("matched")))
     )
-    everything = plain.unionByName(office)
     decision = files.decide_upload(
         F.col("scannable"), F.col("reason"), F.col("text"), F.lit(True), F.col("redacted"),
         spans.has_matches(F.col("matched")),
     )
-    return everything.withColumn("_d", decision).select(
-        "file_id", "_d.action", F.col("_d.reason").alias("reason"), "_d.detail",
-        F.col("_d.text").alias("text"), "paragraphs", "matched",
-    )
+    decided = ["file_id", "_d.action", "_d.reason", "_d.detail", "_d.text", "paragraphs", "matched"]
+    return plain.withColumn("_d", decision).select(decided).unionByName(office.select(decided))
 
 
 def match_endpoint(urls: DataFrame, url_col: str, endpoints=fixed.UPLOAD_ENDPOINTS) -> DataFrame:

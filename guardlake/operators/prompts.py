@@ -27,20 +27,27 @@ def attach_verdicts(
     """Add ``verdict``, the second tier's answer, asked once per distinct trimmed prompt.
 
     Give a table (``prompt_key``, ``verdict``) or a function of the prompt column, such as a pandas UDF
-    returning null on failure. Prompts the first tier settles are not asked.
+    returning null on failure. Prompts the first tier settles are not asked and get none. Of several verdicts on
+    one prompt a risky one counts before a harmless one, then the more confident one.
     """
-    keyed = prompts.withColumn("prompt_key", js_trim(F.col(col)))
+    open_one = F.coalesce(~risk.is_trivial(F.col(col)) & risk.known_injection(F.col(col)).isNull(), F.lit(False))
+    keyed = sealed(prompts.withColumn("prompt_key", F.when(open_one, js_trim(F.col(col)))))
+    asked = keyed.where(F.col("prompt_key").isNotNull())
     if verdicts is None:
         if scorer is None:
             raise ValueError("give a verdict table or a scorer")
-        open_ones = keyed.where(~risk.is_trivial(F.col(col)) & risk.known_injection(F.col(col)).isNull())
-        asked = open_ones.select("prompt_key").dropDuplicates(["prompt_key"])
-        verdicts = asked.withColumn("verdict", scorer(F.col("prompt_key")))
+        keys = asked.select("prompt_key").dropDuplicates(["prompt_key"])
+        verdicts = keys.withColumn("verdict", scorer(F.col("prompt_key")))
     else:
-        verdicts = verdicts.dropDuplicates(["prompt_key"])
-    return keyed.join(verdicts.select("prompt_key", "verdict"), "prompt_key", "left").drop(
-        "prompt_key"
-    )
+        order = F.struct(
+            F.coalesce("verdict.risk", F.lit(False)), F.coalesce("verdict.confidence", F.lit(0.0)), F.to_json("verdict")
+        )
+        verdicts = verdicts.groupBy("prompt_key").agg(F.max_by("verdict", order).alias("verdict"))
+    answered = asked.join(verdicts.select("prompt_key", "verdict"), "prompt_key", "left")
+    # Settled prompts have no key to look up and are not sent to one place for it.
+    settled = keyed.where(F.col("prompt_key").isNull())
+    settled = settled.withColumn("verdict", F.lit(None).cast(verdicts.schema["verdict"].dataType))
+    return answered.unionByName(settled).drop("prompt_key")
 
 
 def analyze_prompts(prompts: DataFrame, col: str, verdict_col: str | None = None) -> DataFrame:

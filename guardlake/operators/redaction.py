@@ -269,8 +269,10 @@ def tool_payload_scrub(
     )
 
 
-def extract_mentions(prompts: DataFrame, files: DataFrame, id_col: str, prompt_col: str) -> DataFrame:
-    """Files named by ``@token`` in a prompt: the first 20 distinct ones, in order of mention.
+def extract_mentions(
+    prompts: DataFrame, files: DataFrame, id_col: str, prompt_col: str, most: int | None = None
+) -> DataFrame:
+    """Files named by ``@token`` in a prompt: the distinct ones in order of mention; the first ``most`` if given.
 
     ``files`` holds ``path`` and ``content``. Unknown tokens name no file and are skipped.
     """
@@ -280,11 +282,8 @@ def extract_mentions(prompts: DataFrame, files: DataFrame, id_col: str, prompt_c
     first = tokens.groupBy(id_col, "path").agg(F.min("at").alias("at"))
     known = first.join(files.select("path"), "path", "left_semi")
     place = F.row_number().over(Window.partitionBy(id_col).orderBy("at"))
-    return (
-        known.withColumn("nth", place)
-        .where(F.col("nth") <= turn_values.MENTIONS_PER_PROMPT)
-        .select(id_col, "nth", "path")
-    )
+    numbered = known.select(id_col, place.alias("nth"), "path")
+    return numbered if most is None else numbered.where(F.col("nth") <= most)
 
 
 def scan_targets(

@@ -17,12 +17,12 @@ DECISION_COLUMNS = [
 
 
 def build_traffic(
-    exchanges: DataFrame, rules: RuleSet | None = None, snapshot_chars: int = 262_144
+    exchanges: DataFrame, rules: RuleSet | None = None, snapshot_chars: int = 0
 ) -> DataFrame:
     """Traffic rows from request/response pairs, holding redacted text only.
 
     Expects id, ts, provider, model, blocked, method, path, status, streaming, duration_ms, request and
-    response. The clean view is taken from the full redacted bodies, before they are cut.
+    response. The clean view is taken from the full redacted bodies; with ``snapshot_chars`` the snapshots are cut.
     """
     rules = rules or RuleSet()
     allow = rules.allow_patterns
@@ -112,9 +112,7 @@ def normalize_decisions(events: DataFrame, now: Column | None = None) -> DataFra
     return events.select(
         *own,
         F.coalesce("ts", now).alias("ts"),
-        F.coalesce(
-            F.nullif(F.substring("surface", 1, fixed.SURFACE_CHARS), F.lit("")), F.lit("unknown")
-        ).alias("surface"),
+        F.coalesce(F.nullif("surface", F.lit("")), F.lit("unknown")).alias("surface"),
         one_of(F.col("direction"), fixed.DIRECTIONS, "outgoing").alias("direction"),
         one_of(F.col("decision"), fixed.DECISIONS, "allowed").alias("decision"),
         types.alias("pii_types"),
@@ -124,15 +122,21 @@ def normalize_decisions(events: DataFrame, now: Column | None = None) -> DataFra
     )
 
 
-def apply_surface_policy(sends: DataFrame, config: DataFrame) -> DataFrame:
+def apply_surface_policy(sends: DataFrame, config: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Add ``outcome``: blocked, raw or redact. A surface without a row, and a blank send, see below.
 
-    ``sends`` holds surface and text; ``config`` one row per surface with enabled and mode. A missing row
-    means redact. A blank text cannot leak and passes raw.
+    ``sends`` holds surface and text; ``config`` one row per surface with enabled and mode. A surface without a
+    row keeps the policy it had last, by its ``history`` of patches (surface, seq, enabled, mode); one that never
+    had any means redact. A blank text cannot leak and passes raw.
     """
     policy = config.select(
         "surface", F.col("enabled").alias("_enabled"), F.col("mode").alias("_mode")
     )
+    if history is not None:
+        known = history.groupBy("surface").agg(
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in ("enabled", "mode")]
+        )
+        policy = policy.unionByName(known.join(policy, "surface", "left_anti"))
     enabled = F.coalesce("_enabled", F.lit(True))
     mode = F.coalesce("_mode", F.lit("redact"))
     outcome = (

@@ -62,20 +62,21 @@ def flag_unchecked(messages: DataFrame, approved: DataFrame) -> DataFrame:
     hashed = messages.withColumn(
         "_hash", F.when(F.coalesce("typed", F.lit("")) != "", prompt_hash(F.col("typed")))
     )
-    unseen = F.col("_hash").isNotNull() & F.col("_known").isNull() & any_approved
-    return hashed.join(ledger, "_hash", "left").withColumn("unchecked", unseen).drop(
-        "_hash", "_known"
-    )
+    # Lines without a typed message have nothing to look up and are not sent to one place for it.
+    looked_up = hashed.where(F.col("_hash").isNotNull()).join(ledger, "_hash", "left")
+    unseen = F.col("_known").isNull() & any_approved
+    others = hashed.where(F.col("_hash").isNull()).withColumn("unchecked", F.lit(False))
+    return looked_up.withColumn("unchecked", unseen).drop("_known").unionByName(others).drop("_hash")
 
 
 def build_turns(
-    lines: DataFrame, approved: DataFrame | None = None, cap: int = fixed.TURN_SIDE_CHARS
+    lines: DataFrame, approved: DataFrame | None = None, cap: int | None = None
 ) -> DataFrame:
     """Completed turns: path, turn, prompt, response, scan_extra, unchecked.
 
-    The messages up to each end marker form a turn; an unfinished tail is dropped. A side is cut at
-    ``cap`` characters. Texts are joined per block of lines first and per turn then, and at both levels only
-    what begins before the cut travels on, so that no turn is too long for its task.
+    The messages up to each end marker form a turn; an unfinished tail is dropped. With ``cap`` a side is cut
+    at so many characters. Texts are joined per block of lines first and per turn then, and at both levels only
+    what begins before the cut travels on.
     """
     messages = parse_lines(lines)
     if approved is not None:
@@ -115,9 +116,9 @@ def _end_markers(lines: DataFrame) -> DataFrame:
 
 
 def _joined(
-    rows: DataFrame, keys: list[str], order: str, sides: dict[str, str], cap: int
+    rows: DataFrame, keys: list[str], order: str, sides: dict[str, str], cap: int | None
 ) -> DataFrame:
-    """Texts of each side joined in order and cut; the window and the grouping share one shuffle."""
+    """Texts of each side joined in order, and cut if asked for; window and grouping share one shuffle."""
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
     def filled(col: str) -> Column:
@@ -129,12 +130,14 @@ def _joined(
 
     def texts(col: str, separator: str) -> Column:
         # The separator before a text may still fall into the cut.
-        wanted = filled(col) & (F.col(f"_{col}_at") < cap + len(separator))
+        wanted = filled(col)
+        if cap is not None:
+            wanted &= F.col(f"_{col}_at") < cap + len(separator)
         listed = F.collect_list(F.when(wanted, F.struct(order, F.col(col).alias("text"))))
         joined = F.array_join(F.transform(F.array_sort(listed), lambda t: t["text"]), separator)
-        return F.substring(joined, 1, cap).alias(col)
+        return (joined if cap is None else F.substring(joined, 1, cap)).alias(col)
 
-    placed = rows.withColumns({f"_{col}_at": start(col, sep) for col, sep in sides.items()})
+    placed = rows if cap is None else rows.withColumns({f"_{col}_at": start(col, sep) for col, sep in sides.items()})
     return placed.groupBy(*keys).agg(
         F.bool_or("ended").alias("ended"),
         F.coalesce(F.bool_or("unchecked"), F.lit(False)).alias("unchecked"),
@@ -184,8 +187,8 @@ def new_turns(turns: DataFrame, logged: DataFrame) -> DataFrame:
     return first.select("path", "turn_hash", "_row.*").where(filled)
 
 
-def kept_hashes(turns: DataFrame, logged: DataFrame, keep: int = fixed.HASHES_KEPT) -> DataFrame:
-    """Ledger after logging: the last ``keep`` hashes per transcript, older ones first.
+def kept_hashes(turns: DataFrame, logged: DataFrame, keep: int | None = None) -> DataFrame:
+    """Ledger after logging: the hashes per transcript, numbered from the newest; the last ``keep`` if given.
 
     ``logged`` carries ``nth``, the place of each hash.
     """
@@ -198,9 +201,8 @@ def kept_hashes(turns: DataFrame, logged: DataFrame, keep: int = fixed.HASHES_KE
         F.min(F.struct("age", "at")).alias("place")
     )
     newest = Window.partitionBy("path").orderBy(F.col("place").desc())
-    return first.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= keep).select(
-        "path", "turn_hash", "back"
-    )
+    ledger = first.select("path", "turn_hash", F.row_number().over(newest).alias("back"))
+    return ledger if keep is None else ledger.where(F.col("back") <= keep)
 
 
 def log_turns(turns: DataFrame, rules: RuleSet | None = None) -> DataFrame:

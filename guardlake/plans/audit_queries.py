@@ -150,9 +150,9 @@ def latency_stats(spark, sf_dir):
 @query
 def rate_limited_users(spark, sf_dir):
     e = inputs.load(spark, sf_dir, "events")
-    attempts = e.select(F.col("event_id").alias("attempt_id"), (F.col("user_id") % 3).alias("key"), "ts")
-    # Six hours stand for a minute here, as the given events are minutes apart.
-    out = analytics.allowed_attempts(attempts, 5, 6 * 3_600_000)
+    attempts = e.select(F.col("event_id").alias("attempt_id"), F.col("user_id").alias("key"), "ts")
+    # Two attempts in three days stand for five in a minute, as the given users come days apart.
+    out = analytics.allowed_attempts(attempts, 2, 72 * 3_600_000)
     return out.select("attempt_id", "key", "admitted")
 
 
@@ -166,7 +166,7 @@ def security_log(spark, sf_dir):
     found = codescan.finding_audit(guard_queries._findings(spark, sf_dir), ["conv_id", "file_path"]).select(
         F.lit("claude-code").alias("surface"), "conv_id", "file_path", "n_findings"
     )
-    unread = inputs.code_files(spark, sf_dir).where(F.col("content").isNull()).select(
+    unread = guard_queries._model_findings(spark, sf_dir).where(F.col("f").isNull()).select(
         F.lit("cursor").alias("surface"), "conv_id", "file_path"
     )
     log = analytics.security_rows(flagged, denied, found, unread)
@@ -398,10 +398,13 @@ def reframed_stream(spark, sf_dir):
 
 @query
 def dedupe_turns_stream(spark, sf_dir):
-    """Every turn delivered twice and kept once."""
-    c = inputs.load(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    """Every message as a turn of its own, delivered twice and kept once."""
+    c = inputs.load(spark, sf_dir, "conversations")
+    reply = F.col("role") == "assistant"
     t = c.select(
-        F.col("conv_id").cast("string").alias("conv_id"), F.col("text").alias("prompt"), F.lit("").alias("response"),
+        F.col("conv_id").cast("string").alias("conv_id"),
+        F.when(reply, "").otherwise(F.col("text")).alias("prompt"),
+        F.when(reply, F.col("text")).otherwise("").alias("response"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("turn")).alias("ts"),
     )
     source, out = shared_dir(spark, "turns"), shared_dir(spark, "fresh")
@@ -446,10 +449,10 @@ def decisions_stream(spark, sf_dir):
 
 @query
 def series_stream(spark, sf_dir):
-    """Hourly counts that the watermark has closed: all but the last, still open hours."""
+    """Hourly counts as the stream leaves them, the hours still open included."""
     d = inputs.decisions(spark, sf_dir)
     source, out = shared_dir(spark, "decided"), shared_dir(spark, "series")
     d.write.parquet(source)
     stream = spark.readStream.schema(d.schema).parquet(source)
-    streaming.bounded_run(streaming.series_stream(stream), out, shared_dir(spark, "state"))
-    return spark.read.parquet(out)
+    last = streaming.latest_result(streaming.series_stream(stream), out, shared_dir(spark, "state"))
+    return spark.read.parquet(last)

@@ -284,7 +284,7 @@ for _entry in CODE_CATEGORIES:
 
 def _findings(spark, sf_dir):
     return codescan.scan_lines(
-        inputs.code_files(spark, sf_dir), "content", ["conv_id", "file_path", "doc_id"], cap=0
+        inputs.code_files(spark, sf_dir), "content", ["conv_id", "file_path", "doc_id"]
     )
 
 
@@ -296,7 +296,7 @@ def code_findings(spark, sf_dir):
 @query
 def hardcoded_secrets(spark, sf_dir):
     docs = inputs.load(spark, sf_dir, "documents")
-    return codescan.scan_lines(docs, "text", ["doc_id"], cap=0).where(
+    return codescan.scan_lines(docs, "text", ["doc_id"]).where(
         F.col("category") == "hardcoded_secret"
     ).select("doc_id", "line")
 
@@ -328,7 +328,7 @@ def merged_findings(spark, sf_dir):
 
 def _accumulated(spark, sf_dir):
     return codescan.accumulate_findings(
-        _findings(spark, sf_dir).withColumn("seq", F.col("doc_id")), "seq", 20
+        _findings(spark, sf_dir).withColumn("seq", F.col("doc_id")), "seq"
     )
 
 

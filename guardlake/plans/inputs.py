@@ -28,8 +28,11 @@ def pick(items: list, by: Column) -> Column:
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, each with one PII sample on a line of its own at the end."""
-    text = F.concat("text", F.lit("\n"), pick(samples.PII, F.col("doc_id")))
-    return load(spark, sf_dir, "documents").select("doc_id", "source", text.alias("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", "source", seeded_text().alias("text"))
+
+
+def seeded_text() -> Column:
+    return F.concat("text", F.lit("\n"), pick(samples.PII, F.col("doc_id")))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,8 +212,8 @@ def event_chunks(spark: SparkSession, sf_dir: str, width: int = 40) -> DataFrame
 
 
 def config_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings changes out of sign-up events: a mode and, now and then, a switch."""
-    e = load(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    """Settings changes out of events: a mode and, now and then, a switch."""
+    e = load(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("seq"),
         "ts",

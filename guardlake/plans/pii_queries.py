@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from guardlake.fixed.files import OFFICE_MAX_BYTES, TEXT_MAX_BYTES
 from guardlake.fixed.pii import PII_PATTERNS
 from guardlake.functions import files as file_fn
 from guardlake.functions import spans, validators
@@ -19,6 +21,8 @@ from guardlake.operators import redaction
 from guardlake.operators.barrier import sealed
 from guardlake.plans import inputs, samples
 from guardlake.rules import RuleSet
+from guardlake.session import shared_dir
+from guardlake.sources import readers
 
 QUERIES = {}
 
@@ -55,6 +59,9 @@ for _name, _, _ in PII_PATTERNS:
 CUSTOM_RULES = (("EXAMPLE_MAIL", r"[a-z.]+@example\.com", "i"), ("WORD_PAIR", r"\b(?:the|de|und) [a-z]+\b", ""))
 
 
+ALLOWED = (r"@example\.(com|org)$", r"^8\.8\.")
+
+
 def custom_rule_set() -> RuleSet:
     rules = RuleSet()
     for name, pattern, flags in reversed(CUSTOM_RULES):
@@ -67,6 +74,47 @@ def custom_rule_counts(spark, sf_dir):
     return redaction.counts_by(inputs.seeded(spark, sf_dir), ["source"], "text", custom_rule_set())
 
 
+def _written(spark, purpose: str, entries: list[dict]) -> str:
+    """A folder of JSON files with one entry each, named in the order of the entries."""
+    path = shared_dir(spark, purpose)
+    for i, entry in enumerate(entries):
+        spark.createDataFrame([(json.dumps([entry]),)], "value string").coalesce(1).write.text(f"{path}/{i:03d}")
+    return f"{path}/*"
+
+
+@query
+def rule_file_counts(spark, sf_dir):
+    """Custom rules out of a folder of rule files."""
+    entries = [{"name": n, "pattern": p, "flags": f} for n, p, f in CUSTOM_RULES]
+    rules = readers.read_rules(spark, _written(spark, "rules", entries))
+    return redaction.counts_by(inputs.seeded(spark, sf_dir), ["source"], "text", rules)
+
+
+@query
+def allowlist_file_counts(spark, sf_dir):
+    """Allowlist entries out of a folder of files; the one that is no pattern is skipped."""
+    entries = [{"pattern": p} for p in (*ALLOWED, "(")]
+    rules = readers.read_allowlist(spark, _written(spark, "allow", entries))
+    return redaction.counts_by(inputs.seeded(spark, sf_dir), ["source"], "text", rules)
+
+
+@query
+def allowlist_usage(spark, sf_dir):
+    """Every allowlist entry with the number of words that fit it."""
+    rules = RuleSet()
+    for pattern in ALLOWED:
+        rules = rules.add_allow(pattern)
+    rules = rules.set_allow_enabled("a2", False)
+    docs = inputs.seeded(spark, sf_dir)
+    listed = rules.allow_frame(spark)
+    hits = docs.select(F.explode(F.split("text", r"\s+")).alias("word")).agg(
+        *[F.count_if(F.col("word").rlike(e.pattern)).alias(e.id) for e in rules.allow]
+    )
+    return listed.join(hits.unpivot([], [e.id for e in rules.allow], "id", "words"), "id").select(
+        "id", "pattern", "source", "enabled", "words"
+    )
+
+
 @query
 def luhn_cards(spark, sf_dir):
     pattern = next((p, f) for n, p, f in PII_PATTERNS if n == "CREDIT_CARD")
@@ -187,11 +235,9 @@ def redacted_json(spark, sf_dir):
 
 @query
 def merged_counts(spark, sf_dir):
-    own = redaction.detect_pii(inputs.load(spark, sf_dir, "documents"), "text").select(
-        "doc_id", F.col("matched").alias("own")
-    )
-    more = redaction.detect_pii(inputs.seeded(spark, sf_dir), "text").select("doc_id", "matched")
-    both = own.join(more, "doc_id")
+    docs = inputs.load(spark, sf_dir, "documents").select("doc_id", "text", inputs.seeded_text().alias("seeded"))
+    own = redaction.detect_pii(docs, "text").withColumnRenamed("matched", "own").drop("pii_detected")
+    both = redaction.detect_pii(own, "seeded")
     return both.select(
         "doc_id", counts_text(spans.merge_counts(F.col("own"), F.col("matched"))).alias("matched")
     )
@@ -199,7 +245,9 @@ def merged_counts(spark, sf_dir):
 
 @query
 def allowlisted_counts(spark, sf_dir):
-    rules = RuleSet().add_allow(r"@example\.(com|org)$").add_allow(r"^8\.8\.")
+    rules = RuleSet()
+    for pattern in ALLOWED:
+        rules = rules.add_allow(pattern)
     return redaction.counts_by(inputs.seeded(spark, sf_dir), ["source"], "text", rules)
 
 
@@ -334,12 +382,12 @@ def file_extensions(spark, sf_dir):
 def classified_files(spark, sf_dir):
     f = inputs.files(spark, sf_dir)
     big = f.withColumn("size", F.col("size") * F.when(F.col("file_id") % 7 == 0, 5000).otherwise(1))
-    return file_ops.classify_files(big).select("file_id", "scannable", "kind", "reason")
+    return file_ops.classify_files(big, TEXT_MAX_BYTES, OFFICE_MAX_BYTES).select("file_id", "scannable", "kind", "reason")
 
 
 @query
 def upload_decisions(spark, sf_dir):
-    f = file_ops.classify_files(inputs.files(spark, sf_dir))
+    f = file_ops.classify_files(inputs.files(spark, sf_dir), TEXT_MAX_BYTES, OFFICE_MAX_BYTES)
     r = redaction.redact(f, "text")
     decision = file_fn.decide_upload(
         F.col("scannable"),
@@ -352,13 +400,32 @@ def upload_decisions(spark, sf_dir):
     return r.withColumn("d", decision).select("file_id", "d.action", "d.reason", "d.detail", "d.text")
 
 
-def _archives(spark, sf_dir):
-    """Every document as a Word file: one paragraph per line, each line split into two runs."""
+def _spoilt(packed: bytes, how: int) -> bytes:
+    """The archive with damaged data (3) or marked as encrypted (5)."""
+    data = bytearray(packed)
+    body = data.find(b"word/document.xml") + len(b"word/document.xml")
+    if how == 3:
+        data[body : body + 4] = b"\xff\xff\xff\xff"
+    if how == 5:
+        for mark, flags in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+            at = data.find(mark)
+            while at >= 0:
+                data[at + flags] |= 1
+                at = data.find(mark, at + 4)
+    return bytes(data)
+
+
+def _archives(spark, sf_dir, odd: bool = False):
+    """Every document as a Word file: one paragraph per line, each line split into two runs.
+
+    With ``odd``, of each eleven one is damaged, one encrypted and one without any text part.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             contents = []
-            for text in batch["text"]:
+            for file_id, text in zip(batch["file_id"], batch["text"]):
+                how = file_id % 11 if odd else 0
                 paragraphs = []
                 for line in text.split("\n"):
                     half = len(line) // 2
@@ -372,8 +439,8 @@ def _archives(spark, sf_dir):
                 packed = io.BytesIO()
                 with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
                     archive.writestr("[Content_Types].xml", "<Types>a@b.org</Types>")
-                    archive.writestr("word/document.xml", body)
-                contents.append(packed.getvalue())
+                    archive.writestr("word/media.xml" if how == 7 else "word/document.xml", body)
+                contents.append(_spoilt(packed.getvalue(), how))
             yield pd.DataFrame({"file_id": batch["file_id"], "content": contents})
 
     docs = inputs.seeded(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "text")
@@ -393,7 +460,7 @@ def office_paragraphs(spark, sf_dir):
 @query
 def redacted_files(spark, sf_dir):
     plain = inputs.files(spark, sf_dir).withColumn("content", F.encode("text", "UTF-8"))
-    office = _archives(spark, sf_dir).select(
+    office = _archives(spark, sf_dir, odd=True).select(
         (-F.col("file_id") - 1).alias("file_id"),
         F.lit("letter.docx").alias("name"),
         F.lit("").alias("mime"),
@@ -401,7 +468,7 @@ def redacted_files(spark, sf_dir):
         "content",
     )
     both = plain.select(office.columns).unionByName(office)
-    out = file_ops.redact_files(both)
+    out = file_ops.redact_files(both, None, TEXT_MAX_BYTES, OFFICE_MAX_BYTES)
     return out.select(
         "file_id", "action", "reason", "detail", "text", counts_text("matched").alias("matched")
     )

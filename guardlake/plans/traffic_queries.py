@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from guardlake.functions import messages, payload, routing, transcripts
 from guardlake.functions.text import sanitize_pii_types, slug
-from guardlake.operators import traffic, turns
+from guardlake.operators import analytics, traffic, turns
 from guardlake.plans import inputs, samples
 from guardlake.plans.pii_queries import counts_text
+from guardlake.session import materialized
 
 QUERIES = {}
 UPSTREAMS = {
@@ -321,11 +322,12 @@ def policy_outcomes(spark, sf_dir):
     d = inputs.decisions(spark, sf_dir)
     text = F.when(F.col("event_id") % 10 == 0, " ").otherwise(F.col("decision"))
     sends = d.select("event_id", "surface", text.alias("text"))
-    config = spark.createDataFrame(
-        [("gemini", False, "redact"), ("grok", True, "block"), ("chatgpt", True, "off"), ("cursor", True, None)],
-        "surface string, enabled boolean, mode string",
-    )
-    return traffic.apply_surface_policy(sends, config).select("event_id", "surface", "outcome")
+    history = inputs.config_patches(spark, sf_dir)
+    current = analytics.surface_config(history, analytics.surface_catalog(spark))
+    # Two surfaces have lost their row; one of them was never changed either.
+    config = current.where(~F.col("surface").isin("gemini", "grok"))
+    past = history.where(F.col("surface") != "grok")
+    return traffic.apply_surface_policy(sends, config, past).select("event_id", "surface", "outcome")
 
 
 @query
@@ -390,8 +392,7 @@ def unchecked_turns(spark, sf_dir):
     return out.select(F.col("path").cast("bigint").alias("conv_id"), "turn", "unchecked")
 
 
-def _logged_turns(spark, sf_dir):
-    t = conversation_turns(spark, sf_dir)
+def _logged(t):
     return t.where(F.length("prompt") % 3 == 0).select(
         "path", turns.turn_hash(F.col("prompt"), F.col("response")).alias("turn_hash"), F.col("turn").alias("nth")
     )
@@ -399,14 +400,16 @@ def _logged_turns(spark, sf_dir):
 
 @query
 def turn_dedupe(spark, sf_dir):
-    t = conversation_turns(spark, sf_dir)
-    out = turns.new_turns(t.unionByName(t), _logged_turns(spark, sf_dir))
+    t = materialized(conversation_turns(spark, sf_dir), "turns")
+    twice = t.withColumn("_delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_delivery")
+    out = turns.new_turns(twice, _logged(t))
     return out.select(F.col("path").cast("bigint").alias("conv_id"), "turn", "turn_hash")
 
 
 @query
 def turn_ledger(spark, sf_dir):
-    out = turns.kept_hashes(conversation_turns(spark, sf_dir), _logged_turns(spark, sf_dir), keep=2)
+    t = materialized(conversation_turns(spark, sf_dir), "turns")
+    out = turns.kept_hashes(t, _logged(t))
     return out.select(F.col("path").cast("bigint").alias("conv_id"), "turn_hash", "back")
 
 
@@ -447,7 +450,7 @@ def attached_replies(spark, sf_dir):
         F.col("event_id").alias("seq"),
         F.concat(F.lit("ask user "), F.col("user_id").cast("string"), F.lit(".")).alias("raw_prompt"),
     )
-    asked = e.where(kind.isin("view", "purchase")).select(
+    asked = e.where(kind.isin("view", "purchase", "signup")).select(
         F.lit("all").alias("log_id"),
         F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("surface"),
         F.col("event_id").alias("turn_id"),

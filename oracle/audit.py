@@ -64,7 +64,7 @@ ORACLE["recent_events"] = (
     f"where {_since('30d')} and decision = 'redacted' order by decisions.ts desc, event_id desc limit 200"
 )
 ORACLE["recent_traffic"] = (
-    f"with {DECISIONS}, n as (select event_id as id, ts, len(pii_types) > 0 as pii from decisions order by ts desc, event_id desc limit 100) "
+    f"with {DECISIONS}, n as (select event_id as id, ts, len(pii_types) > 0 as pii from decisions) "
     "select id from n where pii order by ts desc, id desc limit 40"
 )
 ORACLE["inspector_stats"] = (
@@ -77,17 +77,17 @@ ORACLE["latency_stats"] = (
 
 # --- configuration ----------------------------------------------------------------------------------
 
-_PATCH = f"""patches as (select event_id as seq, ts, (epoch_us(ts) // 1000) as ms, {pick([*samples.SURFACE_NAMES, 'teams'], 'user_id')} as surface,
+PATCHES = f"""patches as (select event_id as seq, ts, (epoch_us(ts) // 1000) as ms, {pick([*samples.SURFACE_NAMES, 'teams'], 'user_id')} as surface,
   {pick(['redact', 'block', 'off', 'allow', None], 'event_id')} as mode, case event_id % 4 when 0 then true when 2 then false end as enabled,
-  'admin' || (user_id % 5) as admin from events where event_type = 'signup')"""
+  'admin' || (user_id % 5) as admin from events)"""
 _CATALOG = "catalog(surface) as (values " + ", ".join(f"({lit(s)})" for s, _ in SURFACES) + ")"
-_CURRENT = f"""{_PATCH}, {_CATALOG}, latest as (select surface, arg_max(mode, seq) filter (mode is not null) as mode,
+CURRENT = f"""{PATCHES}, {_CATALOG}, latest as (select surface, arg_max(mode, seq) filter (mode is not null) as mode,
   arg_max(enabled, seq) filter (enabled is not null) as enabled, arg_max(admin, seq) as admin, arg_max(ms, seq) as ms from patches group by surface),
 config as (select c.surface, coalesce(enabled, true) as enabled, coalesce(mode, case when c.surface = 'cursor' then 'block' else 'redact' end) as mode,
   'closed' as fail_mode, coalesce(admin, 'system') as updated_by, ms as updated_at from catalog c left join latest l on l.surface = c.surface)"""
-ORACLE["current_config"] = f"with {_CURRENT} select * from config"
+ORACLE["current_config"] = f"with {CURRENT} select * from config"
 ORACLE["config_upserts"] = f"""
-with {_CURRENT}, p as (select surface, arg_max(struct_pack(enabled := enabled, admin := admin), seq) as r from patches where surface <> 'grok' group by surface)
+with {CURRENT}, p as (select surface, arg_max(struct_pack(enabled := enabled, admin := admin), seq) as r from patches where surface <> 'grok' group by surface)
 select coalesce(c.surface, p.surface) as surface, coalesce(p.r.enabled, c.enabled, true) as enabled,
   case when p.surface is not null then 'block' else c.mode end as mode, coalesce(p.r.admin, c.updated_by) as updated_by,
   case when p.surface is not null then coalesce(c.mode, 'redact') end as before_mode, case when p.surface is not null then 'block' end as after_mode,
@@ -96,13 +96,13 @@ select coalesce(c.surface, p.surface) as surface, coalesce(p.r.enabled, c.enable
 _known = "(" + ", ".join(lit(s) for s, _ in SURFACES) + ")"
 _redact_modes = ", ".join(DEFAULT_MODES)
 ORACLE["refused_modes"] = f"""
-with {_PATCH} select seq, surface, mode, case when surface not in {_known} then 'unknown surface "' || surface || '"'
+with {PATCHES} select seq, surface, mode, case when surface not in {_known} then 'unknown surface "' || surface || '"'
   when surface = 'cursor' and mode not in ('block', 'allow') then 'mode "' || mode || '" not valid for cursor (allowed: block, allow)'
   when surface <> 'cursor' and mode not in ('redact', 'block', 'off') then 'mode "' || mode || '" not valid for ' || surface || ' (allowed: {_redact_modes})' end as error
 from patches
 """
-ORACLE["config_version"] = f"with {_PATCH} select count(*) as version from patches"
-_AUDIT = f"{_PATCH}, audit as (select *, case when seq % 3 = 0 then 'rules.update' else 'surface_config.update' end as action from patches)"
+ORACLE["config_version"] = f"with {PATCHES} select count(*) as version from patches"
+_AUDIT = f"{PATCHES}, audit as (select *, case when seq % 3 = 0 then 'rules.update' else 'surface_config.update' end as action from patches)"
 ORACLE["audit_view"] = (
     f"with {_AUDIT} select seq as audit_id, surface as target from audit where admin = 'admin3' and action = 'surface_config.update' "
     "and epoch_us(ts) between 1704499200000000 and 1705708800000000 order by ts desc, seq desc limit 50"
@@ -111,6 +111,19 @@ ORACLE["audit_log_files"] = (
     f"with {_AUDIT} select action, surface as target, count(*) as n from audit where admin = 'admin1' group by all"
 )
 
+# Attempts of a user in order, carrying the times admitted in the last three days.
+ORACLE["rate_limited_users"] = """
+with recursive o as (select event_id, user_id, epoch_us(ts) // 1000 as ms, row_number() over (partition by user_id order by ts, event_id) as nth from events),
+s as (
+  select user_id, nth, event_id, true as admitted, [ms] as held from o where nth = 1
+  union all
+  select user_id, nth, event_id, len(held) < 2, case when len(held) < 2 then list_append(held, ms) else held end
+  from (select o.user_id, o.nth, o.event_id, o.ms, list_filter(s.held, lambda t: o.ms - t < 259200000) as held
+    from s join o on o.user_id = s.user_id and o.nth = s.nth + 1)
+)
+select event_id as attempt_id, user_id as key, admitted from s
+"""
+
 # --- sources and sinks ------------------------------------------------------------------------------
 
 ORACLE["read_texts"] = (
@@ -152,10 +165,9 @@ ORACLE["reframed_stream"] = (
     f"with {SEEDED} select doc_id, 1 as n_done, 1 as n_start, 'length' as finish, text from seeded"
 )
 ORACLE["dedupe_turns_stream"] = (
-    "select distinct conv_id, substr(sha256(text || chr(0)), 1, 32) as turn_hash from conversations where role = 'assistant'"
+    "select distinct conv_id, substr(sha256(case when role = 'assistant' then chr(0) || text else text || chr(0) end), 1, 32) as turn_hash "
+    "from conversations"
 )
 ORACLE["series_stream"] = (
-    f"with {DECISIONS}, w as (select max(epoch_us(ts)) // 1000 - 600000 as mark from decisions) "
-    "select ms // 3600000 * 3600000 as bucket, surface, decision, count(*) as n from decisions, w "
-    "where ms // 3600000 * 3600000 + 3600000 <= mark group by all"
+    f"with {DECISIONS} select ms // 3600000 * 3600000 as bucket, surface, decision, count(*) as n from decisions group by all"
 )

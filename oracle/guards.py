@@ -75,8 +75,11 @@ ORACLE["valid_categories"] = (
     f"select event_id, array_to_string(list_filter([event_type, 'xss', {pick(['idor', 'nope', 'xss'], 'user_id')}], "
     f"lambda c: list_contains({_labels}, c)), ',') as categories from events"
 )
-# Equal prompts share one verdict, as they have the same length.
-ORACLE["attached_verdicts"] = f"with {_J} select conv_id, turn, risk, conf as confidence from j"
+# Equal prompts share one verdict, as they have the same length. Prompts that the first tier settles get none.
+ORACLE["attached_verdicts"] = f"""
+with {_J}, a as (select *, {_trivial} as triv, {_known('prompt')} as known from j)
+select conv_id, turn, case when not triv and known is null then risk end as risk, case when not triv and known is null then conf end as confidence from a
+"""
 _A = f"""{_J}, a as (select *, {_trivial} as triv, {_known('prompt')} as known from j),
 r as (select conv_id, turn, prompt,
   case when triv then 'allow' when known is not null then 'inject' when usable and risk and len(cats) > 0 then 'inject' else 'allow' end as verdict,
@@ -214,6 +217,7 @@ select 'prompt-guard' as kind, 'cursor-hook' as surface, verdict, null as permis
   from gt where verdict <> 'allow' group by verdict
 union all select 'command-guard', 'claude-code', null, permission, category, count(*), null from cv where permission <> 'allow' group by permission, category
 union all select 'action-guard', 'claude-code', null, null, null, count(*), sum(n_findings)::bigint from fa having count(*) > 0
+union all select 'action-guard-error', 'cursor', null, null, null, count(*), null from documents where doc_id % @REPLIES@ not in (0, 1, 2, 5) having count(*) > 0
 """
 
 # --- code -------------------------------------------------------------------------------------------
@@ -240,7 +244,9 @@ _all = " union all ".join(
     for e in code_values.CODE_CATEGORIES
 )
 FINDINGS = f"{_CODE_LINES}, findings as ({_all})"
-ORACLE["security_log"] = ORACLE["security_log"].replace("@FINDINGS@", FINDINGS)
+ORACLE["security_log"] = (
+    ORACLE["security_log"].replace("@FINDINGS@", FINDINGS).replace("@REPLIES@", str(len(samples.FINDING_REPLIES)))
+)
 ORACLE["code_findings"] = f"with {FINDINGS} select doc_id, tier, category, message, line from findings"
 _secret = next(e for e in code_values.CODE_CATEGORIES if e["category"] == "hardcoded_secret")
 ORACLE["hardcoded_secrets"] = (
@@ -270,7 +276,7 @@ u as (select conv_id, file_path, category, message, line, tier from findings
 select conv_id, file_path, category, line, message, min(tier) as tier from u group by all
 """
 _ACC = f"""{FINDINGS}, dist as (select conv_id, category, line, message, min(doc_id) as seen from findings group by all),
-acc as (select *, row_number() over (partition by conv_id order by seen, category, line, message) as nth from dist qualify nth <= 20)"""
+acc as (select *, row_number() over (partition by conv_id order by seen, category, line, message) as nth from dist)"""
 ORACLE["accumulated_findings"] = f"with {_ACC} select conv_id, nth, category, message, line from acc"
 ORACLE["pending_messages_text"] = (
     f"with {_ACC} select conv_id, count(*) as n, {lit(code_values.PENDING_HEADER)} || "

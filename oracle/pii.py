@@ -94,6 +94,7 @@ ORACLE["redacted_json"] = (
     "with recursive " + SEEDED + ", raw as (select doc_id, case when doc_id % 3 = 0 then '{broken ' || text else text end "
     f"as text from seeded), {redacted('raw', 'doc_id')} select key as doc_id, red as text, matched from red"
 )
+ORACLE["rule_file_counts"] = ORACLE["custom_rule_counts"]
 ORACLE["merged_counts"] = (
     f"with recursive {SEEDED}, {kept_spans('documents', 'doc_id', prefix='a_')}, "
     f"{kept_spans('seeded', 'doc_id', prefix='b_')}, "
@@ -108,6 +109,12 @@ ORACLE["allowlisted_counts"] = (
     + " "
     + _by_source.format(src="seeded")
 )
+ORACLE["allowlist_file_counts"] = ORACLE["allowlisted_counts"]
+ORACLE["allowlist_usage"] = f"""
+with {SEEDED}, w as (select unnest(regexp_split_to_array(text, '\\s+')) as word from seeded)
+select 'a1' as id, '@example\\.(com|org)$' as pattern, 'allow-ui' as source, true as enabled, count(*) filter (regexp_matches(word, '@example\\.(com|org)$')) as words from w
+union all select 'a2', '^8\\.8\\.', 'allow-ui', false, count(*) filter (regexp_matches(word, '^8\\.8\\.')) from w
+"""
 _email = re2(next(p for n, p, _ in PII_PATTERNS if n == "EMAIL"))
 ORACLE["allowlist_filter"] = (
     f"with {SEEDED} select doc_id, array_to_string(list_filter(regexp_extract_all(text, {lit(_email)}), "
@@ -256,13 +263,16 @@ office as (select s.doc_id, coalesce(string_agg(rule || '=' || c, ',' order by r
   from seeded s left join doc_rules using (doc_id) group by s.doc_id)
 select c.file_id, case when why = 'ooxml' then 'block' when why <> 'text' then 'block' when r.matched <> '' then 'replace' else 'allow' end as action,
   case when why = 'ooxml' then 'upload-unreadable' when why <> 'text' then 'upload-unscannable' when r.matched <> '' then 'pii-redacted' else 'no-pii' end as reason,
-  case when why not in ('text', 'ooxml') then why end as detail,
+  case when why = 'ooxml' then 'not a readable Office file' when why <> 'text' then why end as detail,
   case when why = 'text' and r.matched <> '' then r.red end as text,
   case when why = 'text' then r.matched end as matched
 from classes c join red r on r.key = c.file_id
 union all
-select -doc_id - 1, case when matched <> '' then 'replace' else 'allow' end, case when matched <> '' then 'pii-redacted' else 'no-pii' end,
-  null, case when matched <> '' then '' end, matched from office
+select -doc_id - 1, case when doc_id % 11 in (3, 5) or doc_id % 11 <> 7 and matched <> '' then 'block' else 'allow' end,
+  case when doc_id % 11 in (3, 5) then 'upload-unreadable' when doc_id % 11 = 7 then 'no-text'
+    when matched <> '' then 'pii-not-rewritten' else 'no-pii' end,
+  case when doc_id % 11 in (3, 5) then 'not a readable Office file' end, null,
+  case when doc_id % 11 not in (3, 5, 7) then matched end from office
 """
 ORACLE["endpoint_sites"] = r"""
 with u as (select page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) as h, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) as p from pages)

@@ -7,6 +7,7 @@ from guardlake.fixed import turns as turn_values
 from guardlake.fixed.traffic import UNVERIFIED_REASON
 from guardlake.plans import samples
 from guardlake.plans.traffic_queries import OVERRIDES
+from oracle.audit import CURRENT
 from oracle.parts import DECISIONS, SEEDED, has, lit, pick, re2, redacted, trim
 
 ORACLE = {}
@@ -106,7 +107,7 @@ select event_id, case when method = 'HOOK' or path like 'cursor%' then 'cursor'
 """
 ORACLE["sanitized_types"] = "select event_id, upper(event_type) || ',IPV4' as types from events"
 _RAW = """raw as (select event_id, case when event_id % 5 = 0 then 1706659200000 else (epoch_us(ts) // 1000) end as ts,
-  case event_id % 4 when 0 then 'gemini' when 3 then repeat('s', 60) else 'unknown' end as surface,
+  case event_id % 4 when 0 then 'gemini' when 3 then repeat('s', 70) else 'unknown' end as surface,
   case when event_id % 3 = 0 then 'incoming' else 'outgoing' end as direction,
   case event_id % 4 when 0 then 'blocked' when 1 then 'redacted' else 'allowed' end as decision,
   upper(event_type) || ',IPV4' as pii_types, upper(event_type) || ',IPV4' as rule_matched,
@@ -142,8 +143,10 @@ select event_id, coalesce(case when site = 'gemini' then 'gemini-' || nullif(tie
   else (case when flat ilike site || '%' then {_lab('flat')} else site || '-' || {_lab('flat')} end) end, site) as model from r
 """
 ORACLE["policy_outcomes"] = f"""
-with {DECISIONS} select event_id, surface, case when event_id % 10 = 0 then 'raw' when surface in ('gemini', 'grok') then 'blocked'
-  when surface = 'chatgpt' then 'raw' else 'redact' end as outcome from decisions
+with {DECISIONS}, {CURRENT}, known as (select surface, enabled, mode from config where surface not in ('gemini', 'grok')
+  union all select surface, enabled, mode from latest where surface = 'gemini')
+select event_id, d.surface, case when event_id % 10 = 0 then 'raw' when not coalesce(k.enabled, true) or k.mode = 'block' then 'blocked'
+  when k.mode = 'off' then 'raw' else 'redact' end as outcome from decisions d left join known k using (surface)
 """
 ORACLE["send_decisions"] = f"""
 with recursive {SEEDED}, {redacted('seeded', 'doc_id')} select key as doc_id, case when key % 5 = 0 then 'block' else 'submit' end as action,
@@ -183,7 +186,7 @@ where not exists (select 1 from hashed l where l.conv_id = h.conv_id and l.hash
 ORACLE["turn_ledger"] = f"""
 with {_TURNS}, e as (select conv_id, hash, 0 as age, turn from hashed where length(prompt) % 3 = 0 union all select conv_id, hash, 1, turn from hashed),
 f as (select conv_id, hash, min(struct_pack(age := age, turn := turn)) as place from e group by all)
-select conv_id, hash as turn_hash, row_number() over (partition by conv_id order by place desc) as back from f qualify back <= 2
+select conv_id, hash as turn_hash, row_number() over (partition by conv_id order by place desc) as back from f
 """
 ORACLE["logged_turns"] = f"""
 with recursive {SEEDED}, {redacted('seeded', 'doc_id')},
@@ -216,3 +219,20 @@ with {_CAND}, s as (select turn_id, pos, case
 select c.turn_id, arg_min(pos, struct_pack(x := -score, y := pos)) filter (score is not null) as pos, round(max(score), 6) as score
 from s c group by c.turn_id
 """
+# Turns of a surface in order, carrying the flags that are taken; the newest open one in the last 200 rows is next.
+ORACLE["attached_replies"] = """
+with recursive f as (select 's' || (user_id % 3) as surface, event_id as seq, 'ask user ' || user_id || '.' as needle from events where event_type in ('error', 'click')),
+t as (select 's' || (user_id % 3) as surface, event_id as turn_id, 'ask user ' || user_id || '.' as needle from events where event_type in ('view', 'purchase', 'signup')),
+c as (select t.surface, turn_id, list(seq order by seq desc) as fits from t join f on f.surface = t.surface and f.needle = t.needle
+  and seq < turn_id and seq >= turn_id - 200 group by all),
+o as (select *, row_number() over (partition by surface order by turn_id) as nth from c),
+r as (
+  select surface, nth, turn_id, fits[1] as seq, [fits[1]] as taken from o where nth = 1
+  union all
+  select surface, nth, turn_id, pick, case when pick is null then taken else list_append(taken, pick) end
+  from (select o.surface, o.nth, o.turn_id, r.taken, list_filter(o.fits, lambda x: not list_contains(r.taken, x))[1] as pick
+    from r join o on o.surface = r.surface and o.nth = r.nth + 1)
+)
+select f.seq, f.surface, r.turn_id, case when r.turn_id is not null then 'reply ' || r.turn_id end as response
+from f left join r on r.surface = f.surface and r.seq = f.seq
+"""
