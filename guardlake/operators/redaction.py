@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,50 +189,61 @@ def redact_json(
     )
 
 
-SHAPE = "array<struct<path:string,kind:string,size:int>>"
-_SHOWN_ITEMS = 8
+def _nesting(raw: Column) -> Column:
+    """How deep the brackets of a JSON text go, those inside strings aside."""
+    bare = F.regexp_replace(raw, r'"(?:[^"\\]++|\\[\s\S])*+"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
+    def step(state: Column, bracket: Column) -> Column:
+        now = state["now"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
 
-def _shape_of(value, path: str, out: list) -> list:
-    if value is None:
-        out.append((path, "null", None))
-    elif isinstance(value, bool):
-        out.append((path, "boolean", None))
-    elif isinstance(value, str):
-        out.append((path, "string", len(value)))
-    elif isinstance(value, (int, float)):
-        out.append((path, "number", None))
-    elif isinstance(value, list):
-        out.append((path, "array", len(value)))
-        for i, item in enumerate(value[:_SHOWN_ITEMS]):
-            _shape_of(item, f"{path}[{i}]", out)
-    else:
-        if path:
-            out.append((path, "object", None))
-        for key, item in value.items():
-            _shape_of(item, f"{path}.{key}" if path else key, out)
-    return out
+    return F.aggregate(brackets, start, step, lambda state: state["most"])
+
+
+def _node(path: Column, value: Column, opened: bool) -> Column:
+    return F.struct(path.alias("path"), value.alias("value"), F.lit(opened).alias("opened"))
 
 
 def payload_shape(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
     """Key paths, types, string lengths and array sizes of JSON texts, never values.
 
-    Depth is unknown in advance, so this one walks in Python, over Arrow batches.
+    The texts are unrolled level by level, as many levels as the deepest one has; that number is all the driver
+    learns. Texts that do not parse give no rows; the outermost object has no path and none either.
     """
-
-    def shapes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def read(raw):
-            try:
-                return _shape_of(json.loads(raw), "", [])
-            except (TypeError, ValueError):
-                return None
-
-        for batch in batches:
-            yield batch.map(read)
-
-    shape_udf = F.pandas_udf(shapes, SHAPE)
-    listed = df.select(*keep, F.explode_outer(shape_udf(F.col(col))).alias("_s"))
-    return listed.where(F.col("_s.kind").isNotNull()).select(*keep, "_s.path", "_s.kind", "_s.size")
+    levels = df.agg(F.max(_nesting(F.col(col)))).first()[0] or 0
+    root = _node(F.lit(""), payload.parsed(F.col(col)), False)
+    work = df.select(*keep, root.alias("_n")).where(F.col("_n.value").isNotNull())
+    path, value = F.col("_n.path"), F.col("_n.value")
+    nodes = "array<struct<path:string,value:variant,opened:boolean>>"
+    items = F.transform(
+        payload.list_field(value),
+        lambda x, i: _node(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x, False),
+    )
+    members = F.transform(
+        F.map_entries(payload.field(value, "$", "map<string,variant>")),
+        lambda e: _node(F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), e["value"], False),
+    )
+    none = F.array().cast(nodes)
+    inner = F.coalesce(items.cast(nodes), members.cast(nodes), none)
+    unrolled = F.concat(F.array(_node(path, value, True)), F.when(F.col("_n.opened"), none).otherwise(inner))
+    for _ in range(levels):
+        work = work.select(*keep, F.explode(unrolled.cast(nodes)).alias("_n"))
+    shape = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    kind = (
+        F.when(shape == "VOID", "null")
+        .when(shape == "BOOLEAN", "boolean")
+        .when(shape == "STRING", "string")
+        .when(shape.startswith("ARRAY"), "array")
+        .when(shape.startswith("OBJECT"), "object")
+        .otherwise("number")
+    )
+    size = F.when(shape == "STRING", F.length(payload.field(value, "$", "string"))).when(
+        shape.startswith("ARRAY"), F.size(payload.list_field(value))
+    )
+    listed = work.select(*keep, path.alias("path"), kind.alias("kind"), size.cast("int").alias("size"))
+    return listed.where((F.col("path") != "") | (F.col("kind") != "object"))
 
 
 # --- editor hooks -----------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from guardlake.fixed import traffic as fixed
 from guardlake.functions import messages, payload, routing, spans
 from guardlake.functions.text import redact_url_credentials, sanitize_pii_types, snapshot
 from guardlake.rules import RuleSet
-from guardlake.streaming.bodies import redacted_stream_body
+from guardlake.streaming.redaction import redact_bodies
 
 DECISION_COLUMNS = [
     "ts", "surface", "direction", "decision", "pii_types", "rule_matched", "latency_ms",
@@ -36,11 +36,18 @@ def build_traffic(
     inbound = payload.redacted_json(F.col("_request"), rules.active, "inbound", allow)
     response = F.col("_response")
     is_stream = messages.is_event_stream(response)
-    streamed = redacted_stream_body(F.col("provider"), F.when(is_stream, response), rules)
     buffered = payload.redacted_json(
         F.when(~is_stream, response), rules.active, "outbound", allow
     )
-    work = given.withColumns({"_in": inbound, "_sse": streamed, "_body": buffered})
+    work = given.withColumns({"_in": inbound, "_body": buffered})
+    # Values split over events are only visible along the stream, so recorded streams are redacted as such.
+    recorded = given.where(is_stream).select(
+        F.col("id").cast("string").alias("stream_id"), "provider", F.col("_response").alias("chunk")
+    )
+    streamed = redact_bodies(recorded, rules).select(
+        F.col("stream_id").alias("_stream"), F.struct("text", "matched").alias("_sse")
+    )
+    work = work.join(streamed, F.when(is_stream, F.col("id").cast("string")) == F.col("_stream"), "left")
     work = work.withColumn("_out", F.when(is_stream, F.col("_sse")).otherwise(F.col("_body")))
     request, response = F.col("_in.text"), F.col("_out.text")
     seen = spans.has_matches(F.col("_in.matched")) | spans.has_matches(F.col("_out.matched"))

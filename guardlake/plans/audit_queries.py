@@ -10,6 +10,7 @@ from guardlake.plans import guard_queries, inputs, traffic_queries
 from guardlake.plans.pii_queries import counts_text
 from guardlake.session import STATE_STORE, shared_dir
 from guardlake.sources import readers, writers
+from guardlake.streaming import events, redaction
 from guardlake.streaming import operators as streaming
 
 QUERIES = {}
@@ -300,53 +301,57 @@ def finding_files(spark, sf_dir):
 @query
 def parsed_sse(spark, sf_dir):
     x = inputs.exchanges(spark, sf_dir).where("streaming").select("id", "provider", F.col("response").alias("body"))
-    events = streaming.parse_sse(x, ["id", "provider"])
+    found = events.parse_sse(x, ["id", "provider"])
     v = payload.parsed(F.col("data"))
-    return events.select(
+    return found.select(
         "id", "at", "event",
-        streaming.text_delta(F.col("provider"), v).alias("delta"),
-        streaming.is_terminal(F.col("provider"), F.col("data"), v).alias("terminal"),
-        streaming.is_block_stop(F.col("provider"), v).alias("block_stop"),
+        events.text_delta(F.col("provider"), v).alias("delta"),
+        events.is_terminal(F.col("provider"), F.col("data"), v).alias("terminal"),
+        events.is_block_stop(F.col("provider"), v).alias("block_stop"),
+    )
+
+
+def _per_document(rows):
+    """Texts (stream_id, place, text) joined per stream, with the matches added up."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("place", "text"))))
+    return rows.groupBy(F.col("stream_id").cast("bigint").alias("doc_id")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"),
+        counts_text(payload.sum_counts(F.collect_list("matched"))).alias("matched"),
     )
 
 
 @query
 def stream_redact_batch(spark, sf_dir):
     out = streaming.redact_stream_batch(inputs.stream_chunks(spark, sf_dir))
-    return out.select(F.col("stream_id").cast("bigint").alias("doc_id"), "text", counts_text("matched").alias("matched"))
+    return _per_document(out.select("stream_id", F.col("seq").alias("place"), F.col("chunk").alias("text"), "matched"))
 
 
 def _joined_deltas(redacted):
     """Text that redacted event streams show, with the matches added up."""
-    events = streaming.parse_sse(redacted.withColumnRenamed("chunk", "body"), ["stream_id", "seq"])
-    delta = streaming.text_delta(F.lit("anthropic"), payload.parsed(F.col("data")))
-    texts = (
-        events.select("stream_id", "seq", "at", delta.alias("d"))
-        .where(F.col("d").isNotNull())
-        .groupBy("stream_id")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "at", "d"))).alias("ds"))
-    )
-    rules = (
-        redacted.select("stream_id", F.explode("matched").alias("rule", "n"))
-        .groupBy("stream_id", "rule")
-        .agg(F.sum("n").cast("int").alias("n"))
-        .groupBy("stream_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rule", "n"))).alias("matched"))
-    )
-    return texts.join(rules, "stream_id", "left").select(
-        F.col("stream_id").cast("bigint").alias("doc_id"),
-        F.array_join(F.transform("ds", lambda x: x["d"]), "").alias("text"),
-        F.coalesce(counts_text("matched"), F.lit("")).alias("matched"),
+    found = events.parse_sse(redacted.withColumnRenamed("chunk", "body"), ["stream_id", "seq"])
+    delta = events.text_delta(F.lit("anthropic"), payload.parsed(F.col("data")))
+    none = F.lit(None).cast("map<string,int>")
+    texts = found.select("stream_id", F.struct("seq", "at").alias("place"), delta.alias("text"), none.alias("matched"))
+    counts = redacted.where(F.size("matched") > 0).select(
+        "stream_id", F.struct("seq", F.lit(-1).alias("at")).alias("place"), F.lit(None).cast("string").alias("text"), "matched"
     )
+    return _per_document(texts.unionByName(counts))
 
 
 # The held-back tail must cover the longest sample, or a long match shows its head before it is complete.
 HOLDBACK = 256
 
 
+def _odd_chunks(spark, sf_dir):
+    """Event streams, some numbered from 1, some without an end mark."""
+    doc = F.col("stream_id").cast("bigint")
+    chunks = inputs.event_chunks(spark, sf_dir).where(F.col("chunk").isNotNull() | (doc % 7 != 3))
+    return chunks.withColumn("seq", F.col("seq") + (doc % 5 == 1).cast("bigint"))
+
+
 @query
 def stream_redact_sorted(spark, sf_dir):
-    return _joined_deltas(streaming.redact_chunks_sorted(inputs.event_chunks(spark, sf_dir), holdback=HOLDBACK))
+    return _joined_deltas(redaction.redact_chunks(_odd_chunks(spark, sf_dir)))
 
 
 def _with_state_store(spark, run):
@@ -362,24 +367,23 @@ def _with_state_store(spark, run):
 
 @query
 def stream_redact(spark, sf_dir):
-    """The event streams as files, redacted by a stateful query, then joined per stream."""
+    """The event streams as files, redacted batch by batch, then joined per stream."""
     source, out = shared_dir(spark, "chunks"), shared_dir(spark, "redacted")
-    inputs.event_chunks(spark, sf_dir).write.parquet(source)
+    _odd_chunks(spark, sf_dir).write.parquet(source)
     chunks = readers.read_chunks(spark, source, stream=True)
-    redacted = streaming.redact_stream(chunks, holdback=HOLDBACK)
-    _with_state_store(spark, lambda: streaming.bounded_run(redacted, out, shared_dir(spark, "state")))
-    return _joined_deltas(spark.read.schema(streaming.REDACTED).parquet(out))
+    redaction.run_redaction(chunks, out, shared_dir(spark, "waiting"), holdback=HOLDBACK, close=True)
+    return _joined_deltas(spark.read.schema(redaction.REDACTED).parquet(f"{out}/batch=*"))
 
 
 @query
 def reframed_stream(spark, sf_dir):
     chunks = inputs.event_chunks(spark, sf_dir)
     frames = streaming.reframe_stream(chunks, "m1", 1700000000, "reply-0")
-    events = streaming.parse_sse(
+    found = events.parse_sse(
         frames.select("stream_id", "seq", F.col("chunk").alias("body")), ["stream_id", "seq"]
     )
     v = payload.parsed(F.col("data"))
-    rows = events.select(
+    rows = found.select(
         "stream_id", "seq", "at", F.col("data") == "[DONE]",
         payload.string_field(v, "$.choices[0].delta.role").alias("role"),
         payload.string_field(v, "$.choices[0].delta.content").alias("content"),
