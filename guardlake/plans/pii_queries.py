@@ -59,7 +59,7 @@ for _name, _, _ in PII_PATTERNS:
 CUSTOM_RULES = (("EXAMPLE_MAIL", r"[a-z.]+@example\.com", "i"), ("WORD_PAIR", r"\b(?:the|de|und) [a-z]+\b", ""))
 
 
-ALLOWED = (r"@example\.(com|org)$", r"^8\.8\.")
+ALLOWED = (r"@example\.(com|org)$", r"^9\.18\.")
 
 
 def custom_rule_set() -> RuleSet:
@@ -203,7 +203,7 @@ def redacted_struct(spark, sf_dir):
         F.struct(
             F.col("source").alias("source"),
             F.col("doc_id").alias("number"),
-            F.array(F.col("text"), F.lit("call 202-555-0147")).alias("notes"),
+            F.array(F.col("text"), F.lit("call 312-555-0186")).alias("notes"),
             F.create_map(F.lit("x@y.org"), F.struct(F.col("text").alias("body"))).alias("by_mail"),
         ).alias("payload"),
     )

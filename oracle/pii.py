@@ -104,7 +104,7 @@ ORACLE["merged_counts"] = (
 ORACLE["allowlisted_counts"] = (
     f"with recursive {SEEDED}, "
     + kept_spans(
-        "seeded", "doc_id", extra=r"and not regexp_matches(v, '@example\.(com|org)$') and not regexp_matches(v, '^8\.8\.')"
+        "seeded", "doc_id", extra=r"and not regexp_matches(v, '@example\.(com|org)$') and not regexp_matches(v, '^9\.18\.')"
     )
     + " "
     + _by_source.format(src="seeded")
@@ -113,7 +113,7 @@ ORACLE["allowlist_file_counts"] = ORACLE["allowlisted_counts"]
 ORACLE["allowlist_usage"] = f"""
 with {SEEDED}, w as (select unnest(regexp_split_to_array(text, '\\s+')) as word from seeded)
 select 'a1' as id, '@example\\.(com|org)$' as pattern, 'allow-ui' as source, true as enabled, count(*) filter (regexp_matches(word, '@example\\.(com|org)$')) as words from w
-union all select 'a2', '^8\\.8\\.', 'allow-ui', false, count(*) filter (regexp_matches(word, '^8\\.8\\.')) from w
+union all select 'a2', '^9\\.18\\.', 'allow-ui', false, count(*) filter (regexp_matches(word, '^9\\.18\\.')) from w
 """
 _email = re2(next(p for n, p, _ in PII_PATTERNS if n == "EMAIL"))
 ORACLE["allowlist_filter"] = (

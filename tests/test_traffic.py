@@ -107,8 +107,8 @@ def test_traffic_holds_redacted_text_only(spark):
         'data: {"choices":[{"delta":{"content":"%s"}}]}\n\n' % piece for piece in ("mail jo", "hn@exam", "ple.com ok")
     )
     df = spark.createDataFrame(
-        [(1, "openai", '{"messages":[{"role":"user","content":"ssn 123-45-6789"}]}', sse + "data: [DONE]\n\n"),
-         (2, "anthropic", "mail a@b.org", '{"content":[{"type":"text","text":"ip 8.8.8.8"}]}')],
+        [(1, "openai", '{"messages":[{"role":"user","content":"ssn 271-63-8054"}]}', sse + "data: [DONE]\n\n"),
+         (2, "anthropic", "mail a@b.org", '{"content":[{"type":"text","text":"ip 9.18.27.36"}]}')],
         "id long, provider string, request string, response string",
     ).withColumns({
         "ts": F.timestamp_seconds(F.lit(0)), "model": F.lit("m"), "blocked": F.lit(None).cast("boolean"),
@@ -118,7 +118,7 @@ def test_traffic_holds_redacted_text_only(spark):
     out = traffic.build_traffic(df)
     rows = out.orderBy("id").collect()
     dump = str(rows)
-    for raw in ("123-45-6789", "john@", "example.com", "a@b.org", "8.8.8.8", "token=t"):
+    for raw in ("271-63-8054", "john@", "example.com", "a@b.org", "9.18.27.36", "token=t"):
         assert raw not in dump
     assert rows[0].clean.assistant_output == "mail [REDACTED_MOCK_PII] ok"
     assert rows[0].clean.user_prompt == "ssn [REDACTED_PII_SSN]"
