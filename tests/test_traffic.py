@@ -270,7 +270,7 @@ def test_files(spark):
         ("x.zzz", "", 1, "unsupported-type"), (".gitignore", "", 1, "text"), ("x", "application/ld+json", 1, "text"),
     ]
     df = spark.createDataFrame([(i, n, m, s) for i, (n, m, s, _) in enumerate(cases)], "i int, name string, mime string, size long")
-    assert [r.reason for r in files.classify_files(df).orderBy("i").collect()] == [c[3] for c in cases]
+    assert [r.reason for r in files.classify_files(df, 2 << 20, 8 << 20).orderBy("i").collect()] == [c[3] for c in cases]
 
 
 def test_office_runs_are_joined(spark):
@@ -299,3 +299,83 @@ def test_config(spark):
     assert {r.surface: r.mode for r in settings.collect()}["gemini"] == "off"
     (row,) = audit.collect()
     assert '"mode":"block"' in row.before_value and '"mode":"off"' in row.after_value
+
+
+def _archive(name="word/document.xml", text="mail a@b.org"):
+    import io
+    import zipfile
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr(name, f"<w:document><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:document>")
+    return packed.getvalue()
+
+
+def test_every_office_file_is_decided_by_itself(spark):
+    from guardlake.operators import files
+    from guardlake.plans.pii_queries import _spoilt
+
+    whole = _archive()
+    cases = {
+        "found": (whole, "block", "pii-not-rewritten"),
+        "clean": (_archive(text="nothing"), "allow", "no-pii"),
+        "textless": (_archive("word/media.xml"), "allow", "no-text"),
+        "damaged": (_spoilt(whole, 3), "block", "upload-unreadable"),
+        "encrypted": (_spoilt(whole, 5), "block", "upload-unreadable"),
+        "cut": (whole[:60], "block", "upload-unreadable"),
+        "junk": (b"PK", "block", "upload-unreadable"),
+        "null": (None, "block", "upload-unreadable"),
+    }
+    rows = [(k, "a.docx", "", len(c or b""), bytearray(c) if c is not None else None) for k, (c, _, _) in cases.items()]
+    df = spark.createDataFrame(rows, "file_id string, name string, mime string, size long, content binary")
+    out = {r.file_id: r for r in files.redact_files(df).collect()}
+    assert {k: (r.action, r.reason) for k, r in out.items()} == {k: (a, w) for k, (_, a, w) in cases.items()}
+    assert all(r.text is None for r in out.values()) and out["found"].paragraphs == 1
+    small = files.redact_files(df, office_most=10).where("file_id = 'clean'").first()
+    assert (small.action, small.reason, small.detail) == ("block", "upload-unscannable", "too-large")
+
+
+def test_a_surface_keeps_its_last_policy(spark):
+    from guardlake.operators import traffic
+
+    sends = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "x")], "surface string, text string")
+    config = spark.createDataFrame([("a", True, "off")], "surface string, enabled boolean, mode string")
+    past = [("a", 1, False, "block"), ("b", 1, None, "block"), ("b", 2, True, None), ("c", 1, True, "block"), ("c", 2, None, "off")]
+    history = spark.createDataFrame(past, "surface string, seq long, enabled boolean, mode string")
+    out = {r.surface: r.outcome for r in traffic.apply_surface_policy(sends, config, history).collect()}
+    assert out == {"a": "raw", "b": "blocked", "c": "raw", "d": "redact"}
+
+
+def test_limits_are_arguments(spark):
+    from guardlake.operators import analytics, codescan, redaction, turns
+
+    code = spark.createDataFrame([("c", "x = 1\n" * 60_000 + "eval(formula)\n")], "conv_id string, content string")
+    assert codescan.scan_lines(code, "content", ["conv_id"]).count() == 1
+    assert codescan.scan_lines(code, "content", ["conv_id"], cap=1000).count() == 0
+    found = spark.range(300).selectExpr("'c' as conv_id", "'k' as category", "cast(id as int) as line", "'m' as message", "1 as tier", "id as seq")
+    assert codescan.accumulate_findings(found, "seq").count() == 300
+    assert codescan.accumulate_findings(found, "seq", cap=20).agg({"nth": "max"}).first()[0] == 20
+    log = spark.range(500).selectExpr("id", "timestamp_seconds(id) as ts", "id = 3 as pii_detected")
+    assert [r.id for r in analytics.recent(log, 5, only_pii=True).collect()] == [3]
+    assert analytics.recent(log, 5).count() == 5
+    events = log.withColumnRenamed("id", "event_id")
+    assert analytics.query_events(events).count() == 500 and analytics.query_events(events, 7).count() == 7
+    done = spark.range(30).selectExpr("'p' as path", "cast(id as string) as prompt", "'' as response", "id as turn")
+    none = spark.createDataFrame([], "path string, turn_hash string, nth long")
+    assert turns.kept_hashes(done, none).count() == 30 and turns.kept_hashes(done, none, keep=4).count() == 4
+    prompt = " ".join(f"@f{i}" for i in range(25))
+    prompts = spark.createDataFrame([("s", prompt)], "id string, prompt string")
+    names = spark.createDataFrame([(f"f{i}",) for i in range(25)], "path string")
+    assert redaction.extract_mentions(prompts, names, "id", "prompt").count() == 25
+    assert redaction.extract_mentions(prompts, names, "id", "prompt", most=20).count() == 20
+
+
+def test_payload_shapes_of_any_depth(spark):
+    from guardlake.operators import redaction
+
+    raw = '{"a":[1,"x\\"]{",{"b":{"c":[[null]]}}],"n":' + str(list(range(12))) + "}"
+    df = spark.createDataFrame([(1, raw), (2, "[true]"), (3, "no json {{{"), (4, None)], "id int, raw string")
+    rows = {(r.id, r.path): (r.kind, r["size"]) for r in redaction.payload_shape(df, "raw", ["id"]).collect()}
+    assert rows[1, "a"] == ("array", 3) and rows[1, "a[1]"] == ("string", 4) and rows[1, "a[2].b"] == ("object", None)
+    assert rows[1, "a[2].b.c[0][0]"] == ("null", None) and rows[1, "n[11]"] == ("number", None) and rows[1, "n"] == ("array", 12)
+    assert rows[2, ""] == ("array", 1) and rows[2, "[0]"] == ("boolean", None) and {k for k, _ in rows} == {1, 2}
