@@ -62,10 +62,14 @@ class BKTree:
 
 
 class Forest:
-    """Union-find over the fingerprints of one bucket, so that a bucket yields a spanning star, not all pairs."""
+    """Union-find over the fingerprints of one bucket, so that a bucket yields a spanning star, not all pairs.
+
+    ``trees`` counts the components among the values that were added.
+    """
 
     def __init__(self) -> None:
         self.parent: dict[int, int] = {}
+        self.trees = 0
 
     def root(self, x: int) -> int:
         parent = self.parent
@@ -74,10 +78,21 @@ class Forest:
             parent[x] = x = parent[parent[x]]
         return x
 
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
+    def link(self, x: int, near: Iterator[int], added: bool) -> None:
+        """Join x to the values near it. Once every component is reached, the others need not be looked for."""
+        reached: set[int] = set()
+        for y in near:
+            reached.add(self.root(y))
+            if len(reached) == self.trees:
+                break
+        if reached:
+            low = min(x, *reached)
+            for r in (x, *reached):
+                self.parent[r] = low
+            self.trees -= len(reached) - 1
+        elif added:
+            self.root(x)
+            self.trees += 1
 
     def stars(self) -> Iterator[tuple[int, int]]:
         for x in self.parent:
@@ -148,9 +163,7 @@ def _link_buckets(radius: int):
                     flush()
                     key, tree, forest = bucket, BKTree(), Forest()
                 fp &= ALL
-                if ask or bucket[-1] == bucket[-2]:
-                    for near in tree.within(fp, radius):
-                        forest.join(fp, tree.values[near])
+                forest.link(fp, (tree.values[i] for i in tree.within(fp, radius)), not ask)
                 if not ask:
                     tree.add(fp)
             if len(found) >= 50_000:
