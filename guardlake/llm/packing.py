@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,44 +18,58 @@ from pyspark.sql import functions as F
 
 from guardlake.llm import common
 
-# Pre-tokens of byte-level BPE. Characters of SAFE belong to the same classes in every Unicode version, so for
-# texts of them this pattern cuts as the tokenizer itself does; other texts go through the tokenizer whole.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SAFE = r"[\t\n\r -~\xa1-ɏ]*"
-# A single space between two other characters always begins a pre-token; a space beside white space may not.
-LOOSE = r" [\s]|[\t\n\r] "
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-# What a worker remembers, in entries, before it starts afresh.
-WORDS, PIECES = 100_000, 250_000
+# Characters that belong to the same classes in every Unicode version: the pattern below then cuts texts as the
+# tokenizer itself does. Texts with others go through the tokenizer whole.
+SAFE = "\t\n\r" + "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x250)]))
+# Pre-tokens in each of the two generations that a worker remembers.
+REMEMBERED = 250_000
+
+
+def _class(kind: str) -> str:
+    """The safe characters of a Unicode category, for use between square brackets."""
+    return "".join(re.escape(c) for c in SAFE if unicodedata.category(c).startswith(kind))
+
+
+def _pre_tokens() -> str:
+    """The pre-tokens of byte-level BPE, for texts of safe characters."""
+    letters, numbers = _class("L"), _class("N")
+    return rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[int, int]:
+    """What byte-level BPE writes for bytes: printable ones as themselves, the others as letters from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 0x100 + n for n, b in enumerate(others)}
 
 
 class Remembered(dict):
-    """A bounded memory of a function's results."""
+    """A bounded memory of a function's results, in two generations: what is asked for again stays."""
 
     def __init__(self, function, most: int) -> None:
-        self.function, self.most = function, most
+        self.function, self.most, self.older = function, most, {}
 
     def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.function(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        found = self[key] = self.function(key)
+        self[key] = found
         return found
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, remembering those of frequent words.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, remembering those of pre-tokens.
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in order.
     """
 
     def __init__(self, path: str) -> None:
-        import os
-        import re
-
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -63,31 +80,22 @@ class Encoder:
             and not spec["model"].get("dropout")
             and BYTE_LEVEL.items() <= (spec["pre_tokenizer"] or {}).items()
         )
-        self.pieces = regex.compile(PRE_TOKENS).findall
-        self.safe = re.compile(SAFE).fullmatch
-        self.loose = re.compile(LOOSE).search
-        self.as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.of_piece = Remembered(self._piece, PIECES)
-        self.of_word = Remembered(lambda word: self._pieces(" " + word), WORDS)
+        self.pieces = re.compile(_pre_tokens()).findall
+        self.safe = re.compile(f"[{re.escape(SAFE)}]*").fullmatch
+        self.letters = _byte_letters()
+        self.of_piece = Remembered(self._piece, REMEMBERED)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(self.as_letters(piece)[0][0])
-        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
-
-    def _pieces(self, text: str) -> bytes:
-        of_piece = self.of_piece
-        return b"".join([of_piece[p] for p in self.pieces(text)])
+        written = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(written)], dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not (self.by_piece and self.safe(text)):
-            return self._whole(text)
-        if self.loose(text):
-            return self._pieces(text)
-        first, *words = text.split(" ")
-        return self._pieces(first) + b"".join(map(self.of_word.__getitem__, words))
+        if self.by_piece and self.safe(text):
+            return b"".join(map(self.of_piece.__getitem__, self.pieces(text)))
+        return self._whole(text)
 
 
 @lru_cache(1)
@@ -204,7 +212,8 @@ def tokenized(
 
 
 def pack(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces of at most ``capacity`` tokens; other columns are kept.
+    """Add ``sequence_id`` and ``offset`` to pieces of at most ``capacity`` tokens; other columns are kept. Columns of
+    these names are replaced. Repeated pieces are packed each by itself.
 
     Only the histogram of lengths (``capacity`` rows at most) reaches the driver, and only the rules made of it are
     broadcast; their number depends on the lengths that occur. A piece's rank among those of its length is the number
@@ -239,4 +248,5 @@ def pack(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
 
     at = common.fresh(pieces, "at")
     placed = ranked.withColumn(at, place(F.col("length"), (F.col(rank) + F.col(before)).cast("long")))
-    return placed.select(*pieces.columns, f"{at}.sequence_id", f"{at}.offset")
+    kept = [c for c in pieces.columns if c.lower() not in {"sequence_id", "offset"}]
+    return placed.select(*kept, f"{at}.sequence_id", f"{at}.offset")
