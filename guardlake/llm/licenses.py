@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.functions.expr import let
+from guardlake.operators.barrier import sealed
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Licence names (SPDX identifiers where there are such) and usual wordings of each.
@@ -61,10 +64,14 @@ TEMPLATES = [
 
 def bigrams(text: Column) -> Column:
     """Different pairs of neighbouring words; words are runs of a-z and 0-9 after A-Z are lower-cased."""
-    plain = F.trim(F.regexp_replace(F.translate(text, UPPER, UPPER.lower()), "[^a-z0-9]+", " "))
-    words = F.split(plain, " ")
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    plain = F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
+
+    def pairs(words: Column) -> Column:
+        first, second = F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words))
+        joined = F.zip_with(first, second, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(words) > 1, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(plain, " "), pairs)
 
 
 def units(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -72,17 +79,20 @@ def units(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     Paragraphs are parted by blank lines. Units count from 0 in their text; blank ones are left out.
     """
-    whole = F.regexp_replace(F.col(text), "\r\n?", "\n")
-    parts = F.split(whole, "\n[ \t]*\n[ \t\n]*")
-    line = F.transform(F.split(whole, "\n"), lambda x, i: F.struct(F.lit("line").alias("level"), i.alias("unit"), x.alias("body")))
-    paragraph = F.filter(
-        F.transform(parts, lambda x, i: F.struct(F.lit("paragraph").alias("level"), i.alias("unit"), x.alias("body"))),
-        lambda u: F.contains(u["body"], F.lit("\n")),
-    )
-    full = F.when(
-        F.size(parts) > 1, F.array(F.struct(F.lit("text").alias("level"), F.lit(0).alias("unit"), whole.alias("body")))
-    ).otherwise(F.array().cast("array<struct<level:string,unit:int,body:string>>"))
-    found = docs.select(F.col(key).alias("key"), F.explode(F.concat(line, paragraph, full)).alias("u"))
+    def of(level: str, body: Column, unit: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), unit.alias("unit"), body.alias("body"))
+
+    def split(whole: Column) -> Column:
+        return let(F.split(whole, "\n[ \t]*\n[ \t\n]*"), lambda parts: listed(whole, parts))
+
+    def listed(whole: Column, parts: Column) -> Column:
+        line = F.transform(F.split(whole, "\n"), lambda x, i: of("line", x, i))
+        several = F.filter(F.transform(parts, lambda x, i: of("paragraph", x, i)), lambda u: F.contains(u["body"], F.lit("\n")))
+        none = F.array().cast("array<struct<level:string,unit:int,body:string>>")
+        return F.concat(line, several, F.when(F.size(parts) > 1, F.array(of("text", whole, F.lit(0)))).otherwise(none))
+
+    cut = let(F.regexp_replace(F.col(text), "\r\n?", "\n"), split)
+    found = docs.select(F.col(key).alias("key"), F.explode(cut).alias("u"))
     return found.select("key", "u.level", "u.unit", "u.body").where(F.rlike("body", F.lit("[A-Za-z0-9]")))
 
 
@@ -101,9 +111,10 @@ def scan(
     known = known.select("license", bigrams(F.col("wording")).alias("wanted")).withColumn("b", F.size("wanted")).where("b > 0")
     low, high = F.ceil(F.col("b") * threshold / (2 - threshold) - 1e-9), F.floor(F.col("b") * (2 - threshold) / threshold + 1e-9)
     known = known.withColumn("a", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    found = units(docs, text, key).withColumn("own", bigrams(F.col("body"))).withColumn("a", F.size("own"))
+    found = sealed(units(docs, text, key).select("key", "level", "unit", bigrams(F.col("body")).alias("own")))
+    found = found.withColumn("a", F.size("own"))
     dice = 2 * F.size(F.array_intersect("own", "wanted")) / (F.col("a") + F.col("b"))
-    near = found.select("key", "level", "unit", "own", "a").join(F.broadcast(known), "a").withColumn("dice", dice)
+    near = sealed(found.join(F.broadcast(known), "a").select("key", "level", "unit", "own", "license", dice.alias("dice")))
     best = near.where(F.col("dice") >= threshold).groupBy("key", "level", "unit", "own")
     best = best.agg(F.min(F.struct((-F.col("dice")).alias("less"), "license")).alias("best"))
     return best.select(F.col("key").alias(key), "level", "unit", "best.license", (-F.col("best.less")).alias("dice"))
