@@ -25,8 +25,7 @@ def _uuid(of: str) -> str:
 def _warc() -> str:
     tags = "html"
     tags = f"regexp_replace({tags}, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
-    for name in warc.SILENT:
-        tags = f"regexp_replace({tags}, '(?is)<{name}\\b[^>]*>.*?(?:</{name}\\s*>|\\z)', ' ', 'g')"
+    tags = f"regexp_replace({tags}, '{warc.SILENT_ELEMENT}', ' ', 'g')"
     tags = f"regexp_replace({tags}, '[\\r\\n\\t\\f\\x0B ]+', ' ', 'g')"
     tags = f"regexp_replace({tags}, '(?i)</?(?:{warc.BREAKING})\\b[^>]*>', chr(10), 'g')"
     tags = f"regexp_replace({tags}, '<[/!?a-zA-Z][^>]*>', '', 'g')"

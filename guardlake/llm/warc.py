@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.functions.expr import let
+
 EOL, END = "\r\n", "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 # Elements without text of their own, and elements that begin a new line.
 SILENT = ["script", "style", "noscript", "template"]
+SILENT_ELEMENT = "(?is)" + "|".join(rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)" for name in SILENT)
 BREAKING = (
     "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside|title|blockquote|pre|hr|"
     "form|figure|figcaption"
@@ -46,19 +49,25 @@ def sealed(df: DataFrame, **columns: Column) -> DataFrame:
 
 def digest(data: Column) -> Column:
     """``sha1:`` and the digest in base 32, as crawlers write it."""
-    raw = F.sha1(data)
-    places = []
-    for five in range(8):
-        bits = F.conv(F.substring(raw, 5 * five + 1, 5), 16, 10).cast("int")
-        places += [F.substring(F.lit(BASE32), F.shiftright(bits, 5 * n).bitwiseAND(31) + 1, F.lit(1)) for n in (3, 2, 1, 0)]
-    return F.concat(F.lit("sha1:"), *places)
+
+    def written(raw: Column) -> Column:
+        places = []
+        for five in range(8):
+            bits = F.conv(F.substring(raw, 5 * five + 1, 5), 16, 10).cast("int")
+            places += [F.substring(F.lit(BASE32), F.shiftright(bits, 5 * n).bitwiseAND(31) + 1, F.lit(1)) for n in (3, 2, 1, 0)]
+        return F.concat(F.lit("sha1:"), *places)
+
+    return let(F.sha1(data), written)
 
 
 def uuid_of(name: Column) -> Column:
     """A record id made of a name, the same in every run."""
-    h = F.sha1(name.cast("binary"))
-    parts = [F.substring(h, start, n) for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+
+    def written(h: Column) -> Column:
+        parts = [F.substring(h, start, n) for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+        return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+
+    return let(F.sha1(name.cast("binary")), written)
 
 
 def lines(*pairs: tuple[str, Column]) -> Column:
@@ -88,13 +97,19 @@ def responses(pages: DataFrame, url: str = "url", html: str = "html", date: str
         F.lit(END),
     )
     df = sealed(df, block=F.concat(http.cast("binary"), F.col("payload")))
+    df = sealed(
+        df,
+        id=uuid_of(F.concat("target", F.lit("#"), F.sha1("payload"))),
+        payload_digest=digest(F.col("payload")),
+        block_digest=digest(F.col("block")),
+    )
     header = lines(
         ("WARC-Type", F.lit("response")),
-        ("WARC-Record-ID", uuid_of(F.concat("target", F.lit("#"), F.sha1("payload")))),
+        ("WARC-Record-ID", F.col("id")),
         ("WARC-Date", F.lit(date)),
         ("WARC-Target-URI", F.col("target")),
-        ("WARC-Payload-Digest", digest(F.col("payload"))),
-        ("WARC-Block-Digest", digest(F.col("block"))),
+        ("WARC-Payload-Digest", F.col("payload_digest")),
+        ("WARC-Block-Digest", F.col("block_digest")),
         ("Content-Type", F.lit("application/http; msgtype=response")),
     )
     kept = [F.col(f"page.`{c}`").alias(c) for c in pages.columns if c.lower() != "record"]
@@ -103,10 +118,10 @@ def responses(pages: DataFrame, url: str = "url", html: str = "html", date: str
 
 def _numbered(text: Column) -> Column:
     """Decimal and hexadecimal character references replaced; numbers that are no character become U+FFFD, U+FEFF goes."""
-    first, rest = F.split(text, "&#")[0], F.slice(F.split(text, "&#"), 2, F.size(F.split(text, "&#")))
-
     def put(piece: Column) -> Column:
-        shown = F.regexp_extract(piece, "^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
+        return let(F.regexp_extract(piece, "^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", 1), lambda shown: replaced(piece, shown))
+
+    def replaced(piece: Column, shown: Column) -> Column:
         hexed = F.lower(F.substring(shown, 1, 1)) == "x"
         code = F.when(hexed, F.conv(F.substring(shown, 2, 8), 16, 10)).otherwise(shown).cast("int")
         bad = (code < 1) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
@@ -114,25 +129,25 @@ def _numbered(text: Column) -> Column:
         plain = F.concat(F.lit("&#"), piece)
         return F.when(shown == "", plain).otherwise(F.concat(char, F.substring(piece, F.length(shown) + 2, F.length(piece))))
 
-    return F.when(F.contains(text, F.lit("&#")), F.concat(first, F.array_join(F.transform(rest, put), ""))).otherwise(text)
+    def joined(pieces: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(put(x))), "")
+
+    return F.when(F.contains(text, F.lit("&#")), let(F.split(text, "&#"), joined)).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
     """The text of a page: comments, scripts and styles out, block elements on lines of their own, references
     resolved, white space tidied."""
     text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    for name in SILENT:
-        text = F.when(
-            F.rlike(text, F.lit(f"(?i)<{name}\\b")), F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)", " ")
-        ).otherwise(text)
-    text = F.regexp_replace(text, r"[\r\n\t\f\x0B ]+", " ")
+    text = F.regexp_replace(text, SILENT_ELEMENT, " ")
+    # Single spaces, which are most of the white space, need no rewriting.
+    text = F.regexp_replace(text, r"[\r\n\t\f\x0B][\r\n\t\f\x0B ]*| [\r\n\t\f\x0B ]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[/!?a-zA-Z][^>]*>", "")
-    text = _numbered(text)
+    text = let(F.regexp_replace(text, r"<[/!?a-zA-Z][^>]*>", ""), _numbered)
     for name, char in NAMED:
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    text = F.regexp_replace(text, r"[\r\t\f\x0B \x{A0}]+", " ")
-    return F.btrim(F.regexp_replace(text, r" ?\n[\n ]*", "\n"), F.lit(" \n"))
+    text = F.regexp_replace(text, r"[\r\t\f\x0B\x{A0}][\r\t\f\x0B \x{A0}]*| [\r\t\f\x0B \x{A0}]+", " ")
+    return F.btrim(F.regexp_replace(text, r"\n[\n ]+| \n[\n ]*", "\n"), F.lit(" \n"))
 
 
 def derive(records: DataFrame, column: str = "record") -> DataFrame:
@@ -176,8 +191,13 @@ def derive(records: DataFrame, column: str = "record") -> DataFrame:
     ).drop("payload", "block")
     df = sealed(df, text=plain_text(F.col("html")), title=plain_text(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1)))
     hrefs = F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*?\shref=\"([^\"]*)\""), 1)
-    conversion_id, metadata_id = (uuid_of(F.concat("id", F.lit("#" + kind))) for kind in ("conversion", "metadata"))
-    links = F.array_join(F.transform(hrefs, lambda u: F.concat(F.lit("outlink: "), u, F.lit(EOL))), "")
+    df = sealed(
+        df,
+        conversion_id=uuid_of(F.concat("id", F.lit("#conversion"))),
+        metadata_id=uuid_of(F.concat("id", F.lit("#metadata"))),
+        links=F.array_join(F.transform(hrefs, lambda u: F.concat(F.lit("outlink: "), u, F.lit(EOL))), ""),
+    )
+    conversion_id, metadata_id, links = F.col("conversion_id"), F.col("metadata_id"), F.col("links")
     headers = F.regexp_replace(F.regexp_replace("http", r"\r?\n", EOL), "(?m)^([^\r\n]+)(?=\r?$)", "http-header: $1")
     about = F.concat(
         lines(
