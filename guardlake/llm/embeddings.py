@@ -145,7 +145,8 @@ def near_duplicates(
     single = classes.schema["embedding"].dataType.elementType.typeName() == "float"
     kind = classes.schema["label"].dataType.simpleString()
     shape = f"label {kind}, size int, cell array<int>, part int, classes binary, copies binary, data binary"
-    tiles = dealt.groupBy(*place, "part").applyInPandas(bundle, shape)
+    # By part too: the rows of a crowded cell have come together for the count, and part again here.
+    tiles = dealt.repartition(common.wide(vectors), *place, "part").groupBy(*place, "part").applyInPandas(bundle, shape)
     tiles = common.written(tiles.withColumn("tile", F.monotonically_increasing_id()), "tiles")
 
     steps = F.sequence(F.lit(-1), F.lit(1))
