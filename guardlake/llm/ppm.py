@@ -19,7 +19,7 @@ BITS, BYTE, END, START = 9, 1, 257, 258
 ALPHABET = 257
 ORDER = 5
 # Characters of text whose documents are counted and scored together, and bytes worked on at once.
-BLOCK_CHARS, SLICE = 32 << 20, 2 << 20
+BLOCK_CHARS, SLICE = 16 << 20, 1 << 19
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -166,14 +166,14 @@ def _counter(order: int):
                 if own:
                     kinds, n = np.unique(grams(own, order)[0], return_counts=True)
                     parts.append((kinds, np.zeros_like(n) if out else n))
-            if len(parts) >= 32:
+            if len(parts) >= 8:
                 parts = [_merged(parts)]
         kinds, n = _merged(parts)
         total = len(words) + len(kinds)
         return pa.table(
             {
                 "block": pa.array(np.full(total, batch["block"][0].as_py(), "i4")),
-                "word": pa.array([*words, *[None] * len(kinds)], pa.binary()),
+                "word": pa.concat_arrays([pa.array(words.keys(), pa.binary()), pa.nulls(len(kinds), pa.binary())]),
                 "gram": pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(kinds)]),
                 "n": pa.concat_arrays([pa.array(words.values(), pa.int64()), pa.array(n)]),
             }
@@ -233,11 +233,12 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: in
 
     def rate(block: tuple, batch: pa.Table, own: pa.Table) -> pa.Table:
         is_word = own["word"].is_valid()
-        own_words, own_grams = own.filter(is_word), own.filter(own["gram"].is_valid())
+        own_words, own_grams = own.select(["word", "c"]).filter(is_word), own.select(["gram", "cost"]).filter(own["gram"].is_valid())
         c = own_words["c"].to_numpy()
         base = np.log10((c + 0.5) / rest)
         number = dict(zip(own_words["word"].to_pylist(), range(len(c))))
         prices = Prices(own_grams["gram"].to_numpy(), own_grams["cost"].to_numpy())
+        del own, own_words, own_grams
         n, n_known, bases, scores = [], [], [], []
         for _, texts in _slices(batch["packed"].to_pylist()):
             for text in texts:
