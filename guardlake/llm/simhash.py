@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from guardlake.llm import common
+from guardlake.llm import common, shingles
 
 # The 64 bits fall into this many bands; all but RADIUS of them agree between two linked fingerprints.
 BANDS = 4
@@ -228,15 +228,14 @@ def near_duplicates(
     return prints.join(_classified(prints, radius, BANDS), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def deduplicate(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, radius: int = 6, bands: int = 8
-) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Keep one document of each component: the one with the smallest key; columns as given.
 
-    Of several rows with that very key one is kept, the same in every run. Texts without any word are linked with
-    each other as equal. Columns of map type take no part in telling rows of one key apart.
+    Documents are linked if the Jaccard similarity of their sets of shingles is ``least`` or more. Fingerprints do not
+    decide this at any radius (see README), so candidates come from ``shingles.similar``, which misses none. Of several
+    rows with that very key one is kept, the same in every run. Texts without any word are linked with each other as
+    equal. Columns of map type take no part in telling rows of one key apart.
     """
-    common.bounded_batches(docs.sparkSession)
     named = docs.withColumns(
         {
             (k := common.fresh(docs, "_k")): F.coalesce(F.col(key), F.lit(0)),
@@ -246,13 +245,17 @@ def deduplicate(
             ),
         }
     )
-    rows = common.spread(named.select(F.col(key).alias("key"), k, null, row, F.col(text).alias("text")))
-    prints = common.written(rows.select("key", k, null, row, fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
+    rows = named.select(
+        F.col(key).alias("key"), F.col(k).alias("k"), F.col(null).alias("null"), F.col(row).alias("row"), F.col(text).alias("text")
+    )
+    prints, parts = shingles.similar(common.spread(rows), shingle, least)
+    parted = prints.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    smallest = parted.groupBy("part").agg(F.min("key").alias("smallest"))
     kept = (
-        prints.join(_classified(prints, radius, bands), "fp")
-        .where(F.col("key").eqNullSafe(F.col("component_id")))
-        .groupBy(k, null)
-        .agg(F.min(row).alias(row))
+        parted.join(smallest, "part")
+        .where(F.col("key").eqNullSafe(F.col("smallest")))
+        .groupBy(F.col("k").alias(k), F.col("null").alias(null))
+        .agg(F.min("row").alias(row))
     )
     # What is left of a key agrees in all columns, and the join has brought it together.
     return named.join(kept, [k, null, row], "left_semi").dropDuplicates([k, null, row]).select(*docs.columns)
