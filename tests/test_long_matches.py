@@ -1,0 +1,35 @@
+from pyspark.sql import functions as F
+
+from guardlake import RuleSet
+from guardlake.streaming import redaction
+from tests.test_streaming import TOKEN, chunked, collected, openai
+
+
+def streams():
+    words, far = "some words of text " * 1000, redaction.BLOCK - 60
+    key = "-----BEGIN PRIVATE KEY-----\n" + "A1b2 c3\n" * 5000 + "-----END PRIVATE KEY-----"
+    jwt = "eyJ" + "a1" * 6000 + "." + "b2" * 6000 + "." + "c3" * 6000
+    return {
+        "key": (words[:far] + " ", key, " " + words),
+        "header over the edge": (words[: redaction.BLOCK - 13] + " ", key, " rest"),
+        "far before the edge": (words[: redaction.BLOCK - 9000] + " ", "eyJ" + "a1" * 3000 + ".b2." + "c3" * 2000, " " + words),
+        "token": (words[:far] + " ", jwt, " " + words),
+        "bearer": (words[:far] + " ", "Bearer " + "x9" * 4000, " " + words),
+        "two keys": (words[:far] + " ", key, " and "),
+    }
+
+
+def test_matches_longer_than_a_block(spark):
+    given = streams()
+    rows = {s: ("openai", [a + m + b]) for s, (a, m, b) in given.items()}
+    out = collected(redaction.redact_plain(chunked(spark, rows)))
+    assert {s: t for s, (t, _) in out.items()} == {s: a + TOKEN + b for s, (a, _, b) in given.items()}
+    assert all(sum(counts.values()) == 1 for _, counts in out.values())
+
+
+def test_a_second_open_key_block_waits(spark, tmp_path):
+    whole = "-----BEGIN PRIVATE KEY-----\nAAAA\n-----END PRIVATE KEY-----"
+    text = [whole + " and -----BEGIN PRIVATE KEY-----\n", "secret " * 1200, "ordinary"]
+    first = chunked(spark, {"s": ("openai", [openai(t) for t in text])})
+    out, _ = redaction.redact_batch(None, first, F.current_timestamp(), RuleSet(), 64, None, str(tmp_path))
+    assert "secret" not in "".join(r.chunk for r in out.collect())
