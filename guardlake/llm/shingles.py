@@ -126,9 +126,13 @@ def similar(rows: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFr
     kept = [c for c in rows.columns if c != "text"]
     prints = common.written(rows.select(*kept, _prints(size, least, known, counts)("text").alias("p")).select(*kept, "p.*"), "prints")
     seats = prints.groupBy("id").agg(F.min(F.struct("k", "null", "row")).alias("at")).select("id", "at.*")
-    entries = prints.select("id", "n", "rare", F.posexplode("prefix").alias("pos", "h")).dropDuplicates(["h", "id"])
-    firsts = entries.groupBy("h").agg(F.count("*").alias("members"), F.min(F.struct("rare", "id", "n", "pos")).alias("first"))
-    meets = common.written(entries.join(firsts.where("members > 1"), "h").select("h", "id", "n", "pos", "first"), "meets")
+    # Most shingles of a prefix occur once: numbers only are moved to find the others.
+    sets = common.written(prints.groupBy("id").agg(F.min(F.struct("n", "rare", "prefix")).alias("p")).select("id", "p.*"), "sets")
+    shared = sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h")
+    places = sets.select("id", F.posexplode("prefix").alias("pos", "h")).join(shared, "h")
+    entries = common.written(places.join(sets.select("id", "n", "rare"), "id"), "entries")
+    firsts = entries.groupBy("h").agg(F.min(F.struct("rare", "id", "n", "pos")).alias("first"))
+    meets = common.written(entries.join(firsts, "h").select("h", "id", "n", "pos", "first"), "meets")
 
     def fits(x: str, x_pos: str, y: str, y_pos: str):
         # Where a similar pair meets first, what both have from there on is enough.
