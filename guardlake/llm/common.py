@@ -66,6 +66,19 @@ def held_out(doc_id: Column, remainder: int) -> Column:
     return F.coalesce(crc % 5 == remainder, F.lit(False))
 
 
+def whole_vectors(vectors: DataFrame, factor: int, limit: int, vector: str, keep: dict[str, Column]) -> DataFrame:
+    """The columns of ``keep`` and ``ints``: floor(factor * x) of every component x, as a double.
+
+    Rows whose vector is null or holds a null or non-finite component are left out. Numbers beyond ``limit`` on either
+    side count as the limit, so that sums of products stay exact.
+    """
+    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    bounded = F.transform(
+        vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * factor, F.lit(float(limit))), F.lit(-float(limit))))
+    )
+    return vectors.where(F.col(vector).isNotNull() & sound).select(*[c.alias(n) for n, c in keep.items()], bounded.alias("ints"))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components: (a, b) long pairs in, (node, component) out, component being the smallest node.
 

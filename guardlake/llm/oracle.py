@@ -168,4 +168,58 @@ SELECT d.doc_id, length(t)::INT AS n_chars, t AS text
 FROM (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.text, '') END AS t FROM documents d LEFT JOIN joined j USING (doc_id)) d
 """
 
-ORACLE = {"op1_warc": _warc(), "op3_licenses": _licenses(), "op8_linededup": _LINEDEDUP}
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_NEGATIVES = f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_SOUND}
+),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM k a JOIN k b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+def _centroids(rounds: int = 10) -> str:
+    def assigned(n: int) -> str:
+        square = "list_sum([(v.c[i] - t.c[i]) * (v.c[i] - t.c[i]) for i in range(1, 65)])"
+        return f"a{n} AS MATERIALIZED (SELECT vec_id, any_value(v.c) AS c, min({square}::BIGINT * 8 + t.k) AS m FROM v, c{n} t GROUP BY vec_id)"
+
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS c FROM embeddings WHERE len(embedding) = 64 AND {_SOUND})",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, c FROM (SELECT c, sha256('3:' || vec_id) AS h FROM v ORDER BY h LIMIT 8))",
+    ]
+    for n in range(rounds):
+        steps += [
+            assigned(n),
+            f"s{n} AS (SELECT m % 8 AS k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT m, unnest(c) AS x, unnest(range(64)) AS i FROM a{n}) GROUP BY ALL)",
+            f"m{n} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{n} GROUP BY k)",
+            f"c{n + 1} AS MATERIALIZED (SELECT t.k, coalesce(m.c, t.c) AS c FROM c{n} t LEFT JOIN m{n} m USING (k))",
+        ]
+    return (
+        f"WITH {', '.join(steps)}, {assigned(rounds)} "
+        "SELECT vec_id, k::INT AS cluster, m // 8 AS distance, sum(m // 8) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, "
+        "sum(m // 8) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 "
+        f"FROM (SELECT vec_id, m, m % 8 AS k FROM a{rounds}) a JOIN c{rounds} USING (k)"
+    )
+
+
+ORACLE = {
+    "op1_warc": _warc(),
+    "op3_licenses": _licenses(),
+    "op8_linededup": _LINEDEDUP,
+    "op12_negatives": _NEGATIVES,
+    "op13_centroids": _centroids(),
+}

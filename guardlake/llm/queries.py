@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.llm import common, embeddings, licenses, linededup, packing, pieces, ppm, simhash, toxicity, warc, winnowing
+from guardlake.llm import (
+    centroids,
+    common,
+    embeddings,
+    licenses,
+    linededup,
+    negatives,
+    packing,
+    pieces,
+    ppm,
+    quality,
+    simhash,
+    toxicity,
+    warc,
+    winnowing,
+)
 from guardlake.llm.oracle import ORACLE as ORACLE
 
 
@@ -65,6 +80,28 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(common.load(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.spread(common.load(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = common.written(quality.measured(docs).select("doc_id", "statistics"), "statistics")
+    scored = quality.score(rows, quality.train(rows, common.load(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        common.held_out(F.col("doc_id"), 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = common.load(spark, sf_dir, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(centroids.cluster(common.load(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -76,5 +113,8 @@ QUERIES = {
     "op8_linededup": op8_linededup,
     "op9_packing": op9_packing,
     "op10_ppm": op10_ppm,
+    "op11_quality": op11_quality,
+    "op12_negatives": op12_negatives,
+    "op13_centroids": op13_centroids,
 }
 
