@@ -40,14 +40,17 @@ def build_traffic(
         F.when(~is_stream, response), rules.active, "outbound", allow
     )
     work = given.withColumns({"_in": inbound, "_body": buffered})
-    # Values split over events are only visible along the stream, so recorded streams are redacted as such.
-    recorded = given.where(is_stream).select(
-        F.col("id").cast("string").alias("stream_id"), "provider", F.col("_response").alias("chunk")
+    # Values split over events are only visible along the stream, so recorded streams are redacted as such. Equal
+    # bodies of a provider are one body, whatever their ids.
+    name = F.when(is_stream, F.sha2(F.concat_ws("\n", "provider", "_response"), 256))
+    work = work.withColumn("_name", name)
+    recorded = given.withColumn("_name", name).where(is_stream).select(
+        F.col("_name").alias("stream_id"), "provider", F.col("_response").alias("chunk")
     )
-    streamed = redact_bodies(recorded, rules).select(
-        F.col("stream_id").alias("_stream"), F.struct("text", "matched").alias("_sse")
+    streamed = redact_bodies(recorded.dropDuplicates(["stream_id"]), rules).select(
+        F.col("stream_id").alias("_name"), F.struct("text", "matched").alias("_sse")
     )
-    work = work.join(streamed, F.when(is_stream, F.col("id").cast("string")) == F.col("_stream"), "left")
+    work = work.join(streamed, "_name", "left")
     work = work.withColumn("_out", F.when(is_stream, F.col("_sse")).otherwise(F.col("_body")))
     request, response = F.col("_in.text"), F.col("_out.text")
     seen = spans.has_matches(F.col("_in.matched")) | spans.has_matches(F.col("_out.matched"))
