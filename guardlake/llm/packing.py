@@ -72,7 +72,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         self.by_piece = (
             spec["normalizer"] is None
@@ -80,6 +79,9 @@ class Encoder:
             and not spec["model"].get("dropout")
             and BYTE_LEVEL.items() <= (spec["pre_tokenizer"] or {}).items()
         )
+        # An added token is cut out of a text before anything else; such texts go through the library whole.
+        added = [re.escape(token["content"]) for token in spec["added_tokens"]]
+        self.added = re.compile("|".join(added) or r"(?!)").search
         self.pieces = re.compile(_pre_tokens()).findall
         self.safe = re.compile(f"[{re.escape(SAFE)}]*").fullmatch
         self.letters = _byte_letters()
@@ -93,7 +95,7 @@ class Encoder:
         return np.array([t.id for t in self.tokenizer.model.tokenize(written)], dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.by_piece and self.safe(text):
+        if self.by_piece and self.safe(text) and not self.added(text):
             return b"".join(map(self.of_piece.__getitem__, self.pieces(text)))
         return self._whole(text)
 

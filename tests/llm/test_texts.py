@@ -90,27 +90,45 @@ def test_toxicity_learns_held_out_labels(spark, sf):
     assert auc > 0.8 and np.mean([n >= 0.5 for n in negative]) < 0.05
 
 
-def test_machine_learns_a_pair_that_no_weight_holds():
+def test_machine_learns_a_pair_that_no_weight_holds(spark):
+    """Either of two words is toxic, both or none are not: no sum of weights tells that."""
     rng = random.Random(4)
     rows, labels = [], []
-    for _ in range(1500):
+    for i in range(1500):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        rows.append(np.array(sorted([*[1] * a, *[2] * b, rng.randint(10, 20)]), "int64"))
-        labels.append(float(a != b))
-    model = toxicity.fit(rows, np.array(labels), epochs=60, l1=0.0, decay=0.0)
-    at = {h: i for i, h in enumerate(model.hashes.tolist())}
-
-    def value(terms):
-        v = model.v[[at[t] for t in terms]]
-        return model.bias + model.w[[at[t] for t in terms]].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
-
-    assert value([1]) > 0 > value([1, 2]) and value([2]) > 0 > value([])
+        words = prose(5000 + i, 8).split() + ["insult"] * a + ["people"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(a != b)))
+    docs = frame(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = toxicity.score(docs, model).select("doc_id", "score").collect()
+    held = [(r.score >= 0.5) == labels[r.doc_id][1] for r in out if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 200 and np.mean(held) > 0.95
+
+
+def test_toxicity_scores_by_definition(spark, sf):
+    docs = common.load(spark, sf, "documents").unionByName(frame(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    model = toxicity.train(docs, common.load(spark, sf, "labels"))
+
+    def plain(text):
+        names = {w for w in re.findall(r"\w+", (text or "").lower())}
+        names |= {w[:n] + "*" for w in names for n in range(3, 10) if n < len(w)}
+        at = sorted({zlib.crc32(x.encode()) % (1 << 20) for x in names})
+        total = model.bias + sum(float(model.w[i]) for i in at)
+        some = [i for i in at if model.v[i].any()]
+        v = model.v[some].astype("f8")
+        total += sum(float(v[i] @ v[i + 1 :].sum(axis=0)) for i in range(len(some)))
+        return 1 / (1 + math.exp(-min(max(total, -40), 40)))
+
+    rows = toxicity.score(docs, model).select("text", "score").collect()
+    assert np.allclose([r.score for r in rows], [plain(r.text) for r in rows], atol=1e-9)
 
 
 def test_toxicity_awkward_rows(spark):
     docs = frame(spark)
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(1, 19)] + [(None, 1, "x"), (3, None, "x")], "doc_id long, toxic int, text string")
-    model = toxicity.train(docs, labels, least_docs=1, least_z=0.0)
+    model = toxicity.train(docs, labels)
     out = toxicity.score(docs, model, column="n_chars")
     assert out.columns == docs.columns and out.count() == docs.count()
     scores = {r.doc_id: r.n_chars for r in out.collect()}
@@ -197,7 +215,6 @@ def test_packed_documents(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     odd = ["<|endoftext|> it's  we'll ", "a\x1cb \x85c", "  x", "x \n y", "日本　a"]
     docs = frame(spark, [*texts(), *((200 + i, t) for i, t in enumerate(odd))])
     found = packing.tokenized(docs, BPE, 2, 64, with_ids=True)
