@@ -201,7 +201,7 @@ def test_a_rule_of_unknown_reach_sees_whole_texts(spark, monkeypatch):
 
 
 def test_json_stays_as_it_was(spark):
-    odd = 'data: {"choices": [ {"delta": {"content": "no match"}} ],  "x": 1.50}\n\n'
+    odd = 'data: {"choices": [ {"delta": {"content": "no match "}} ],  "x": 1.50}\n\n'
     out = collected(redaction.redact_chunks(chunked(spark, {"s": ("openai", [odd, openai("a@b.org")])})))["s"][0]
     assert out.startswith(odd) and json.loads(out.split("\n\n")[1][6:])["choices"][0]["delta"]["content"] == TOKEN
     assert readers.CHUNK_SCHEMA
