@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -180,6 +181,55 @@ def test_reframed_streams(spark):
     assert "[DONE]" not in out["running"] and len(rows) == sum(len(x[1]) for x in streams.values())
 
 
+def _pending(spark, source, out, checkpoint, rows, **options):
+    schema = "conv_id string, seq long, turn_ended boolean, category string, message string, line int"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    streaming.bounded_run(streaming.pending_findings_stream(stream, **options), out, checkpoint)
+    found = spark.read.schema(streaming.PENDING).parquet(out).collect()
+    return sorted((r.conv_id, r.n, tuple(r.message.split("\n- ")[1:])) for r in found)
+
+
+def test_findings_wait_for_their_turn(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = [("a", 1, False, "xss", "m1", 3), ("a", 2, False, "xss", "m1", 3), ("a", 3, False, "eval", "m2", None)]
+    rows += [("b", 1, False, "sql", "m", 0), ("c", 5, True, None, None, None)]
+    assert _pending(spark, source, out, checkpoint, rows) == []
+    # Rows of a batch come in any order; a finding of an ended turn may come again in the next.
+    more = [("a", 9, False, "xss", "m1", 3), ("a", 7, True, None, None, None), ("a", 4, False, "xss", "m1", 3), ("a", 5, False, "md5", "m3", 1)]
+    first = ("a", 3, ("[xss] line 3: m1", "[eval] m2", "[md5] line 1: m3"))
+    assert _pending(spark, source, out, checkpoint, more) == [first]
+    last = [("a", 12, True, None, None, None), ("a", 14, True, None, None, None), ("b", 4, True, None, None, None)]
+    assert _pending(spark, source, out, checkpoint, last) == sorted([first, ("a", 1, ("[xss] line 3: m1",)), ("b", 1, ("[sql] m",))])
+
+
+def test_silent_conversations_lose_no_findings(spark, tmp_path):
+    """Timers need a stream that runs on; this one is stopped when what must come out is there."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "conv_id string, seq long, turn_ended boolean, category string, message string, line int"
+    rows = [("a", i, False, "xss", f"m{i % 50:02}", 1) for i in range(1, 500)] + [("b", 1, False, "sql", "m", 0)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    pending = streaming.pending_findings_stream(stream, keep_hours=2 / 3600)
+    query = (
+        pending.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(processingTime="1 second").start()
+    )
+    found = []
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if query.exception() is not None:
+                break
+            if (tmp_path / "out" / "_spark_metadata").exists():
+                found = sorted((r.conv_id, r.n) for r in spark.read.schema(streaming.PENDING).parquet(out).collect())
+            if len(found) == 2:
+                break
+    finally:
+        query.stop()
+    assert found == [("a", 50), ("b", 1)]
+
+
 def test_rule_and_transcript_files(spark, tmp_path):
     (tmp_path / "rules.json").write_text('[{"name": "T", "pattern": "t\\\\d+"}]')
     (tmp_path / "allow.json").write_text('[{"pattern": "^t1$"}, {"pattern": "("}]')
