@@ -260,6 +260,10 @@ def _islands(intervals: DataFrame, keys: list[str], low: str, high: str) -> Data
     return counted.select(*keys, "start", (F.col("earlier") + begins).alias("island"))
 
 
+# Characters of a run by which prompts are looked up in turns.
+GRAM = 8
+
+
 def attach_responses(flags: DataFrame, turns: DataFrame, ring: int = traffic_values.SECURITY_VIEW_ROWS):
     """Give each turn's reply to the newest open flag of its surface that the turn contains.
 
@@ -267,42 +271,50 @@ def attach_responses(flags: DataFrame, turns: DataFrame, ring: int = traffic_val
     log_id, surface, turn_id, after_seq, prompt, response, where ``after_seq`` is the number of log rows
     when the turn came in. Only the last ``ring`` rows are open to a turn, as the log holds no more.
 
-    The text comparison runs per block of ``ring`` rows. What is left is one small row per turn that fits
-    any flag; these are cut into stretches that share no flag, and each stretch is settled in order.
+    Texts meet by an inverted index: every prompt stands under the one of its runs of ``GRAM`` characters that the
+    fewest turns hold (a shorter prompt is its own run), and a turn is compared with the prompts that stand under its
+    runs. Equal prompts are one. Only then do the flags of a prompt meet its turns, by blocks of ``ring`` rows. What is
+    left is one small row per turn that fits any flag; these are cut into stretches that share no flag, and each stretch
+    is settled in order.
     """
     keys = ["log_id", "surface"]
-    open_flags = (
-        flags.withColumn("_needle", js_trim(F.coalesce("raw_prompt", F.lit(""))))
+    named = (
+        flags.select(*keys, "seq", js_trim(F.coalesce("raw_prompt", F.lit(""))).alias("_needle"))
         .where(F.col("_needle") != "")
-        .withColumn("_block", F.floor(F.col("seq") / ring))
-        .groupBy(*keys, "_block")
-        .agg(F.collect_list(F.struct("seq", F.col("_needle").alias("needle"))).alias("_flags"))
-    )
-    asked = (
-        turns.withColumn("_hay", js_trim(F.coalesce("prompt", F.lit(""))))
-        .where((F.col("_hay") != "") & (F.col("after_seq") > 0))
-        .withColumn("_block", F.floor((F.col("after_seq") - 1) / ring))
+        .withColumn("_prompt", F.sha2("_needle", 256))
     )
-    before = open_flags.select(
-        *keys, (F.col("_block") + 1).alias("_block"), F.col("_flags").alias("_older")
+    asked = turns.select(*keys, "turn_id", "after_seq", js_trim(F.coalesce("prompt", F.lit(""))).alias("_hay")).where(
+        (F.col("_hay") != "") & (F.col("after_seq") > 0)
     )
-    none = F.array().cast("array<struct<seq:bigint,needle:string>>")
-    both = asked.join(open_flags, [*keys, "_block"], "left").join(before, [*keys, "_block"], "left")
-    near = F.concat(
-        F.coalesce(F.col("_flags").cast("array<struct<seq:bigint,needle:string>>"), none),
-        F.coalesce(F.col("_older").cast("array<struct<seq:bigint,needle:string>>"), none),
-    )
-    fits = F.filter(
-        near,
-        lambda f: (f["seq"] < F.col("after_seq"))
-        & (f["seq"] >= F.col("after_seq") - ring)
-        & F.contains(F.col("_hay"), f["needle"]),
+    needles = named.select(*keys, "_prompt", "_needle").dropDuplicates([*keys, "_prompt"])
+    # At most GRAM numbers.
+    sizes = sorted(r[0] for r in needles.select(F.least(F.length("_needle"), F.lit(GRAM))).distinct().collect())
+
+    def runs_of(text: Column, size: int) -> Column:
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+    own = F.when(F.length("_needle") < GRAM, F.array("_needle")).otherwise(runs_of(F.col("_needle"), GRAM))
+    needle_runs = needles.select(*keys, "_prompt", F.explode(own).alias("_run"))
+    hay_runs = asked.select(
+        *keys, "turn_id", F.explode(F.concat(F.array().cast("array<string>"), *[runs_of(F.col("_hay"), n) for n in sizes])).alias("_run")
     )
-    candidates = (
-        both.withColumn("_fits", F.sort_array(F.transform(fits, lambda f: f["seq"]), asc=False))
-        .where(F.size("_fits") > 0)
-        .select(*keys, "turn_id", "after_seq", "_fits")
+    hay_runs = hay_runs.join(needle_runs.select(*keys, "_run").distinct(), [*keys, "_run"], "left_semi")
+    held = hay_runs.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_n"))
+    # A prompt with a run that no turn holds is in no turn.
+    counted = needle_runs.join(held, [*keys, "_run"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rare = counted.groupBy(*keys, "_prompt").agg(F.min(F.struct("_n", "_run")).alias("_r")).where("_r._n > 0")
+    pairs = rare.select(*keys, "_prompt", "_r._run").join(hay_runs, [*keys, "_run"]).select(*keys, "_prompt", "turn_id")
+    fitting = (
+        pairs.join(asked, [*keys, "turn_id"])
+        .join(needles, [*keys, "_prompt"])
+        .where(F.contains("_hay", "_needle"))
+        .select(*keys, "turn_id", "after_seq", "_prompt")
     )
+    block = F.floor((F.col("after_seq") - 1) / ring)
+    open_flags = named.select(*keys, "_prompt", "seq", F.floor(F.col("seq") / ring).alias("_block"))
+    fits = fitting.withColumn("_block", F.explode(F.array(block, block - 1))).join(open_flags, [*keys, "_prompt", "_block"])
+    fits = fits.where((F.col("seq") < F.col("after_seq")) & (F.col("seq") >= F.col("after_seq") - ring))
+    candidates = fits.groupBy(*keys, "turn_id", "after_seq").agg(F.sort_array(F.collect_list("seq"), asc=False).alias("_fits"))
     stretches = candidates.withColumns(
         {"_lo": F.element_at("_fits", -1), "_hi": F.get("_fits", F.lit(0))}
     )
