@@ -61,6 +61,8 @@ def windows(docs: DataFrame, least_words: int, text: str, key: str) -> DataFrame
         F.xxhash64("members").alias("digest"),
         F.hash("members").alias("check"),
         F.coalesce(F.lead("end").over(following), F.col("end")).alias("next_end"),
+        F.size("members").alias("size"),
+        F.coalesce(F.lead("total").over(following) >= least_words, F.lit(False)).alias("next_full"),
         F.concat(F.array("h"), F.coalesce(F.lead("members").over(following), F.array().cast("array<bigint>"))).alias("ahead"),
         "behind",
     )
@@ -78,18 +80,30 @@ def repeated_runs(docs: DataFrame, least_words: int = 50, text: str = "text", ke
     not blank.
 
     Windows with equal fingerprint and content are joined to the first of them, in the order of documents and lines.
+    So are windows grown line by line up to where the next line's window ends, as a grown one may have come earlier at
+    another place than the window itself; one that has grown further holds the next window, which speaks for itself.
     Windows of a document with one anchor and one partner are one match. A match is extended from its anchor backwards
-    and forwards while lines agree, forwards at most to the end of the window after its last one: were more lines
-    equal, that window would be a match itself. So a repeated run of ``least_words`` words or more is found whole,
-    whatever surrounds it, and a passage in very many documents costs one row each: it is paired with its first
-    place only.
+    and forwards while lines agree, forwards at most to the end of the window after its last one. So every run of
+    ``least_words`` words or more that occurs earlier anywhere is found whole, whatever surrounds it, and a passage in
+    very many documents costs few rows each: every form of it is paired with its first place only.
     """
     found = common.written(windows(docs, least_words, text, key), "windows")
     content = ["print", "digest", "check"]
-    full = found.where("full").select("doc", "idx", "anchor", "next_end", *content)
-    first = full.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("doc", "idx")).alias("first")).where("n > 1")
+
+    def firsts(forms: DataFrame) -> DataFrame:
+        first = forms.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("doc", "idx")).alias("first"))
+        return forms.join(first.where("n > 1").drop("n"), content)
+
+    plain = firsts(found.where("full").select("doc", "idx", "anchor", "next_end", *content))
+    grows = found.where("full").withColumn("most", F.size("ahead") - F.col("next_full").cast("int")).where("most > size")
+    # Only repeated windows have repeated forms.
+    some = plain.select("doc", "idx").join(grows.select("doc", "idx", "anchor", "next_end", "print", "size", "most", "ahead"), ["doc", "idx"])
+    some = some.withColumn("members", F.explode(F.transform(F.sequence(F.col("size") + 1, "most"), lambda k: F.slice("ahead", 1, k))))
+    grown = firsts(
+        some.select("doc", "idx", "anchor", "next_end", "print", F.xxhash64("members").alias("digest"), F.hash("members").alias("check"))
+    )
     matches = (
-        full.join(first.drop("n"), content)
+        plain.unionByName(grown)
         .where(F.struct("doc", "idx") != F.col("first"))
         .groupBy(
             "doc",

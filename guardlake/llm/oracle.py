@@ -142,20 +142,14 @@ w AS (
   FROM p WINDOW win AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
 ),
 x AS (SELECT *, coalesce(lead(stop) OVER (PARTITION BY doc_id ORDER BY idx), stop) AS next_stop FROM w),
-f AS (
-  SELECT *, first_value(doc_id) OVER g AS of_doc, first_value(idx) OVER g AS of_idx
-  FROM x WHERE total >= 50 WINDOW g AS (PARTITION BY body ORDER BY doc_id, idx)
-),
-m AS (SELECT * FROM f WHERE doc_id <> of_doc OR idx <> of_idx),
-steps AS (
-  SELECT m.doc_id, m.idx, k, a.line = b.line AS same
-  FROM (SELECT m.*, unnest(range(stop + 1, next_stop + 1)) AS k FROM m) m
-  JOIN p a ON a.doc_id = m.doc_id AND a.idx = k
-  LEFT JOIN p b ON b.doc_id = m.of_doc AND b.idx = m.of_idx + k - m.idx
-),
-halts AS (SELECT doc_id, idx, min(k) AS halt FROM steps WHERE same IS DISTINCT FROM true GROUP BY ALL),
-reached AS (SELECT m.doc_id, m.idx, coalesce(halt - 1, next_stop) AS reach FROM m LEFT JOIN halts USING (doc_id, idx)),
-gone AS (SELECT DISTINCT doc_id, unnest(range(idx, reach + 1)) AS idx FROM reached),
+g AS (
+  SELECT x.doc_id, x.idx, k, string_agg(p.line, chr(10) ORDER BY p.idx) AS body
+  FROM (SELECT doc_id, idx, unnest(range(stop, next_stop + 1)) AS k FROM x WHERE total >= 50) x
+  JOIN p ON p.doc_id = x.doc_id AND p.idx BETWEEN x.idx AND k
+  GROUP BY ALL
+),
+m AS (SELECT doc_id, idx, k FROM g QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, idx) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(idx, k + 1)) AS idx FROM m),
 kept AS (
   SELECT n.doc_id, n.pos, n.raw
   FROM numbered n

@@ -92,29 +92,19 @@ def plain_lines(docs, least=50):
     """Line deduplication by definition, on (id, text) in order."""
     blank = " \t\x0b\f\r"
     kept = {k: [(i, x.strip(blank)) for i, x in enumerate((t or "").split("\n")) if x.strip(blank)] for k, t in docs}
-    first, found = {}, []
+    lines, places, gone = {k: [x for _, x in kept[k]] for k, _ in docs}, {}, {}
     for k, _ in docs:
-        own = [x for _, x in kept[k]]
-        sizes = [len(x.replace("\t", " ").replace("\x0b", " ").replace("\f", " ").replace("\r", " ").split(" ")) for x in own]
-        ends = []
-        for p in range(len(own)):
-            total, e = 0, p
-            while e < len(own) and total < least:
-                total, e = total + sizes[e], e + 1
-            ends.append((e - 1, total >= least))
-        for p, (e, full) in enumerate(ends):
-            if full:
-                content = tuple(own[p : e + 1])
-                first.setdefault(content, (k, p))
-                found.append((k, p, e, ends[p + 1][0] if p + 1 < len(own) else e, content))
-    gone = {}
-    for k, p, e, last, content in found:
-        of, at = first[content]
-        if (of, at) != (k, p):
-            x, y = [v for _, v in kept[k]], [v for _, v in kept[of]]
-            while e + 1 <= last and at + e + 1 - p < len(y) and x[e + 1] == y[at + e + 1 - p]:
-                e += 1
-            gone.setdefault(k, set()).update(range(p, e + 1))
+        own = lines[k]
+        sizes = [len(x.replace("\t", " ").replace("\x0b", " ").replace("\f", " ").replace("\r", " ").split()) for x in own]
+        for p, line in enumerate(own):
+            # The longest run from here that any earlier place holds.
+            for of, at in places.setdefault(line, []):
+                n, other = 0, lines[of]
+                while p + n < len(own) and at + n < len(other) and own[p + n] == other[at + n]:
+                    n += 1
+                if sum(sizes[p : p + n]) >= least:
+                    gone.setdefault(k, set()).update(range(p, p + n))
+            places[line].append((k, p))
     out = {}
     for k, t in docs:
         drop, number = set(), [i for i, _ in kept[k]]
@@ -134,6 +124,17 @@ def test_line_dedup_by_definition(spark):
     out = {r.doc_id: r.text for r in linededup.deduplicate(frame(spark, docs)).collect()}
     assert out == plain_lines(docs)
     assert out[60] == "w1 w2 w3"
+    # Long lines between short ones: tails of runs differ from place to place.
+    lines = [prose(100 + i, rng.choice([2, 5, 45, 60]), 60) for i in range(8)]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 14)))) for i in range(80)]
+    assert {r.doc_id: r.text for r in linededup.deduplicate(frame(spark, docs)).collect()} == plain_lines(docs)
+
+
+def test_line_dedup_finds_the_longest_run_of_any_earlier_place(spark):
+    a, t, u, v = prose(70, 60, 60), prose(71, 10, 10), prose(72, 10, 10), prose(73, 8, 8)
+    docs = [(1, f"{a}\n{u}"), (2, f"{a}\n{t}"), (3, f"{a}\n{t}"), (4, f"{a}\n{t}\n{v}\n{u}"), (5, f"{u}\n{a}\n{t}\n{v}"), (6, f"{a}\n{t}\n{v}\n{u}\n{v}")]
+    out = {r.doc_id: r.text for r in linededup.deduplicate(frame(spark, docs)).collect()}
+    assert out == plain_lines(docs) and out[3] == "" and out[2] == t and out[6] == v
 
 
 def test_line_dedup_awkward_rows(spark):
