@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from guardlake.fixed import traffic as fixed
 from guardlake.functions import routing
-from guardlake.operators.sequence import runs
+from guardlake.session import materialized
 
 
 def range_millis(name: str) -> int:
@@ -261,6 +261,10 @@ def config_version(history: DataFrame) -> DataFrame:
 # --- admission and security log ---------------------------------------------------------------------
 
 
+# Windows of a block that is decided at once.
+BLOCK_WINDOWS = 64
+
+
 def allowed_attempts(
     attempts: DataFrame,
     most: int = fixed.ATTEMPTS_PER_WINDOW,
@@ -268,41 +272,73 @@ def allowed_attempts(
 ) -> DataFrame:
     """Add ``admitted``: at most ``most`` admitted attempts per key and window; refused ones are free.
 
-    Expects attempt_id, key and ts. Admission depends on earlier admissions, so it is decided in order.
-    A window without any attempt clears all memory; a key is therefore cut wherever one aligned window
-    is empty, and the pieces run in parallel, streaming through sorted partitions.
+    Expects attempt_id, key and ts. Admission depends on earlier admissions, so it is decided in order, but only the
+    admissions of one window matter. Time is cut into blocks of ``BLOCK_WINDOWS`` windows. Each block is decided by
+    itself, from the last admissions that the block before hands over: none at first, and again wherever that changes,
+    until nothing does. So a key that holds all rows is dealt over all tasks. Usually admissions fall into step after
+    a few attempts and two or three rounds do; at worst there are as many rounds as blocks that follow each other, each
+    deciding the changed blocks only.
     """
-    work = attempts.select(
-        "attempt_id", "key", "ts", F.unix_millis("ts").alias("at")
-    ).withColumn("step", F.floor(F.col("at") / window_millis))
-    pieces = runs(work.select("key", "step").distinct(), ["key"], "step", "piece")
+    work = attempts.select("attempt_id", "key", "ts", F.unix_millis("ts").alias("at")).withColumn(
+        "block", F.floor(F.col("at") / (window_millis * BLOCK_WINDOWS))
+    ).where(F.col("key").isNotNull() & F.col("block").isNotNull())
     kinds = {f.name: f.dataType.simpleString() for f in work.schema.fields}
-
-    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, admitted = None, []
-        for batch in batches:
-            verdicts = []
-            for key, piece, at in zip(batch["key"], batch["piece"], batch["at"]):
-                if (key, piece) != current:
-                    current, admitted = (key, piece), []
-                admitted = [t for t in admitted if at - t < window_millis]
-                free = len(admitted) < most
-                if free:
-                    admitted.append(at)
-                verdicts.append(free)
-            out = batch[["attempt_id", "key", "ts"]].copy()
-            out["admitted"] = verdicts
-            yield out
-
-    return (
-        work.join(pieces, ["key", "step"])
-        .repartition("key", "piece")
-        .sortWithinPartitions("key", "piece", "at", "attempt_id")
-        .mapInPandas(
-            admit,
-            f"attempt_id {kinds['attempt_id']}, key {kinds['key']}, ts timestamp, admitted boolean",
+    place = ["key", "block"]
+    none = F.array().cast("array<bigint>")
+
+    def decided(rows: DataFrame, given: DataFrame | None, whole: bool) -> DataFrame:
+        """Every attempt with ``admitted``, or only what each block hands over: key, block, last."""
+
+        def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            current, admitted = None, []
+            for batch in batches:
+                verdicts, handed = [], []
+                for key, block, at, earlier in zip(batch["key"], batch["block"], batch["at"], batch["earlier"]):
+                    if current is None or (key, block) != current:
+                        if current is not None:
+                            handed.append((*current, admitted))
+                        current, admitted = (key, block), list(earlier)
+                    admitted = [t for t in admitted if at - t < window_millis]
+                    verdicts.append(len(admitted) < most)
+                    if verdicts[-1]:
+                        admitted.append(at)
+                if whole:
+                    out = batch[["attempt_id", "key", "ts"]].copy()
+                    out["admitted"] = verdicts
+                    yield out
+                elif handed:
+                    yield pd.DataFrame(handed, columns=["key", "block", "last"])
+            if not whole and current is not None:
+                yield pd.DataFrame([(*current, admitted)], columns=["key", "block", "last"])
+
+        both = rows.withColumn("earlier", none) if given is None else rows.join(given, place, "left").withColumn("earlier", F.coalesce("earlier", none))
+        shape = f"key {kinds['key']}, block bigint, last array<bigint>"
+        if whole:
+            shape = f"attempt_id {kinds['attempt_id']}, key {kinds['key']}, ts timestamp, admitted boolean"
+        return both.repartition(*place).sortWithinPartitions(*place, "at", "attempt_id").mapInPandas(admit, shape)
+
+    light = materialized(work.select("attempt_id", "key", "block", "at"), "attempts")
+    handed = materialized(decided(light, None, False), "handed")
+    there, given = handed.select(F.col("key").alias("_key"), F.col("block").alias("_block")), None
+    while True:
+        # What is older than a window when the next block begins does not count there.
+        start = (F.col("block") + 1) * (window_millis * BLOCK_WINDOWS)
+        last = F.filter("last", lambda t: start - t < window_millis)
+        new = handed.withColumn("earlier", last).where(F.size("earlier") > 0)
+        new = new.select("key", (F.col("block") + 1).alias("_next"), "earlier").join(
+            there, (F.col("key") == F.col("_key")) & (F.col("_next") == F.col("_block")), "left_semi"
         )
-    )
+        new = materialized(new.withColumnRenamed("_next", "block"), "given")
+        known = new.limit(0) if given is None else given
+        old = known.withColumnRenamed("earlier", "_old")
+        changed = new.join(old, place, "full").where(~F.coalesce("earlier", none).eqNullSafe(F.coalesce("_old", none))).select(place)
+        changed = materialized(changed, "changed")
+        given = new
+        if changed.isEmpty():
+            break
+        again = decided(light.join(changed, place, "left_semi"), given, False)
+        handed = materialized(handed.join(changed, place, "left_anti").unionByName(again), "handed")
+    return decided(work, given, True)
 
 
 def security_rows(

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from guardlake.functions import messages, routing, transcripts
@@ -226,11 +228,14 @@ def test_attach_responses_against_brute_force(spark):
         assert all(r.response == f"r{r.turn_id}" for r in out if r.turn_id is not None)
 
 
-def test_attempts_against_brute_force(spark):
+@pytest.mark.parametrize("steps,windows", [([0, 1, 500, 5_000, 30_000, 70_000, 200_000], 64), ([0, 1, 500, 5_000, 9_000, 11_000], 1)])
+def test_attempts_against_brute_force(spark, monkeypatch, steps, windows):
+    """With short steps the hot key never pauses for a window, over hundreds of blocks."""
+    monkeypatch.setattr(analytics, "BLOCK_WINDOWS", windows)
     rnd = random.Random(9)
     rows, at = [], 0
     for i in range(3000):
-        at += rnd.choice([0, 1, 500, 5_000, 30_000, 70_000, 200_000])
+        at += rnd.choice(steps)
         rows.append((i, "hot" if rnd.random() < 0.7 else f"k{i % 5}", at))
     admitted, want = {}, {}
     for i, key, t in rows:
