@@ -22,18 +22,8 @@ def _uuid(of: str) -> str:
     return f"'<urn:uuid:' || {parts} || '>'"
 
 
-def _warc() -> str:
-    tags = "html"
-    tags = f"regexp_replace({tags}, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
-    tags = f"regexp_replace({tags}, '{warc.SILENT_ELEMENT}', ' ', 'g')"
-    tags = f"regexp_replace({tags}, '[\\r\\n\\t\\f\\x0B ]+', ' ', 'g')"
-    tags = f"regexp_replace({tags}, '(?i)</?(?:{warc.BREAKING})\\b[^>]*>', chr(10), 'g')"
-    tags = f"regexp_replace({tags}, '<[/!?a-zA-Z][^>]*>', '', 'g')"
-    named = "t"
-    for name, char in warc.NAMED:
-        named = f"replace({named}, '&{name};', {_quoted(char)})"
-    named = f"regexp_replace({named}, '[\\r\\t\\f\\x0B \\x{{A0}}]+', ' ', 'g')"
-    named = f"trim(regexp_replace({named}, ' ?\\n[\\n ]*', chr(10), 'g'), ' ' || chr(10))"
+def _numbered(of: str) -> str:
+    """Character references by number resolved."""
     ref = "'^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});'"
     code = (
         f"(CASE WHEN lower(x[1]) = 'x' THEN ('0x' || regexp_extract(x, {ref}, 1)[2:])::INT ELSE regexp_extract(x, {ref}, 1)::INT END)"
@@ -43,6 +33,31 @@ def _warc() -> str:
         f"BETWEEN 55296 AND 57343 THEN chr(65533) WHEN {code} = 65279 THEN '' ELSE chr({code}) END) || "
         f"substr(x, length(regexp_extract(x, {ref}, 1)) + 2) END"
     )
+    return (
+        f"CASE WHEN contains({of}, '&#') THEN string_split({of}, '&#')[1] || array_to_string("
+        f"[{number} for x in string_split({of}, '&#')[2:]], '') ELSE {of} END"
+    )
+
+
+def _named(of: str) -> str:
+    """Character references by name resolved."""
+    for name, char in warc.NAMED:
+        of = f"replace({of}, '&{name};', {_quoted(char)})"
+    return of
+
+
+def _warc() -> str:
+    tags = "html"
+    tags = f"regexp_replace({tags}, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
+    tags = f"regexp_replace({tags}, '{warc.SILENT_ELEMENT}', ' ', 'g')"
+    tags = f"regexp_replace({tags}, '[\\r\\n\\t\\f\\x0B ]+', ' ', 'g')"
+    tags = f"regexp_replace({tags}, '(?i)</?(?:{warc.BREAKING})\\b[^>]*>', chr(10), 'g')"
+    tags = f"regexp_replace({tags}, '<[/!?a-zA-Z][^>]*>', '', 'g')"
+    named = f"regexp_replace({_named('t')}, '[\\r\\t\\f\\x0B \\x{{A0}}]+', ' ', 'g')"
+    named = f"trim(regexp_replace({named}, ' ?\\n[\\n ]*', chr(10), 'g'), ' ' || chr(10))"
+    inner = "CASE WHEN u[1] IN (chr(34), chr(39)) THEN u[2:-2] ELSE u END"
+    address = f"trim(translate({_named('(' + _numbered('(' + inner + ')') + ')')}, chr(9) || chr(10) || chr(13), ''))"
+    links = f"['outlink: ' || {address} || chr(13) || chr(10) for u in regexp_extract_all(html, {_quoted(warc.LINK)}, 1)]"
     eol = "chr(13) || chr(10)"
     return f"""
 WITH source AS (
@@ -61,8 +76,7 @@ stripped AS (
   FROM (SELECT page_id, 'body' AS part, html FROM response UNION ALL SELECT page_id, 'title', title_html FROM response)
 ),
 numbered AS (
-  SELECT page_id, part, CASE WHEN contains(t, '&#') THEN string_split(t, '&#')[1] || array_to_string(
-    [{number} for x in string_split(t, '&#')[2:]], '') ELSE t END AS t
+  SELECT page_id, part, {_numbered("t")} AS t
   FROM stripped
 ),
 texts AS (SELECT page_id, part, {named} AS t FROM numbered),
@@ -81,7 +95,7 @@ made AS (
     || 'source-content-length: ' || block_size || {eol} || 'conversion-record-id: ' || conversion_id || {eol}
     || CASE WHEN title <> '' THEN 'title: ' || title || {eol} ELSE '' END
     || 'http-header: ' || replace(http, {eol}, {eol} || 'http-header: ') || {eol}
-    || array_to_string(['outlink: ' || u || {eol} for u in regexp_extract_all(html, '(?i)<a\\b[^>]*?\\shref="([^"]*)"', 1)], '')
+    || array_to_string({links}, '')
   FROM whole
 ),
 digested AS (SELECT *, {_digest("block")} AS block_digest FROM made)

@@ -11,7 +11,10 @@ EOL, END = "\r\n", "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 # Elements without text of their own, and elements that begin a new line.
 SILENT = ["script", "style", "noscript", "template"]
-SILENT_ELEMENT = "(?is)" + "|".join(rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)" for name in SILENT)
+# The common "<" stands in front, so that most characters are passed over at once.
+SILENT_ELEMENT = "(?is)<(?:" + "|".join(rf"{name}\b[^>]*>.*?(?:</{name}\s*>|\z)" for name in SILENT) + ")"
+# The address of a link, with its quotation marks if it has any.
+LINK = r"""(?i)<a\b[^>]*?[ \t\r\n\f/]href[ \t\r\n\f]*=[ \t\r\n\f]*("[^"]*"|'[^']*'|[^ \t\r\n\f"'>][^ \t\r\n\f>]*)"""
 BREAKING = (
     "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside|title|blockquote|pre|hr|"
     "form|figure|figcaption"
@@ -135,21 +138,53 @@ def _numbered(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&#")), let(F.split(text, "&#"), joined)).otherwise(text)
 
 
+def _named(text: Column) -> Column:
+    """Named character references replaced, those of ``NAMED``."""
+    chars = F.create_map(*[F.lit(x) for pair in NAMED for x in pair])
+
+    def put(piece: Column) -> Column:
+        return let(F.regexp_extract(piece, "^([a-z]+);", 1), lambda name: replaced(piece, name, F.element_at(chars, name)))
+
+    def replaced(piece: Column, name: Column, char: Column) -> Column:
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+
+    def joined(pieces: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(put(x))), "")
+
+    return F.when(F.contains(text, F.lit("&")), let(F.split(text, "&"), joined)).otherwise(text)
+
+
+def resolved(text: Column) -> Column:
+    """Character references replaced, by number or name."""
+    return let(_numbered(text), _named)
+
+
 def plain_text(html: Column) -> Column:
     """The text of a page: comments, scripts and styles out, block elements on lines of their own, references
     resolved, white space tidied."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
+    text = F.when(F.contains(html, F.lit("<!--")), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")).otherwise(html)
     text = F.regexp_replace(text, SILENT_ELEMENT, " ")
     # Single spaces, which are most of the white space, need no rewriting.
-    text = F.regexp_replace(text, r"[\r\n\t\f\x0B][\r\n\t\f\x0B ]*| [\r\n\t\f\x0B ]+", " ")
+    space = r"\r\n\t\f\x0B "
+    text = F.regexp_replace(text, rf"[{space}](?:(?<! )|(?=[{space}]))[{space}]*", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\n")
-    text = let(F.regexp_replace(text, r"<[/!?a-zA-Z][^>]*>", ""), _numbered)
-    for name, char in NAMED:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    text = F.regexp_replace(text, r"[\r\t\f\x0B\x{A0}][\r\t\f\x0B \x{A0}]*| [\r\t\f\x0B \x{A0}]+", " ")
+    text = let(F.regexp_replace(text, r"<[/!?a-zA-Z][^>]*>", ""), resolved)
+    space = r"\r\t\f\x0B \x{A0}"
+    text = F.regexp_replace(text, rf"[{space}](?:(?<! )|(?=[{space}]))[{space}]*", " ")
     return F.btrim(F.regexp_replace(text, r"\n[\n ]+| \n[\n ]*", "\n"), F.lit(" \n"))
 
 
+def outlinks(html: Column) -> Column:
+    """Addresses of all links, in any quotation; references are resolved, tabs and line ends go, outer blanks too."""
+
+    def address(u: Column) -> Column:
+        inner = F.when(F.substring(u, 1, 1).isin('"', "'"), F.substring(u, F.lit(2), F.length(u) - 2)).otherwise(u)
+        return F.btrim(F.translate(resolved(inner), "\t\r\n", ""))
+
+    return F.transform(F.regexp_extract_all(html, F.lit(LINK), 1), address)
+
+
 def derive(records: DataFrame, column: str = "record") -> DataFrame:
     """Two rows for every WARC response record: a ``conversion`` to plain text and a ``metadata`` record.
 
@@ -190,12 +225,11 @@ def derive(records: DataFrame, column: str = "record") -> DataFrame:
         block_holds=F.when(F.col("source_digest") != "", (digest(F.col("block")) == F.col("source_digest")).cast("string")),
     ).drop("payload", "block")
     df = sealed(df, text=plain_text(F.col("html")), title=plain_text(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1)))
-    hrefs = F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*?\shref=\"([^\"]*)\""), 1)
     df = sealed(
         df,
         conversion_id=uuid_of(F.concat("id", F.lit("#conversion"))),
         metadata_id=uuid_of(F.concat("id", F.lit("#metadata"))),
-        links=F.array_join(F.transform(hrefs, lambda u: F.concat(F.lit("outlink: "), u, F.lit(EOL))), ""),
+        links=F.array_join(F.transform(outlinks(F.col("html")), lambda u: F.concat(F.lit("outlink: "), u, F.lit(EOL))), ""),
     )
     conversion_id, metadata_id, links = F.col("conversion_id"), F.col("metadata_id"), F.col("links")
     headers = F.regexp_replace(F.regexp_replace("http", r"\r?\n", EOL), "(?m)^([^\r\n]+)(?=\r?$)", "http-header: $1")

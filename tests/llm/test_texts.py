@@ -340,6 +340,14 @@ def test_derived_records_are_linked(spark):
     assert "http-header: Content-Type: text/html; charset=utf-8" in lines
 
 
+def test_links_in_any_quotation(spark):
+    html = """<a href='/one'>1</a><A class=x HREF = /two?a=1&amp;b=2>2</A><a href="/th&#114;ee&unknown;&amp;lt;">3</a><a
+        href="/fo\nur ">4</a><a name=5>5</a><area href="/no"><a href=''>6</a><a data-x="1"href="/glued">7</a>"""
+    pages = spark.createDataFrame([(1, html)], "id int, html string")
+    found = pages.select(warc.outlinks(F.col("html")).alias("links"), warc.plain_text(F.lit("a&amp;lt;&lt;b&&nope;&#38;gt; \t c\td"))).first()
+    assert found[0] == ["/one", "/two?a=1&b=2", "/three&unknown;&lt;", "/four", ""] and found[1] == "a&lt;<b&&nope;> c d"
+
+
 def test_awkward_records(spark):
     def response(body: bytes, extra: str = "", kind: str = "response"):
         head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID: <id>\r\n{extra}Content-Length: {len(body)}\r\n\r\n"
