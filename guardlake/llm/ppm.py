@@ -20,6 +20,8 @@ ALPHABET = 257
 ORDER = 5
 # Characters of text whose documents are counted and scored together, and bytes worked on at once.
 BLOCK_CHARS, SLICE = 16 << 20, 1 << 19
+# Grams are written in ascending order within a block, so their differences are small.
+SMALL = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -61,7 +63,7 @@ def trie(longest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     suffixes = longest.select(F.explode(F.sequence(F.lit(1), _length(F.col("gram")))).alias("k"), "gram", "n")
     edges = suffixes.groupBy(_suffix(F.col("gram"), F.col("k")).alias("gram")).agg(F.sum("n").alias("n"))
-    edges = common.written(edges, "edges")
+    edges = common.written(edges, "edges", **SMALL)
     shorter = edges.select(F.col("gram").alias("short"), F.col("n").alias("there"))
     short = _suffix(F.col("gram"), _length(F.col("gram")) - 1)
     nodes = (
@@ -70,7 +72,7 @@ def trie(longest: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy(F.shiftright("gram", BITS).alias("ctx"))
         .agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.coalesce(F.sum("there"), F.lit(0)).alias("cover"))
     )
-    return edges, common.written(nodes, "nodes")
+    return edges, common.written(nodes, "nodes", **SMALL)
 
 
 def costs(wanted: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -210,15 +212,15 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: in
     kind = docs.schema[key].dataType.simpleString()
     packed = rows.mapInArrow(pack, f"key {kind}, held_out boolean, block int, packed binary")
     found = common.written(
-        packed.groupBy("block").applyInArrow(_counter(order), "block int, word binary, gram long, n long"), "words-and-grams"
+        packed.groupBy("block").applyInArrow(_counter(order), "block int, word binary, gram long, n long"), "words-and-grams", **SMALL
     )
     words = found.where("word is not null").select("block", "word", "n")
-    counts = common.written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    counts = common.written(words.groupBy("word").agg(F.sum("n").alias("c")), "words", **SMALL)
     total, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     found_grams = found.where("gram is not null").select("block", "gram", "n")
-    totals = common.written(found_grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    totals = common.written(found_grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams", **SMALL)
     edges, nodes = trie(totals.where("n > 0"))
-    priced = common.written(costs(totals.select("gram"), edges, nodes), "costs")
+    priced = common.written(costs(totals.select("gram"), edges, nodes), "costs", **SMALL)
     known = (
         words.select("block", "word")
         .join(counts, "word")
