@@ -241,6 +241,32 @@ def test_rule_and_transcript_files(spark, tmp_path):
     assert [r.value for r in rows] == ['{"a":1}', '{"b":2}'] and rows[0].pos < rows[1].pos
 
 
+def test_transcripts_in_splits_keep_their_line_order(spark, tmp_path):
+    """Files of many splits, lines longer than a split, blank lines, carriage returns and no last line end."""
+    texts = {
+        "a": "\n".join("" if i % 7 == 0 else f'{{"i":{i}}}' for i in range(800)),
+        "b b": "x" * 1000 + "\r\n\n\n" + "é" * 300 + "\n" + "\n".join(map(str, range(50))) + "\n",
+        "c": "",
+        "d": "\n\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.jsonl").write_text(text, newline="")
+    sizes = {"spark.sql.files.maxPartitionBytes": "100", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        rows = readers.read_transcripts(spark, str(tmp_path))
+        parts = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        got = sorted((r.path.rsplit("/", 1)[1].replace("%20", " "), r.pos, r.value) for r in rows.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = sorted((f"{n}.jsonl", i, x) for n, t in texts.items() for i, x in enumerate(t.split("\n")) if x)
+    assert parts > 20 and got == want
+    assert readers.read_transcripts(spark, str(tmp_path)).count() == len(want)
+
+
 def test_csv_quoting(spark):
     df = spark.createDataFrame([("a,b", 'q"q', None, "l\nl", "plain")], "a string, b string, c string, d string, e string")
     line = df.select(writers.csv_line(df.columns).alias("x")).first().x
