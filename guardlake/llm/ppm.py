@@ -20,6 +20,8 @@ ALPHABET = 257
 ORDER = 5
 # Characters of text whose documents are counted and scored together, and bytes worked on at once.
 BLOCK_CHARS, SLICE = 16 << 20, 1 << 19
+# Rows of a block's words and grams that Spark is handed at once.
+SENT = 1 << 16
 # Grams are written in ascending order within a block, so their differences are small.
 SMALL = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 
@@ -172,7 +174,7 @@ def _counter(order: int):
                 parts = [_merged(parts)]
         kinds, n = _merged(parts)
         total = len(words) + len(kinds)
-        return pa.table(
+        found = pa.table(
             {
                 "block": pa.array(np.full(total, batch["block"][0].as_py(), "i4")),
                 "word": pa.concat_arrays([pa.array(words.keys(), pa.binary()), pa.nulls(len(kinds), pa.binary())]),
@@ -180,6 +182,7 @@ def _counter(order: int):
                 "n": pa.concat_arrays([pa.array(words.values(), pa.int64()), pa.array(n)]),
             }
         )
+        return pa.Table.from_batches(found.to_batches(max_chunksize=SENT))
 
     return count
 
