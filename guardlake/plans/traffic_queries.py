@@ -171,13 +171,15 @@ def translated_responses(spark, sf_dir):
 
 @query
 def dropped_blocks(spark, sf_dir):
-    s = inputs.seeded(spark, sf_dir)
-    quoted = payload.json_text(F.col("text"))
+    """Every text beside a blank block before it, behind it or nowhere; a third of the rows also with a blank block alone."""
+    seeded = inputs.seeded(spark, sf_dir)
+    alone = seeded.where(F.col("doc_id") % 3 == 1)
+    s = seeded.withColumn("form", F.lit("whole")).unionByName(alone.withColumn("form", F.lit("blank")))
+    text = _text_block(payload.json_text(F.col("text")))
     blank = F.lit('{"type":"text","text":" "}')
     by = F.col("doc_id") % 3
-    blocks = F.when(by == 0, F.concat(blank, F.lit(","), _text_block(quoted))).when(by == 1, blank).otherwise(
-        _text_block(quoted)
-    )
+    whole = F.when(by == 0, F.concat(blank, F.lit(","), text)).when(by == 1, F.concat(text, F.lit(","), blank)).otherwise(text)
+    blocks = F.when(F.col("form") == "blank", blank).otherwise(whole)
     body = F.concat(
         F.lit('{"system":['), blank, F.lit(',{"type":"text","text":"s"}],"messages":[{"role":"user","content":['),
         blocks, F.lit(']},{"role":"user","content":"plain"}]}'),
@@ -186,6 +188,7 @@ def dropped_blocks(spark, sf_dir):
     content = payload.list_field(v, "$.messages[0].content")
     return s.select(
         "doc_id",
+        "form",
         F.size(payload.list_field(v, "$.system")).alias("n_system"),
         F.size(content).alias("n_blocks"),
         payload.string_field(F.get(content, F.lit(0)), "$.text").alias("first"),
@@ -212,18 +215,23 @@ def last_user_message(spark, sf_dir):
     return users.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
 
 
+def _with_broken(x, body, every, empty):
+    """Each row with its body whole; two of ``every`` ids also with an empty body or one cut off."""
+    broken = x.where(F.col("id") % every < 2).withColumn("form", F.when(F.col("id") % every == 0, "empty").otherwise("cut"))
+    wrong = F.when(F.col("form") == "empty", empty).otherwise("{cut")
+    return x.withColumn("form", F.lit("whole")).withColumn("body", F.col(body)).unionByName(broken.withColumn("body", wrong))
+
+
 @query
 def user_prompts(spark, sf_dir):
-    x = inputs.exchanges(spark, sf_dir)
-    body = F.when(F.col("id") % 7 == 0, F.lit("")).when(F.col("id") % 7 == 1, F.lit("{cut")).otherwise(F.col("request"))
-    return x.select("id", messages.user_prompt(body).alias("prompt"))
+    x = _with_broken(inputs.exchanges(spark, sf_dir), "request", 7, "")
+    return x.select("id", "form", messages.user_prompt(F.col("body")).alias("prompt"))
 
 
 @query
 def assistant_outputs(spark, sf_dir):
-    x = inputs.exchanges(spark, sf_dir)
-    body = F.when(F.col("id") % 11 == 0, F.lit(" ")).when(F.col("id") % 11 == 1, F.lit("{cut")).otherwise(F.col("response"))
-    return x.select("id", messages.assistant_output(F.col("provider"), body).alias("output"))
+    x = _with_broken(inputs.exchanges(spark, sf_dir), "response", 11, " ")
+    return x.select("id", "form", messages.assistant_output(F.col("provider"), F.col("body")).alias("output"))
 
 
 def traffic_rows(spark, sf_dir):

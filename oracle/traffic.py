@@ -67,19 +67,22 @@ with {SEEDED} select doc_id, 'msg_' || doc_id as id, 'm1' as model, text || '!'
   case doc_id % 5 when 1 then 'length' when 2 then 'tool_calls' else 'stop' end as finish_reason, doc_id % 100 as total_tokens from seeded
 """
 ORACLE["dropped_blocks"] = (
-    f"with {SEEDED} select doc_id, 1 as n_system, 1 as n_blocks, case when doc_id % 3 = 1 then ' ' else text end as first from seeded"
+    f"with {SEEDED} select doc_id, 'whole' as form, 1 as n_system, 1 as n_blocks, text as first from seeded "
+    "union all select doc_id, 'blank', 1, 1, ' ' from seeded where doc_id % 3 = 1"
 )
 ORACLE["stripped_prompts"] = f"select conv_id, turn, {trim('text')} as text from conversations"
 ORACLE["last_user_message"] = (
     "select conv_id, arg_max(text, turn) as text from conversations where role = 'user' group by conv_id"
 )
 ORACLE["user_prompts"] = (
-    f"with {SEEDED} select doc_id as id, case doc_id % 7 when 0 then {lit(traffic_values.NO_SNAPSHOT)} "
-    f"when 1 then {lit(traffic_values.BAD_REQUEST_SNAPSHOT)} else {trim('text')} end as prompt from seeded"
+    f"with {SEEDED} select doc_id as id, 'whole' as form, {trim('text')} as prompt from seeded "
+    f"union all select doc_id, 'empty', {lit(traffic_values.NO_SNAPSHOT)} from seeded where doc_id % 7 = 0 "
+    f"union all select doc_id, 'cut', {lit(traffic_values.BAD_REQUEST_SNAPSHOT)} from seeded where doc_id % 7 = 1"
 )
 ORACLE["assistant_outputs"] = (
-    f"with {SEEDED} select doc_id as id, case doc_id % 11 when 0 then {lit(traffic_values.EMPTY_RESPONSE)} "
-    f"when 1 then {lit(traffic_values.BAD_RESPONSE_SNAPSHOT)} else text end as output from seeded"
+    f"with {SEEDED} select doc_id as id, 'whole' as form, text as output from seeded "
+    f"union all select doc_id, 'empty', {lit(traffic_values.EMPTY_RESPONSE)} from seeded where doc_id % 11 = 0 "
+    f"union all select doc_id, 'cut', {lit(traffic_values.BAD_RESPONSE_SNAPSHOT)} from seeded where doc_id % 11 = 1"
 )
 _PROVIDER = pick(["anthropic", "openai", "gemini"], "key")
 _TRAFFIC = f"with recursive {SEEDED}, {redacted('seeded', 'doc_id', prefix='i_')}, {redacted('seeded', 'doc_id', 'outbound', prefix='o_')}"
