@@ -235,24 +235,26 @@ for _entry in COMMAND_CATEGORIES:
     QUERIES[f"command_{_entry['category']}"] = _command_flags(_entry["category"])
 
 
+def _with_unread(c, every, command):
+    """Each command whole; one of ``every`` ids also with ``command`` in its place."""
+    broken = c.where(F.col("doc_id") % every == 0).withColumns({"form": F.lit("broken"), "command": command})
+    return c.withColumn("form", F.lit("whole")).unionByName(broken)
+
+
 @query
 def command_verdicts(spark, sf_dir):
-    c = inputs.commands(spark, sf_dir)
-    out = command_ops.classify_commands(
-        c.withColumn("command", F.when(F.col("doc_id") % 19 == 0, " \n").otherwise(F.col("command"))),
-        "command",
-    )
+    c = _with_unread(inputs.commands(spark, sf_dir), 19, F.lit(" \n"))
+    out = command_ops.classify_commands(c, "command")
     return out.select(
-        "doc_id", "permission", "category", "matched_pattern", "user_message", "agent_message"
+        "doc_id", "form", "permission", "category", "matched_pattern", "user_message", "agent_message"
     )
 
 
 @query
 def guarded_commands(spark, sf_dir):
-    c = inputs.commands(spark, sf_dir)
-    unread = c.withColumn("command", F.when(F.col("doc_id") % 23 != 0, F.col("command")))
-    log = command_ops.command_log(unread, "command")
-    return log.select("doc_id", "permission", "category", "user_message")
+    c = _with_unread(inputs.commands(spark, sf_dir), 23, F.lit(None).cast("string"))
+    log = command_ops.command_log(c, "command")
+    return log.select("doc_id", "form", "permission", "category", "user_message")
 
 
 @query

@@ -172,15 +172,14 @@ _VERDICT = ", ".join(
     ]
 )
 ORACLE["command_verdicts"] = (
-    f"with {COMMANDS}, c as (select doc_id, case when doc_id % 19 = 0 then ' ' || chr(10) else command end as command "
-    f"from commands) select doc_id, {_VERDICT} from c"
+    f"with {COMMANDS}, c as (select doc_id, 'whole' as form, command from commands "
+    "union all select doc_id, 'broken', ' ' || chr(10) from commands where doc_id % 19 = 0) "
+    f"select doc_id, form, {_VERDICT} from c"
 )
 _GUARDED = f"{COMMANDS}, cv as (select doc_id, {_VERDICT} from commands)"
 ORACLE["guarded_commands"] = (
-    f"with {_GUARDED}, g as (select doc_id, case when doc_id % 23 = 0 then 'deny' else permission end as permission, "
-    "case when doc_id % 23 <> 0 then category end as category, "
-    f"case when doc_id % 23 = 0 then {lit(command_values.UNREADABLE_USER_MESSAGE)} else user_message end as user_message from cv) "
-    "select * from g where permission <> 'allow'"
+    f"with {_GUARDED} select doc_id, 'whole' as form, permission, category, user_message from cv where permission <> 'allow' "
+    f"union all select doc_id, 'broken', 'deny', null, {lit(command_values.UNREADABLE_USER_MESSAGE)} from commands where doc_id % 23 = 0"
 )
 _cat_rows = ", ".join(
     f"({i}, {lit(e['category'])}, {lit(e['permission'])})"
