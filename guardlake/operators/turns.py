@@ -16,6 +16,7 @@ from guardlake.functions.text import short_hash
 from guardlake.operators.barrier import sealed
 from guardlake.operators.sequence import BLOCK, running_sums
 from guardlake.rules import RuleSet
+from guardlake.session import materialized
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -276,8 +277,14 @@ def attach_responses(flags: DataFrame, turns: DataFrame, ring: int = traffic_val
     runs. Equal prompts are one. Only then do the flags of a prompt meet its turns, by blocks of ``ring`` rows. What is
     left is one small row per turn that fits any flag; these are cut into stretches that share no flag, and each stretch
     is settled in order.
+
+    Every table that grows with the input is joined by sorting: runs compress so well that Spark would take them for
+    small and send them through the driver. What several steps read is written once.
     """
     keys = ["log_id", "surface"]
+
+    def sorted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        return left.hint("merge").join(right.hint("merge"), on, how)
     named = (
         flags.select(*keys, "seq", js_trim(F.coalesce("raw_prompt", F.lit(""))).alias("_needle"))
         .where(F.col("_needle") != "")
@@ -286,7 +293,7 @@ def attach_responses(flags: DataFrame, turns: DataFrame, ring: int = traffic_val
     asked = turns.select(*keys, "turn_id", "after_seq", js_trim(F.coalesce("prompt", F.lit(""))).alias("_hay")).where(
         (F.col("_hay") != "") & (F.col("after_seq") > 0)
     )
-    needles = named.select(*keys, "_prompt", "_needle").dropDuplicates([*keys, "_prompt"])
+    needles = materialized(named.select(*keys, "_prompt", "_needle").dropDuplicates([*keys, "_prompt"]), "needles")
     # At most GRAM numbers.
     sizes = sorted(r[0] for r in needles.select(F.least(F.length("_needle"), F.lit(GRAM))).distinct().collect())
 
@@ -298,28 +305,26 @@ def attach_responses(flags: DataFrame, turns: DataFrame, ring: int = traffic_val
     hay_runs = asked.select(
         *keys, "turn_id", F.explode(F.concat(F.array().cast("array<string>"), *[runs_of(F.col("_hay"), n) for n in sizes])).alias("_run")
     )
-    hay_runs = hay_runs.join(needle_runs.select(*keys, "_run").distinct(), [*keys, "_run"], "left_semi")
+    hay_runs = sorted_join(hay_runs, needle_runs.select(*keys, "_run").distinct(), [*keys, "_run"], "left_semi")
+    hay_runs = materialized(hay_runs, "runs")
     held = hay_runs.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_n"))
     # A prompt with a run that no turn holds is in no turn.
-    counted = needle_runs.join(held, [*keys, "_run"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    counted = sorted_join(needle_runs, held, [*keys, "_run"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     rare = counted.groupBy(*keys, "_prompt").agg(F.min(F.struct("_n", "_run")).alias("_r")).where("_r._n > 0")
-    pairs = rare.select(*keys, "_prompt", "_r._run").join(hay_runs, [*keys, "_run"]).select(*keys, "_prompt", "turn_id")
-    fitting = (
-        pairs.join(asked, [*keys, "turn_id"])
-        .join(needles, [*keys, "_prompt"])
-        .where(F.contains("_hay", "_needle"))
-        .select(*keys, "turn_id", "after_seq", "_prompt")
-    )
+    pairs = sorted_join(rare.select(*keys, "_prompt", "_r._run"), hay_runs, [*keys, "_run"]).select(*keys, "_prompt", "turn_id")
+    fitting = sorted_join(sorted_join(pairs, asked, [*keys, "turn_id"]), needles, [*keys, "_prompt"])
+    fitting = fitting.where(F.contains("_hay", "_needle")).select(*keys, "turn_id", "after_seq", "_prompt")
     block = F.floor((F.col("after_seq") - 1) / ring)
     open_flags = named.select(*keys, "_prompt", "seq", F.floor(F.col("seq") / ring).alias("_block"))
-    fits = fitting.withColumn("_block", F.explode(F.array(block, block - 1))).join(open_flags, [*keys, "_prompt", "_block"])
+    fits = sorted_join(fitting.withColumn("_block", F.explode(F.array(block, block - 1))), open_flags, [*keys, "_prompt", "_block"])
     fits = fits.where((F.col("seq") < F.col("after_seq")) & (F.col("seq") >= F.col("after_seq") - ring))
     candidates = fits.groupBy(*keys, "turn_id", "after_seq").agg(F.sort_array(F.collect_list("seq"), asc=False).alias("_fits"))
     stretches = candidates.withColumns(
         {"_lo": F.element_at("_fits", -1), "_hi": F.get("_fits", F.lit(0))}
     )
+    stretches = materialized(stretches, "stretches")
     islands = _islands(stretches, keys, "_lo", "_hi").withColumnRenamed("start", "_lo")
-    stretches = stretches.join(islands, [*keys, "_lo"])
+    stretches = materialized(sorted_join(stretches, islands, [*keys, "_lo"]), "islands")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stretch, taken = None, set()
@@ -347,10 +352,8 @@ def attach_responses(flags: DataFrame, turns: DataFrame, ring: int = traffic_val
         .sortWithinPartitions(*keys, "stretch", "after_seq", "turn_id")
         .mapInPandas(settle, schema)
     )
-    replies = pairs.join(
-        turns.select(*keys, "turn_id", "response"), [*keys, "turn_id"]
-    )
-    return flags.join(replies, [*keys, "seq"], "left")
+    replies = sorted_join(pairs, turns.select(*keys, "turn_id", "response"), [*keys, "turn_id"])
+    return sorted_join(flags, replies, [*keys, "seq"], "left")
 
 
 # --- captured replies -------------------------------------------------------------------------------

@@ -228,6 +228,18 @@ def test_attach_responses_against_brute_force(spark):
         assert all(r.response == f"r{r.turn_id}" for r in out if r.turn_id is not None)
 
 
+def test_replies_are_matched_without_broadcasts(spark):
+    f = spark.range(200).select(F.lit(1).alias("log_id"), F.lit("s").alias("surface"), (F.col("id") * 2).alias("seq"), F.format_string("ask user %d.", "id").alias("raw_prompt"))
+    t = spark.range(200).select(
+        F.lit(1).alias("log_id"), F.lit("s").alias("surface"), F.col("id").alias("turn_id"), (F.col("id") * 2 + 1).alias("after_seq"),
+        F.format_string("first ask user %d. last", "id").alias("prompt"), F.lit("r").alias("response"),
+    )
+    out = turns.attach_responses(f, t)
+    assert {r.seq: r.turn_id for r in out.collect()} == {2 * i: i for i in range(200)}
+    # Whatever the size, no table that grows with the input goes through the driver.
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("steps,windows", [([0, 1, 500, 5_000, 30_000, 70_000, 200_000], 64), ([0, 1, 500, 5_000, 9_000, 11_000], 1)])
 def test_attempts_against_brute_force(spark, monkeypatch, steps, windows):
     """With short steps the hot key never pauses for a window, over hundreds of blocks."""
