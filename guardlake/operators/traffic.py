@@ -43,7 +43,8 @@ def build_traffic(
     # Values split over events are only visible along the stream, so recorded streams are redacted as such. Equal
     # bodies of a provider are one body, whatever their ids.
     name = F.when(is_stream, F.sha2(F.concat_ws("\n", "provider", "_response"), 256))
-    work = work.withColumn("_name", name)
+    # Other bodies meet nothing, and under a name of their own they do not all come to one task.
+    work = work.withColumn("_name", F.coalesce(name, F.concat(F.lit("-"), F.xxhash64("id", "_response").cast("string"))))
     recorded = given.withColumn("_name", name).where(is_stream).select(
         F.col("_name").alias("stream_id"), "provider", F.col("_response").alias("chunk")
     )
