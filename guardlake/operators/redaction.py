@@ -11,6 +11,7 @@ from guardlake.fixed import turns as turn_values
 from guardlake.functions import payload, spans, transcripts
 from guardlake.functions.expr import any_of, js_trim
 from guardlake.functions.text import snapshot
+from guardlake.operators.barrier import sealed
 from guardlake.rules import RuleSet
 
 
@@ -160,7 +161,8 @@ def redact_struct(
     def scrub(text: Column) -> Column:
         return spans.redacted(text, rules.active, direction, rules.allow_patterns)
 
-    walked = df.withColumn("_walked", _walk(F.col(col), kind, scrub))
+    # Whatever is taken out of the payload later, its strings are scanned once.
+    walked = sealed(df.withColumn("_walked", _walk(F.col(col), kind, scrub)))
     counts = _leaf_counts(F.col("_walked"), kind)
     none = F.create_map().cast(spans.COUNTS)
     return (

@@ -180,6 +180,14 @@ def test_nested_struct(spark):
     assert row.matched == {"EMAIL": 2, "SSN": 1, "CREDIT_CARD": 1, "IPV4": 1}
 
 
+def test_strings_of_a_struct_are_scanned_once(spark):
+    df = spark.createDataFrame([("a@b.co",)], "t string").select(F.struct(F.array("t", F.lit("x")).alias("notes")).alias("payload"))
+    out = redaction.redact_struct(df, "payload")
+    notes = [F.col("payload.notes")[i].alias(f"n{i}") for i in range(2)]
+    one, two = (x._jdf.queryExecution().optimizedPlan().toString() for x in (out.select(notes[0]), out.select(*notes, "matched")))
+    assert one.count("regexp_extract_all") == two.count("regexp_extract_all") > 0
+
+
 def test_json_payloads(spark):
     raws = [
         r'{"a": "x@y.org", "x@y.org": {"b": ["q\"\\", "mail z@z.com\nA"], "n": 1.5}}',
