@@ -159,8 +159,10 @@ def drop_empty_blocks(body: Column) -> Column:
 
     # Only bodies that hold an empty text block are taken apart.
     may_hold = F.contains(body, F.lit('"type"')) & F.contains(body, F.lit('"text"'))
-    usable = may_hold & payload.is_object(payload.parsed(body))
-    return F.when(usable, let(payload.parsed(body), fix)).otherwise(body)
+    return let(
+        F.when(may_hold, payload.parsed(body)),
+        lambda v: F.when(payload.is_object(v), fix(v)).otherwise(body),
+    )
 
 
 def to_anthropic_request(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from guardlake.functions import messages, payload, routing, transcripts
 from guardlake.functions.text import sanitize_pii_types, slug
 from guardlake.operators import analytics, traffic, turns
+from guardlake.operators.barrier import sealed
 from guardlake.plans import inputs, samples
 from guardlake.plans.pii_queries import counts_text
 from guardlake.session import materialized
@@ -184,14 +185,18 @@ def dropped_blocks(spark, sf_dir):
         F.lit('{"system":['), blank, F.lit(',{"type":"text","text":"s"}],"messages":[{"role":"user","content":['),
         blocks, F.lit(']},{"role":"user","content":"plain"}]}'),
     )
-    v = payload.parsed(messages.drop_empty_blocks(body))
-    content = payload.list_field(v, "$.messages[0].content")
-    return s.select(
+    # Step by step, so that a body is written, rewritten and parsed once for all the columns.
+    given = sealed(s.select("doc_id", "form", body.alias("body")))
+    fixed = sealed(given.select("doc_id", "form", messages.drop_empty_blocks(F.col("body")).alias("body")))
+    read = sealed(fixed.select("doc_id", "form", payload.parsed(F.col("body")).alias("v")))
+    content = payload.list_field(F.col("v"), "$.messages[0].content")
+    parts = sealed(read.select("doc_id", "form", payload.list_field(F.col("v"), "$.system").alias("system"), content.alias("content")))
+    return parts.select(
         "doc_id",
         "form",
-        F.size(payload.list_field(v, "$.system")).alias("n_system"),
-        F.size(content).alias("n_blocks"),
-        payload.string_field(F.get(content, F.lit(0)), "$.text").alias("first"),
+        F.size("system").alias("n_system"),
+        F.size("content").alias("n_blocks"),
+        payload.string_field(F.get("content", F.lit(0)), "$.text").alias("first"),
     )
 
 

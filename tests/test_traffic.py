@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from guardlake.functions import messages, routing, transcripts
 from guardlake.operators import analytics, files, sequence, traffic, turns
+from guardlake.plans import traffic_queries
 
 UP = {"anthropic": "https://a/", "gemini": "https://g", "openai": "https://o"}
 
@@ -130,6 +131,31 @@ def test_traffic_holds_redacted_text_only(spark):
     assert {d.decision for d in decisions} == {"redacted"}
 
 
+def test_bodies_that_are_no_streams_do_not_meet_in_one_task(spark, monkeypatch):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for key, value in zip(kept, ("false", "-1")):
+        spark.conf.set(key, value)
+    try:
+        df = spark.range(64).select(
+            "id", F.lit("anthropic").alias("provider"), F.lit("{}").alias("request"),
+            F.format_string('{"content":[{"type":"text","text":"ip 9.18.27.%d"}]}', "id").alias("response"),
+        ).withColumns({
+            "ts": F.timestamp_seconds(F.lit(0)), "model": F.lit("m"), "blocked": F.lit(False), "method": F.lit("POST"), "path": F.lit("/x"),
+            "status": F.lit(200), "streaming": F.lit(False), "duration_ms": F.lit(1).cast("bigint"),
+        })
+        out = traffic.build_traffic(df).select("id", "matched", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert sorted(r.id for r in out) == list(range(64)) and all(r.matched.outbound == {"IPV4": 1} for r in out)
+    assert len({r.task for r in out}) > 1
+
+
+def test_blocks_are_parsed_once_for_all_columns(spark, sf):
+    plan = traffic_queries.dropped_blocks(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("parseJson") < 10
+
+
 def test_surface_policy(spark):
     sends = spark.createDataFrame([("gemini", "x"), ("grok", "x"), ("cursor", " "), ("new", "x")], "surface string, text string")
     config = spark.createDataFrame([("gemini", True, "off"), ("grok", False, "off")], "surface string, enabled boolean, mode string")
