@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ SAMPLE, FREQUENT = 20_000, 200_000
 # Up to so many texts are picked out of all by a broadcast.
 PICKED = 300_000
 PRINT = StructType(
-    [StructField("id", LongType()), StructField("n", LongType()), StructField("rare", LongType()), StructField("prefix", ArrayType(LongType()))]
+    [StructField("id", LongType()), StructField("n", LongType()), StructField("rare", LongType()), StructField("fp", LongType()), StructField("prefix", ArrayType(LongType()))]
 )
 
 
@@ -37,6 +38,16 @@ def _hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(g, 42) for g in found), dtype="<u8", count=len(found)))
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in more than half of the hashes; zero if there are none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), 1 << 16):
+        part = hashes[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return weights[ones * 2 > len(hashes)].sum(dtype=np.uint64)
+
+
 def _identity(hashes: np.ndarray) -> int:
     """A number that equal sets share: 64 bits of the digest of the sorted hashes."""
     from hashlib import blake2b
@@ -77,8 +88,8 @@ def _prints(size: int, least: float, known: np.ndarray, counts: np.ndarray):
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 rank = np.where(known[at] == own, counts[at], 0)
             first = np.lexsort((own, rank))[: n - math.ceil(least * n - 1e-9) + 1]
-            out.append((_identity(own), n, int((rank == 0).sum()), own[first].view(np.int64)))
-        return pd.DataFrame(out, columns=["id", "n", "rare", "prefix"])
+            out.append((_identity(own), n, int((rank == 0).sum()), int(majority(own).view(np.int64)), own[first].view(np.int64)))
+        return pd.DataFrame(out, columns=["id", "n", "rare", "fp", "prefix"])
 
     return prints
 
@@ -111,13 +122,16 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, seats: DataFrame, size: int, l
     return common.written(both.where(_alike(size, least)("one", "other")).select("a", "b"), "confirmed")
 
 
-def similar(rows: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFrame]:
+def similar(rows: DataFrame, size: int, least: float, near: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(prints, parts): the set number ``id`` of each row, and (node, component) for sets that others are similar to.
 
+    ``near`` gives candidates (a, b) by the fingerprints (id, fp) of the sets. What these miss is found by shingles.
+
     Rows have ``text`` and what tells them apart: ``k``, ``null``, ``row``; prints carry all columns but the text.
     Two sets with a Jaccard similarity of ``least`` or more have at least one of the first ``n - ceil(least * n) + 1``
     shingles in common, in any order that is the same for all; rare ones come first. Sets meet where such a shingle
-    agrees, and what follows it in both is long enough: first each with the most usual set there, then, of sets that are
+    agrees, and what follows it in both is long enough: first each with the most usual set there, and with sets of near
+    fingerprints, then, of sets that are
     not connected by that, all with all. Every meeting pair is confirmed on its texts, so the components are exactly those of the similarity.
     """
     spark = rows.sparkSession
@@ -127,7 +141,7 @@ def similar(rows: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFr
     prints = common.written(rows.select(*kept, _prints(size, least, known, counts)("text").alias("p")).select(*kept, "p.*"), "prints")
     seats = prints.groupBy("id").agg(F.min(F.struct("k", "null", "row")).alias("at")).select("id", "at.*")
     # Most shingles of a prefix occur once: numbers only are moved to find the others.
-    sets = common.written(prints.groupBy("id").agg(F.min(F.struct("n", "rare", "prefix")).alias("p")).select("id", "p.*"), "sets")
+    sets = common.written(prints.groupBy("id").agg(F.min(F.struct("n", "rare", "fp", "prefix")).alias("p")).select("id", "p.*"), "sets")
     shared = sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h")
     places = sets.select("id", F.posexplode("prefix").alias("pos", "h")).join(shared, "h")
     entries = common.written(places.join(sets.select("id", "n", "rare"), "id"), "entries")
@@ -142,7 +156,8 @@ def similar(rows: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFr
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     stars = meets.where((F.col("id") != F.col("first.id")) & fits("n", "pos", "first.n", "first.pos")).select(*paired("id", "first.id")).distinct()
-    tested = _confirmed(stars, rows, seats, size, least)
+    close = near(sets.select("id", "fp")).select(*paired("a", "b"))
+    tested = _confirmed(stars.unionByName(close).distinct(), rows, seats, size, least)
     parts = common.components(tested)
     named = meets.join(parts.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("h", "id", "n", "pos", F.coalesce("component", "id").alias("part"), F.col("first.id").alias("first"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from guardlake.llm import common, shingles
 BANDS = 4
 # Fingerprints in one tree. Larger buckets become several trees, and each of their rows asks every tree.
 TREE_ROWS = 4096
+# Near copies: fingerprints of word sets meet within this many bits, and of the first so many found the nearest counts.
+WIDE, WIDE_BANDS, LOOKED_AT = 6, 8, 16
 ALL = (1 << 64) - 1
 BUCKET = ["choice", "bits", "tree", "other"]
 
@@ -114,7 +117,6 @@ def simhash(texts: pd.Series, size: pd.Series) -> pd.Series:
     """Majority bits over the XXH64 hashes (seed 42) of each text's shingles."""
     from xxhash import xxh64_intdigest
 
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     out = np.zeros(len(texts), dtype=np.uint64)
     for i, (text, k) in enumerate(zip(texts, size)):
         # On bytes, lower() changes A-Z only, and split() splits at the six ASCII spaces only.
@@ -122,13 +124,8 @@ def simhash(texts: pd.Series, size: pd.Series) -> pd.Series:
         if not words:
             continue
         n = max(len(words) - k + 1, 1)
-        shingles = map(b" ".join, zip(*(words[j:] for j in range(k)))) if len(words) >= k else [b" ".join(words)]
-        hashes = np.fromiter((xxh64_intdigest(g, 42) for g in shingles), dtype="<u8", count=n)
-        ones = np.zeros(64, dtype=np.int64)
-        for start in range(0, n, 1 << 16):
-            part = hashes[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[i] = weights[ones * 2 > n].sum(dtype=np.uint64)
+        grams = map(b" ".join, zip(*(words[j:] for j in range(k)))) if len(words) >= k else [b" ".join(words)]
+        out[i] = shingles.majority(np.fromiter((xxh64_intdigest(g, 42) for g in grams), dtype="<u8", count=n))
     return pd.Series(out.view(np.int64))
 
 
@@ -175,15 +172,29 @@ def _link_buckets(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = 2, bands: int = BANDS, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints ``fp`` (distinct longs) at most ``radius`` bits apart.
+def _nearest(radius: int):
+    """Walk rows sorted by bucket, tree rows first; yield for each the nearest of the first fingerprints found near it."""
 
-    Fingerprints meet in buckets that agree on ``bands - radius`` of the bands. A bucket with up to ``tree_rows``
-    rows is one shard: one BK-tree, asked by its own rows while it grows. A larger one is dealt by hash into several
-    shards, whose bounded trees are sent to the rows of each shard of the bucket, every pair of shards once.
-    No bucket is left out. The edges are spanning stars of what is linked within a bucket or pair of shards.
-    """
-    spark = prints.sparkSession
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tree = None, BKTree()
+        for batch in batches:
+            found = []
+            for *bucket, ask, fp in batch[[*BUCKET, "ask", "fp"]].itertuples(index=False, name=None):
+                if bucket != key:
+                    key, tree = bucket, BKTree()
+                fp &= ALL
+                near = [tree.values[i] for i in islice(tree.within(fp, radius), LOOKED_AT)]
+                if near:
+                    found.append((_signed(fp), _signed(min(near, key=lambda x: (x ^ fp).bit_count()))))
+                if not ask:
+                    tree.add(fp)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _sharded(prints: DataFrame, radius: int, bands: int, tree_rows: int) -> DataFrame:
+    """Rows of ``links`` by bucket, dealt to tasks."""
     rows = prints.select("fp", F.explode(_keys(F.col("fp"), radius, bands)).alias("k")).select("fp", "k.*")
     sizes = rows.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["choice", "bits"])
@@ -197,9 +208,34 @@ def links(prints: DataFrame, radius: int = 2, bands: int = BANDS, tree_rows: int
         ),
     )
     rows = rows.select("choice", "bits", "fp", F.explode(pairs).alias("p")).select("choice", "bits", "p.*", "fp")
-    dealt = rows.repartition(common.wide(prints), *BUCKET).sortWithinPartitions(*BUCKET, "ask", "fp")
-    common.bounded_batches(spark)
-    return dealt.mapInPandas(_link_buckets(radius), "a long, b long")
+    common.bounded_batches(prints.sparkSession)
+    return rows.repartition(common.wide(prints), *BUCKET).sortWithinPartitions(*BUCKET, "ask", "fp")
+
+
+def links(prints: DataFrame, radius: int = 2, bands: int = BANDS, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints ``fp`` (distinct longs) at most ``radius`` bits apart.
+
+    Fingerprints meet in buckets that agree on ``bands - radius`` of the bands. A bucket with up to ``tree_rows``
+    rows is one shard: one BK-tree, asked by its own rows while it grows. A larger one is dealt by hash into several
+    shards, whose bounded trees are sent to the rows of each shard of the bucket, every pair of shards once.
+    No bucket is left out. The edges are spanning stars of what is linked within a bucket or pair of shards.
+    """
+    return _sharded(prints, radius, bands, tree_rows).mapInPandas(_link_buckets(radius), "a long, b long")
+
+
+def candidates(sets: DataFrame, radius: int = WIDE, bands: int = WIDE_BANDS, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Pairs (a, b) of sets (``id``, ``fp``) whose fingerprints are at most ``radius`` bits apart, not all of them.
+
+    Sets of one fingerprint meet its smallest ``id``, and that one the nearest in each bucket and tree, so there are
+    at most as many pairs as rows in buckets, however many copies have fingerprints close together.
+    """
+    prints = common.written(sets.groupBy("fp").agg(F.min("id").alias("id")), "wide-prints")
+    edges = _sharded(prints.select("fp"), radius, bands, tree_rows).mapInPandas(_nearest(radius), "a long, b long").distinct()
+    one = prints.select(F.col("fp").alias("a"), F.col("id").alias("x"))
+    other = prints.select(F.col("fp").alias("b"), F.col("id").alias("y"))
+    near = edges.join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = sets.join(prints.withColumnRenamed("id", "head"), "fp").where("id <> head")
+    return near.unionByName(equal.select(F.col("id").alias("a"), F.col("head").alias("b")))
 
 
 def _classified(prints: DataFrame, radius: int, bands: int) -> DataFrame:
@@ -231,8 +267,9 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Keep one document of each component: the one with the smallest key; columns as given.
 
-    Documents are linked if the Jaccard similarity of their sets of shingles is ``least`` or more. Fingerprints do not
-    decide this at any radius (see README), so candidates come from ``shingles.similar``, which misses none. Of several
+    Documents are linked if the Jaccard similarity of their sets of shingles is ``least`` or more. Fingerprints of these
+    sets, near each other in BK-trees, give candidates; each is confirmed on the texts. As fingerprints do not decide
+    this at any radius (see README), ``shingles.similar`` adds the pairs that they miss. Of several
     rows with that very key one is kept, the same in every run. Texts without any word are linked with each other as
     equal. Columns of map type take no part in telling rows of one key apart.
     """
@@ -248,7 +285,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     rows = named.select(
         F.col(key).alias("key"), F.col(k).alias("k"), F.col(null).alias("null"), F.col(row).alias("row"), F.col(text).alias("text")
     )
-    prints, parts = shingles.similar(common.spread(rows), shingle, least)
+    prints, parts = shingles.similar(common.spread(rows), shingle, least, candidates)
     parted = prints.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
     smallest = parted.groupBy("part").agg(F.min("key").alias("smallest"))
     kept = (

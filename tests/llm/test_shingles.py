@@ -28,3 +28,36 @@ def test_near_copies_are_those_of_the_shingle_similarity(spark):
     root = groups(n, near)
     out = simhash.deduplicate(frame(spark, list(enumerate(rows))))
     assert sorted(r.doc_id for r in out.collect()) == [i for i in range(n) if root[i] == i]
+
+
+def test_fingerprints_give_candidates_that_are_confirmed(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = [prose(3000 + i, 300) for i in range(20)]
+    rows += [edited(rows[i], rng, 1) for i in range(20)]
+    asked = []
+    confirmed = shingles._confirmed
+    monkeypatch.setattr(shingles, "_confirmed", lambda pairs, *rest: (asked.append({tuple(r) for r in pairs.collect()}), confirmed(pairs, *rest))[1])
+    seen = []
+    found = simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda sets: (seen.append({r.id: r.fp for r in sets.collect()}), found(sets))[1])
+    assert sorted(r.doc_id for r in simhash.deduplicate(frame(spark, list(enumerate(rows)))).collect()) == list(range(20))
+    prints = seen[0]
+    near = {(min(a, b), max(a, b)) for a in prints for b in prints if a != b and (prints[a] ^ prints[b] & simhash.ALL).bit_count() <= 6}
+    assert near and near <= asked[0]
+    want = {plain_print(" ".join([t]), 5) for t in rows}
+    assert len({p & simhash.ALL for p in prints.values()} & want) > 0
+
+
+def test_candidates_are_near_fingerprints_of_every_group(spark):
+    rng = random.Random(29)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = list({b ^ sum(1 << bit for bit in rng.sample(range(64), j)) for b in base for j in range(4)})
+    values.append(values[0])
+    df = spark.createDataFrame([(i, simhash._signed(v)) for i, v in enumerate(values)], "id long, fp long")
+    n = len(values)
+    near = {(a, b) for b in range(n) for a in range(b) if (values[a] ^ values[b]).bit_count() <= 6}
+    root = groups(n, near)
+    for rows in (4096, 3):
+        pairs = {(min(r), max(r)) for r in map(tuple, simhash.candidates(df, tree_rows=rows).collect())}
+        assert pairs <= near and (0, n - 1) in pairs
+        assert {root[a] for a, _ in pairs} == {root[a] for a, _ in near}
