@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from guardlake.fixed import code as fixed
 from guardlake.functions import payload
-from guardlake.functions.expr import any_of, found, js_trim, let
+from guardlake.functions.expr import any_of, found, found_with, let
 from guardlake.functions.risk import json_candidate
 
 FINDING = "struct<tier:int,category:string,message:string,line:int>"
@@ -24,34 +24,38 @@ def trips_code_category(line: Column, category: str) -> Column:
 
 def scan_code(content: Column) -> Column:
     """``array<struct<tier,category,message,line>>``: at most one finding per line and category."""
+    none = F.array().cast(f"array<{FINDING}>")
+    patterns = [(p, f) for e in fixed.CODE_CATEGORIES for p, f in e["patterns"]]
+    numbers = iter(range(len(patterns)))
+    categories = [(e, [next(numbers) for _ in e["patterns"]]) for e in fixed.CODE_CATEGORIES]
 
-    def scan_line(line: Column, i: Column) -> Column:
-        found_here = F.array(
-            *[
-                F.when(
-                    trips_code_category(line, e["category"]),
-                    F.struct(
-                        F.lit(1).alias("tier"),
-                        F.lit(e["category"]).alias("category"),
-                        F.lit(e["message"]).alias("message"),
-                        (i + 1).alias("line"),
-                    ),
+    def scan(text: Column, live: Column) -> Column:
+        def scan_line(line: Column, i: Column) -> Column:
+            found_here = []
+            for e, own in categories:
+                hit = any_of(live[f"p{n}"] & found(line, *patterns[n]) for n in own)
+                if e["category"] == "hardcoded_secret":
+                    hit = hit & ~found(line, fixed.SECRET_PLACEHOLDER, "i")
+                finding = F.struct(
+                    F.lit(1).alias("tier"), F.lit(e["category"]).alias("category"), F.lit(e["message"]).alias("message"),
+                    (i + 1).alias("line"),
                 )
-                for e in fixed.CODE_CATEGORIES
-            ]
-        )
-        return F.when(js_trim(line) != "", F.filter(found_here, lambda f: f.isNotNull()))
+                found_here.append(F.when(any_of(live[f"p{n}"] for n in own) & hit, finding))
+            return F.array_compact(F.array(*found_here))
 
-    lines = F.split(F.coalesce(content, F.lit("")), r"\r?\n", -1)
-    scanned = F.filter(F.transform(lines, scan_line), lambda x: F.size(x) > 0)
-    findings = F.flatten(scanned).cast(f"array<{FINDING}>")
-    none = F.array().cast(f"array<{FINDING}>")
-    anywhere = any_of(
-        found(content, p, f) for e in fixed.CODE_CATEGORIES for p, f in e["patterns"]
-    )
-    # A pattern that matches a line also matches the text around it, so clean files skip the split.
-    # Only anchors or look-around at line ends could break this, and the table has none that do.
-    return F.when(anywhere, findings).otherwise(none)
+        lines = F.split(text, r"\r?\n", -1)
+        findings = F.flatten(F.filter(F.transform(lines, scan_line), lambda x: F.size(x) > 0))
+        return F.when(any_of(live[f"p{n}"] for n in range(len(patterns))), findings.cast(f"array<{FINDING}>")).otherwise(none)
+
+    # A pattern that matches a line also matches the text around it, so a line is tried with those only that match
+    # somewhere in the file, and clean files skip the split. Only anchors or look-around at line ends could break this,
+    # and the table has none that do. No pattern matches a blank line.
+    def of(t: Column) -> Column:
+        tried = [found_with(t["text"], t["low"], p, f) for p, f in patterns]
+        live = F.struct(*[F.coalesce(x, F.lit(False)).alias(f"p{n}") for n, x in enumerate(tried)])
+        return let(live, lambda flags: scan(t["text"], flags))
+
+    return let(F.struct(content.alias("text"), F.lower(content).alias("low")), of)
 
 
 def parse_findings(reply: Column) -> Column:

@@ -12,6 +12,7 @@ from guardlake.functions import payload, risk
 from guardlake.operators import codescan, prompts
 from guardlake.operators import commands as command_ops
 from guardlake.plans import inputs, samples
+from guardlake.session import materialized
 
 QUERIES = {}
 
@@ -320,7 +321,8 @@ def parsed_findings(spark, sf_dir):
 @query
 def merged_findings(spark, sf_dir):
     keys = ["conv_id", "file_path"]
-    first = _findings(spark, sf_dir).select(*keys, "tier", "category", "message", "line")
+    # Used twice, and rare next to the files they come from.
+    first = materialized(_findings(spark, sf_dir).select(*keys, "tier", "category", "message", "line"), "findings")
     second = _model_findings(spark, sf_dir).select(*keys, F.explode_outer("f").alias("f")).where(
         F.col("f").isNotNull()
     ).select(*keys, "f.*")
