@@ -8,7 +8,7 @@ from guardlake.functions import payload
 from guardlake.operators import analytics, codescan, commands
 from guardlake.plans import guard_queries, inputs, traffic_queries
 from guardlake.plans.pii_queries import counts_text
-from guardlake.session import STATE_STORE, shared_dir
+from guardlake.session import STATE_STORE, materialized, shared_dir
 from guardlake.sources import readers, writers
 from guardlake.streaming import events, redaction
 from guardlake.streaming import operators as streaming
@@ -220,12 +220,9 @@ def read_transcripts(spark, sf_dir):
     """Transcripts written as text files, one per conversation, and read back with their line order."""
     lines = inputs.transcript_lines(spark, sf_dir)
     path = shared_dir(spark, "transcripts")
-    # One file per conversation: the text sink writes a partition folder for each.
-    lines.repartition("path").sortWithinPartitions("path", "pos").select("path", "value").write.partitionBy(
-        "path"
-    ).text(path)
+    writers.write_text_files(lines, "path", "value", path, order="pos")
     back = readers.read_transcripts(spark, f"{path}/*/")
-    conv = F.regexp_extract("path", r"path=(\d+)/", 1).cast("bigint")
+    conv = F.regexp_extract("path", r"path=(\d+)\.txt\z", 1).cast("bigint")
     text = payload.string_field(payload.parsed(F.col("value")), "$.message.content[0].text")
     return back.select(conv.alias("conv_id"), "pos", F.length(text).alias("n_chars"))
 
@@ -235,9 +232,9 @@ def read_files(spark, sf_dir):
     """Pages written as files, one per page, and read back as files."""
     path = shared_dir(spark, "pages")
     pages = inputs.load(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value"))
-    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    writers.write_text_files(pages, "page_id", "value", path)
     back = readers.read_files(spark, path)
-    page = F.regexp_extract("file_id", r"page_id=(\d+)/", 1).cast("bigint")
+    page = F.regexp_extract("file_id", r"page_id=(\d+)\.txt\z", 1).cast("bigint")
     return back.select(
         page.alias("page_id"), "size", (F.octet_length("content") == F.col("size")).alias("complete")
     )
@@ -426,6 +423,7 @@ def pending_findings_stream(spark, sf_dir):
         F.col("file_path").alias("conv_id"), F.col("line").cast("bigint").alias("seq"),
         F.lit(False).alias("turn_ended"), "category", "message", "line",
     )
+    found = materialized(found, "findings")
     ends = inputs.code_files(spark, sf_dir).select(
         F.col("file_path").alias("conv_id"), F.lit(1 << 40).cast("bigint").alias("seq"),
         F.lit(True).alias("turn_ended"), F.lit(None).cast("string").alias("category"),

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import quote
+
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake.operators.analytics import query_audit
@@ -79,3 +85,44 @@ def read_audit(spark: SparkSession, path: str, **filters) -> DataFrame:
 def write_findings(findings: DataFrame, keys: list[str], path: str) -> None:
     """Append one row per scanned file with findings, without the code."""
     finding_audit(findings, keys).write.mode("append").parquet(path)
+
+
+FOLDERS = 256
+# Stands for null; no other value is written like this.
+_NULL = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_text_files(rows: DataFrame, key: str, value: str, path: str, order: str | None = None) -> None:
+    """A text file for every value of ``key``, named ``<key>=<value>.txt``: the lines of its rows, by ``order`` if given.
+
+    The text sink makes a folder and a checksum file for each and starts two system processes per file to set rights on
+    a local disk, so here the tasks write the files themselves. A hash of the key deals them over ``FOLDERS`` folders:
+    a file's place does not depend on the task, so a task that runs again replaces its files.
+    """
+    # Hadoop writes local paths with one slash or none, pyarrow takes absolute ones.
+    root = re.sub(r"^file:/+", "/", path)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = F.coalesce(F.col(key).cast("string"), F.lit(_NULL))
+    named = rows.select(
+        F.pmod(F.crc32(name.cast("binary")), F.lit(FOLDERS)).alias("folder"),
+        name.alias("name"),
+        (F.lit(0) if order is None else F.col(order)).alias("at"),
+        F.coalesce(F.col(value), F.lit("")).alias("text"),
+    )
+    dealt = named.repartition(parts, "folder", "name").sortWithinPartitions("folder", "name", "at")
+
+    def write(part: Iterator[Row]) -> None:
+        store, base = fs.FileSystem.from_uri(root)
+        made = set()
+        for (folder, file), lines in groupby(part, lambda r: (r["folder"], r["name"])):
+            into = f"{base}/{folder:03d}"
+            if folder not in made:
+                store.create_dir(into, recursive=True)
+                made.add(folder)
+            with store.open_output_stream(f"{into}/{key}={quote(file, safe=' ')}.txt") as out:
+                for line in lines:
+                    out.write(line["text"].encode("utf-8") + b"\n")
+
+    store, base = fs.FileSystem.from_uri(root)
+    store.create_dir(base, recursive=True)
+    dealt.foreachPartition(write)

@@ -271,3 +271,22 @@ def test_csv_quoting(spark):
     df = spark.createDataFrame([("a,b", 'q"q', None, "l\nl", "plain")], "a string, b string, c string, d string, e string")
     line = df.select(writers.csv_line(df.columns).alias("x")).first().x
     assert line == '"a,b","q""q",,"l\nl",plain'
+
+
+def test_text_files_are_one_per_key(spark, tmp_path):
+    """Rows of a key are the lines of one file, in order; nothing else is written, and null has a file of its own."""
+    from guardlake.sources import writers
+
+    rows = [("a/b", 2, "two"), ("a/b", 1, "one"), ("c", 1, None), (None, 1, "x\ny"), ("a/b", 1, "one"), ("ä b", 1, "ü")]
+    out = tmp_path / "files"
+    writers.write_text_files(spark.createDataFrame(rows, "k string, at int, t string"), "k", "t", str(out), order="at")
+    files = {f.name: f.read_text("utf-8") for f in out.rglob("*") if f.is_file()}
+    assert files == {
+        "k=a%2Fb.txt": "one\none\ntwo\n", "k=c.txt": "\n", "k=__HIVE_DEFAULT_PARTITION__.txt": "x\ny\n", "k=%C3%A4 b.txt": "ü\n",
+    }
+    # A second run puts the same files in the same places.
+    places = sorted(map(str, out.rglob("*")))
+    writers.write_text_files(spark.createDataFrame(rows[:2], "k string, at int, t string"), "k", "t", f"file://{out}", order="at")
+    assert sorted(map(str, out.rglob("*"))) == places
+    writers.write_text_files(spark.createDataFrame([], "k string, t string"), "k", "t", str(tmp_path / "none"))
+    assert (tmp_path / "none").is_dir()
