@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from guardlake.fixed import files as fixed
 from guardlake.functions import files, spans
 from guardlake.rules import RuleSet
+from guardlake.session import materialized
 
 _PART = re.compile(fixed.OFFICE_TEXT_PART, re.IGNORECASE)
 
@@ -125,7 +126,8 @@ def redact_files(
         )
     )
     office_files = classified.where(F.col("kind") == "ooxml")
-    archives = office_archives(office_files, ["file_id"])
+    # Read twice below: archives are opened once.
+    archives = materialized(office_archives(office_files, ["file_id"]), "archives")
     paragraphs = office_paragraphs(archives.where(F.col("part").isNotNull()), ["file_id"])
     # One row per paragraph and rule; place 0 stands for the paragraph itself.
     per_rule = (

@@ -422,3 +422,21 @@ def test_payload_shapes_of_any_depth(spark):
     assert rows[1, "a"] == ("array", 3) and rows[1, "a[1]"] == ("string", 4) and rows[1, "a[2].b"] == ("object", None)
     assert rows[1, "a[2].b.c[0][0]"] == ("null", None) and rows[1, "n[11]"] == ("number", None) and rows[1, "n"] == ("array", 12)
     assert rows[2, ""] == ("array", 1) and rows[2, "[0]"] == ("boolean", None) and {k for k, _ in rows} == {1, 2}
+
+
+def test_archives_are_opened_once(spark):
+    """What is read of archives and whether they could be read comes from one pass over them."""
+    import io
+    import zipfile
+
+    from guardlake.operators import files
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        archive.writestr("word/document.xml", "<w:p><w:r><w:t>mail a@b.org</w:t></w:r></w:p>")
+    kinds = "file_id bigint, name string, mime string, size bigint, content binary"
+    rows = [(1, "a.docx", "", 10, packed.getvalue()), (2, "b.docx", "", 10, b"broken"), (3, "c.txt", "", 5, b"plain")]
+    out = files.redact_files(spark.createDataFrame([(i, n, m, s, bytearray(c)) for i, n, m, s, c in rows], kinds))
+    assert "MapInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["file_id"]: (r["action"], r["paragraphs"]) for r in out.collect()}
+    assert got[1] == ("block", 1) and got[2][0] == "block" and got[3][0] != "block"
