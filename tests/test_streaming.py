@@ -290,3 +290,13 @@ def test_text_files_are_one_per_key(spark, tmp_path):
     assert sorted(map(str, out.rglob("*"))) == places
     writers.write_text_files(spark.createDataFrame([], "k string, t string"), "k", "t", str(tmp_path / "none"))
     assert (tmp_path / "none").is_dir()
+
+
+def test_reframing_parses_events_once(spark):
+    """Events are put together and parsed in one pass, whatever is made of them; odd data lines stay as they were."""
+    body = "data\n\ndata:x\n\ndata:  y\ndata: z\n\nbare\n\nevent: e\n\n"
+    given = spark.createDataFrame([("s", "anthropic", 0, body), ("s", "anthropic", 1, None)], "stream_id string, provider string, seq bigint, chunk string")
+    rows = redaction.read_events(given).orderBy("event_no").collect()
+    assert [r["data"] for r in rows] == ["", "x", " y\nz", "bare", None]
+    frames = streaming.reframe_stream(given, "m", 1, "r")
+    assert "parse_json" not in frames._jdf.queryExecution().optimizedPlan().toString().lower()
