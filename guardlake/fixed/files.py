@@ -39,8 +39,10 @@ OFFICE_TEXT_PART = (
     r"^(word\/(document|footnotes|endnotes|comments|header\d*|footer\d*)\.xml|xl\/sharedStrings\.xml|"
     r"xl\/worksheets\/sheet\d+\.xml|ppt\/(slides|notesSlides)\/[a-z]+\d+\.xml)$"
 )
-PARAGRAPH = r"<(w:p|a:p|si|c)(\s[^>]*)?>([\s\S]*?)<\/\1>|<(w:p|a:p)(\s[^>]*)?\/>"
-TEXT_RUN = r"<((?:w|a):t|t)(\s[^>]*)?>([\s\S]*?)<\/\1>"
+# What stands before the first end tag, in runs without "<": a lazy "anything" tries the end at every character.
+_CONTENT = r"([^<]*+(?:<(?!\/\1>)[^<]*+)*+)"
+PARAGRAPH = rf"<(w:p|a:p|si|c)(\s[^>]*)?>{_CONTENT}<\/\1>|<(w:p|a:p)(\s[^>]*)?\/>"
+TEXT_RUN = rf"<((?:w|a):t|t)(\s[^>]*)?>{_CONTENT}<\/\1>"
 
 # Upload endpoints by site: (host suffix, path part).
 UPLOAD_ENDPOINTS = [

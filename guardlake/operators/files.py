@@ -84,11 +84,12 @@ def _code_point(n: Column) -> Column:
 def office_paragraphs(parts: DataFrame, keep: list[str]) -> DataFrame:
     """One row per paragraph with its runs joined, so that a value split over runs is whole again."""
     inner = F.regexp_extract_all("xml", F.lit(fixed.PARAGRAPH), F.lit(3))
-    paragraphs = parts.select(*keep, "part_at", "part", F.posexplode_outer(inner).alias("at", "_p"))
-    runs = F.regexp_extract_all("_p", F.lit(fixed.TEXT_RUN), F.lit(3))
-    joined = paragraphs.where(F.coalesce("_p", F.lit("")) != "").withColumn("_runs", runs)
-    return joined.where(F.size("_runs") > 0).select(
-        *keep, "part_at", "part", "at", F.array_join(F.transform("_runs", _unescaped), "").alias("text")
+    # Runs come out of the generator, or a filter on them would look for them a second time.
+    runs = F.transform(inner, lambda p: F.regexp_extract_all(p, F.lit(fixed.TEXT_RUN), F.lit(3)))
+    paragraphs = parts.select(*keep, "part_at", "part", F.posexplode_outer(runs).alias("at", "_runs"))
+    plain = lambda run: F.when(F.contains(run, F.lit("&")), _unescaped(run)).otherwise(run)
+    return paragraphs.where(F.size("_runs") > 0).select(
+        *keep, "part_at", "part", "at", F.array_join(F.transform("_runs", plain), "").alias("text")
     )
 
 

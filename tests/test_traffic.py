@@ -326,6 +326,14 @@ def test_office_runs_are_joined(spark):
     assert [r.text for r in rows] == ["mail dana@corp.example &lt; é😀", "x"]
 
 
+def test_office_runs_are_looked_for_once(spark):
+    xml = "<w:p>" + "<w:r><w:t>a &lt; b</w:t></w:r>" * 3 + "</w:p><w:p a='1'><w:t>x<y></w:t></w:p><w:p>" + "<w:p " * 3 + "<w:t>open"
+    parts = spark.createDataFrame([(1, 0, "word/document.xml", xml)], "file_id int, part_at int, part string, xml string")
+    found = files.office_paragraphs(parts, ["file_id"])
+    assert [r.text for r in found.orderBy("at").collect()] == ["a < ba < ba < b", "x<y>"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?:w|a):t") == 1
+
+
 def test_config(spark):
     history = spark.sql(
         """select * from values (1, 'gemini', 'block', cast(null as boolean), 'a'), (2, 'gemini', null, false, 'b'),
