@@ -39,7 +39,7 @@ def residual_pii(text: Column) -> Column:
     rules = {r.name: r for r in default_rules()}
     patterns = {name: (pattern, flags) for name, pattern, flags in PII_PATTERNS}
     shapes = [rules[n].guard(text) & text.rlike(rules[n].java) for n in ("EMAIL", "SSN", "JWT")]
-    shapes.append(text.rlike(java_regex(PEM_HEADER)))
+    shapes.append(F.contains(text, F.lit("-----BEGIN ")) & text.rlike(java_regex(PEM_HEADER)))
     cards = F.exists(all_matches(text, *patterns["CREDIT_CARD"]), luhn_valid)
     return F.coalesce(any_of([*shapes, rules["CREDIT_CARD"].guard(text) & cards]), F.lit(False))
 

@@ -9,6 +9,7 @@ from guardlake.functions.regex import java_regex
 from guardlake.functions.text import redact_url_credentials, residual_pii
 from guardlake.operators import redaction
 from guardlake.plans import samples
+from guardlake.session import spread
 from tests.plain_matcher import Matcher
 
 
@@ -242,3 +243,21 @@ def test_residual(spark):
         "t string",
     )
     assert [r[0] for r in df.select(residual_pii(F.col("t"))).collect()] == [True, False, True, True, False]
+
+
+def test_long_numbers_are_looked_for_where_nine_digits_are(spark):
+    rules = {r.name: r for r in RuleSet().active}
+    texts = ["12 34, 5.6 or 78", "123-45-6789", "(212) .\n555 - 1234", "4111 1111 1111 1111", "1234\u00a05678-9012", "8.8.8.8", "ABCDE1234F"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    shown = {n: [r[0] for r in df.select(rules[n].guard(F.col("t"))).collect()] for n in ("SSN", "PHONE_US", "CREDIT_CARD", "AADHAAR", "IPV4", "PAN_IN")}
+    assert all(shown[n] == [False, True, True, True, True, False, False] for n in ("SSN", "PHONE_US", "CREDIT_CARD", "AADHAAR"))
+    assert shown["IPV4"] == [False] * 5 + [True, False] and shown["PAN_IN"] == [False] * 6 + [True]
+
+
+def test_as_many_splits_as_cores_do_not_show_a_full_cluster(spark):
+    cores = spark.sparkContext.defaultParallelism
+
+    def moved(splits: int) -> bool:
+        return "hashpartitioning" in spread(spark.range(0, 100, 1, splits), "id")._jdf.queryExecution().executedPlan().toString()
+
+    assert moved(cores) and not moved(2 * cores)
