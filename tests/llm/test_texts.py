@@ -388,3 +388,17 @@ def test_licenses_by_definition(spark):
                 want.append((i, level, n, min(near)[1], -min(near)[0]))
     assert got == sorted(want, key=repr) and {w[3] for w in want} >= {"MIT", "Apache-2.0", "CC-BY-NC-4.0", "proprietary"}
     assert licenses.scan(frame(spark).limit(0)).count() == 0
+
+
+def test_references_and_digests_take_no_step_per_character(spark):
+    page = "<p>a &lt;b&gt; &amp;lt; &amp;amp; &copy&copy; &nope; &#38;quot;<br> x \u00a0 <DIV>y</DIV><pre>z</pre>\n \n <b>w</b><prefix>v"
+    df = spark.createDataFrame([(page,)], "t string").select(
+        warc.plain_text(F.col("t")).alias("text"), warc.digest(F.encode("t", "UTF-8")).alias("digest")
+    )
+    got = df.first()
+    assert got.text == "a <b> &lt; &amp; &copy\u00a9 &nope; \"\nx\ny\nz\nwv"
+    assert got.digest == "sha1:" + base64.b32encode(hashlib.sha1(page.encode()).digest()).decode()
+    digest, named = (
+        df.select(c)._jdf.queryExecution().optimizedPlan().toString() for c in (warc.digest(F.encode("text", "UTF-8")), warc._named(F.col("text")))
+    )
+    assert digest.count("conv(") == 4 and "element_at(" not in named
