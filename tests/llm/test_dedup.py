@@ -172,3 +172,20 @@ def test_embeddings_by_brute_force(spark):
         out = embeddings.near_duplicates(df, tile=tile, sample=40).collect()
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == want
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_windows_move_once_for_both_sides_of_a_match(spark):
+    from guardlake.llm import linededup
+
+    docs = spark.createDataFrame([(i, "\n".join(["word " * 30] * 3)) for i in range(4)], "doc_id long, text string")
+    keys = ["spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("false", "-1")):
+            spark.conf.set(k, v)
+        runs = linededup.repeated_runs(docs)
+        plan = runs._jdf.queryExecution().executedPlan().toString()
+        assert [r.runs[0].start for r in runs.orderBy("doc").collect()] and plan.count("ReusedExchange [d#") == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
