@@ -400,6 +400,6 @@ def test_references_and_digests_take_no_step_per_character(spark):
     assert got.digest == "sha1:" + base64.b32encode(hashlib.sha1(page.encode()).digest()).decode()
     plain = spark.createDataFrame([("x",)], "text string")
     digest, named = (
-        plain.select(c)._jdf.queryExecution().optimizedPlan().toString() for c in (warc.digest(F.encode("text", "UTF-8")), warc._named(F.col("text")))
+        plain.select(c.alias("made"))._jdf.queryExecution().optimizedPlan().toString() for c in (warc.digest(F.encode("text", "UTF-8")), warc._named(F.col("text")))
     )
     assert digest.count("conv(") == 4 and "element_at(" not in named
