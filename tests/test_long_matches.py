@@ -205,3 +205,22 @@ def test_json_stays_as_it_was(spark):
     out = collected(redaction.redact_chunks(chunked(spark, {"s": ("openai", [odd, openai("a@b.org")])})))["s"][0]
     assert out.startswith(odd) and json.loads(out.split("\n\n")[1][6:])["choices"][0]["delta"]["content"] == TOKEN
     assert readers.CHUNK_SCHEMA
+
+
+def test_bundles_move_once(spark, monkeypatch):
+    """Chunks are dealt to bundles once; what goes over their ends is all that moves to them again."""
+    monkeypatch.setattr(redaction, "BUNDLE", 2)
+    body = openai("mail jo") + openai("hn@example.com and") + openai(" c@d") + openai(".org end") + "data: [DONE]\n\n"
+    cut = [body[:-1], "", "\n", None]
+    rows = {"apart": ("openai", [*sliced(body, random.Random(1), 30), None], 3), "late": ("openai", cut)}
+    given = chunked(spark, rows)
+    out = redaction.redact_chunks(given)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange hashpartitioning" not in plan
+    got = out.collect()
+    assert sorted((r.stream_id, r.seq) for r in got) == sorted((r.stream_id, r.seq) for r in given.collect())
+    texts = collected(out)
+    for s in rows:
+        assert shown(texts[s][0].replace("data: [DONE]\n\n", ""), content) == f"mail {TOKEN} and {TOKEN} end" and texts[s][1] == {"EMAIL": 2}
+    late = [r.chunk.rstrip("\n") for r in sorted(got, key=lambda r: r.seq) if r.stream_id == "late"]
+    assert late[1:] == ["", "data: [DONE]", ""]
