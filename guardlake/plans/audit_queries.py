@@ -278,7 +278,7 @@ def audit_log_files(spark, sf_dir):
         {"before_value": F.lit(None).cast("string"), "after_value": F.to_json(F.struct("target"))}
     )
     writers.append_audit(rows, path)
-    back = writers.read_audit(spark, path, admin="admin1", limit=100000)
+    back = writers.read_audit(spark, path, admin="admin1")
     return back.groupBy("action", "target").agg(F.count(F.lit(1)).alias("n"))
 
 

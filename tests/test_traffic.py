@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from guardlake.functions import messages, routing, transcripts
 from guardlake.operators import analytics, files, sequence, traffic, turns
-from guardlake.plans import traffic_queries
+from guardlake.plans import audit_queries, traffic_queries
 
 UP = {"anthropic": "https://a/", "gemini": "https://g", "openai": "https://o"}
 
@@ -352,6 +352,18 @@ def test_config(spark):
     assert '"mode":"block"' in row.before_value and '"mode":"off"' in row.after_value
 
 
+def test_audit_log_files_reads_the_whole_log(spark, tmp_path):
+    n = 100_050
+    events = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), F.lit(6).cast("bigint").alias("user_id")
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    counts = {(r.action, r.target): r.n for r in audit_queries.audit_log_files(spark, str(tmp_path)).collect()}
+    assert {a: sum(c for (b, _), c in counts.items() if b == a) for a, _ in counts} == {
+        "rules.update": n // 3, "surface_config.update": n - n // 3
+    }
+
+
 def _archive(name="word/document.xml", text="mail a@b.org"):
     import io
     import zipfile
