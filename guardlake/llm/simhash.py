@@ -294,5 +294,6 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
         .groupBy(F.col("k").alias(k), F.col("null").alias(null))
         .agg(F.min("row").alias(row))
     )
+    kept = common.written(kept, "kept")
     # What is left of a key agrees in all columns, and the join has brought it together.
     return named.join(kept, [k, null, row], "left_semi").dropDuplicates([k, null, row]).select(*docs.columns)

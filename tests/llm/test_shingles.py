@@ -1,6 +1,9 @@
 import random
 
-from guardlake.llm import shingles, simhash
+import numpy as np
+from pyspark.sql import functions as F
+
+from guardlake.llm import common, shingles, simhash
 from tests.llm.helpers import frame, prose
 from tests.llm.test_dedup import groups, plain_print
 
@@ -61,3 +64,36 @@ def test_candidates_are_near_fingerprints_of_every_group(spark):
         pairs = {(min(r), max(r)) for r in map(tuple, simhash.candidates(df, tree_rows=rows).collect())}
         assert pairs <= near and (0, n - 1) in pairs
         assert {root[a] for a, _ in pairs} == {root[a] for a, _ in near}
+
+
+def test_sketches_never_tell_sets_further_apart_than_they_are(spark):
+    rng = random.Random(31)
+    rows = []
+    for size in [0, 1, 2, 5, 63, 64, 65, 300, 1000]:
+        own = [rng.getrandbits(64) for _ in range(size)]
+        for other in (own, own[: int(size * 0.9)], own[size // 3 :] + [rng.getrandbits(64) for _ in range(size // 4)]):
+            one, two = (np.unique(np.array(x, dtype="<u8")) for x in (own, other))
+            rows.append((len(set(own) ^ set(other)), shingles.odd_bits(one).tolist(), shingles.odd_bits(two).tolist()))
+    df = spark.createDataFrame(rows, "d int, one array<long>, other array<long>")
+    found = df.select("d", shingles.least_apart(F.col("one"), F.col("other")).alias("x")).collect()
+    assert all(r.x <= r.d for r in found) and sum(r.x for r in found) > sum(r.d for r in found) / 3
+
+
+def test_texts_move_only_where_sketches_allow_a_pair(spark, monkeypatch):
+    rows = []
+    for i in range(40):
+        shared = prose(5000 + i, 14).split()
+        rows += [" ".join(shared + prose(6000 + 2 * i + j, 40).split()) for j in range(2)]
+    # Two that are alike, and all others with one passage in common by pairs.
+    rows.append(" ".join(rows[0].split()[:-1]))
+    tables, written = {}, common.written
+
+    def counted(df, purpose, *rest, **options):
+        out = written(df, purpose, *rest, **options)
+        tables.setdefault(purpose, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    out = simhash.deduplicate(frame(spark, list(enumerate(rows))))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(80))
+    assert sum(tables["texts"]) == 2 < sum(tables["pairs"])
