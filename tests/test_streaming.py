@@ -300,3 +300,22 @@ def test_reframing_parses_events_once(spark):
     assert [r["data"] for r in rows] == ["", "x", " y\nz", "bare", None]
     frames = streaming.reframe_stream(given, "m", 1, "r")
     assert "parse_json" not in frames._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_plain_and_reframed_chunks_move_once(spark):
+    """Chunks are written once, in buckets; what comes out of them is put together where they lie."""
+    text = "mail john@example.com or call\n" * 300
+    plain = {"s": (None, [text[i : i + 7] for i in range(0, len(text), 7)]), "t": (None, ["", None, "a@b.org"])}
+    out = redaction.redact_plain(chunked(spark, plain))
+    assert collected(out) == {"s": (f"mail {TOKEN} or call\n" * 300, {"EMAIL": 300}), "t": (TOKEN, {"EMAIL": 1})}
+    assert out.count() == sum(len(x[1]) for x in plain.values())
+    deltas = [anthropic("content_block_delta", delta={"type": "text_delta", "text": f"{i} "}) for i in range(600)]
+    body = "".join([anthropic("message_start"), *deltas, anthropic("message_stop")])
+    cut = [body[i : i + 50] for i in range(0, len(body), 50)]
+    frames = streaming.reframe_stream(chunked(spark, {"s": ("anthropic", [*cut, None])}), "m", 5, "r")
+    rows = frames.orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(len(cut) + 1)) and len(rows) > 2 * redaction.BUNDLE
+    assert shown("".join(r.chunk for r in rows), content) == "".join(f"{i} " for i in range(600))
+    for df in (out, frames):
+        moved = df._jdf.queryExecution().executedPlan().toString()
+        assert "bucketed_" in moved and "Exchange hashpartitioning" not in moved
