@@ -71,8 +71,10 @@ def _sigmoid(x):
 def _values(rows: list[np.ndarray], labels: np.ndarray, n: int, least: float) -> np.ndarray:
     """How much a term counts when the machine learns, from ``least`` to 1: more, the further its share of label 1 lies
     off the average, in standard errors of five rows more than it has. None is left out, so pairs can still tell."""
-    idx, ones = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
-    count, found, share = np.bincount(idx, minlength=n), np.bincount(idx, ones, n), float(np.clip(labels.mean(), 1e-4, 1 - 1e-4))
+    count, found, share = np.zeros(n), np.zeros(n), float(np.clip(labels.mean(), 1e-4, 1 - 1e-4))
+    for row, label in zip(rows, labels):
+        count[row] += 1
+        found[row] += label
     off = (found - count * share) ** 2 / ((count + 5) * share * (1 - share))
     return least + (1 - least) * np.minimum(off / 25, 1)
 
@@ -87,9 +89,12 @@ def fit(
     ``rows`` are sorted places without repetition. Terms that say little by themselves count ``least`` in the sum and
     ``least_pairs`` in pairs while the machine learns, so that the many of them do not drown the few that matter."""
     # A row without terms has one that weighs nothing in the end.
-    places, flat = np.unique(np.concatenate([*rows, np.full(1, PLACES)]), return_inverse=True)
-    sizes = np.array([len(r) for r in rows])
-    rows = [x if len(x) else flat[-1:] for x in np.split(flat[:-1], np.cumsum(sizes)[:-1])]
+    there = np.zeros(PLACES + 1, dtype=bool)
+    there[PLACES] = True
+    for row in rows:
+        there[row] = True
+    places, number = np.flatnonzero(there), np.cumsum(there, dtype=np.int32) - 1
+    rows = [number[x] if len(x) else number[-1:] for x in rows]
     rng = np.random.default_rng(seed)
     n = len(places)
     value, paired = _values(rows, labels, n, least), _values(rows, labels, n, least_pairs)
@@ -162,9 +167,7 @@ def train(
     sample = rows.orderBy("id").select("y", "h").collect()
     if not sample:
         return None
-    return fit(
-        [np.frombuffer(r["h"], "<i4").astype("i8") for r in sample], np.array([r["y"] for r in sample], dtype="float64")
-    )
+    return fit([np.frombuffer(r["h"], "<i4") for r in sample], np.array([r["y"] for r in sample], dtype="float64"))
 
 
 def score(docs: DataFrame, model: Machine | None, text: str = "text", column: str = "score") -> DataFrame:
